@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with NAME, query and SQL (None where SQL cannot express the result).
-MODULES = ("op2", "op6")
+MODULES = ("op1", "op2", "op6")
 
 QUERIES, ORACLES = {}, {}
 for _module in MODULES:
