@@ -157,6 +157,6 @@ def cube_mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    copies = (F.col("whole") + F.round("p")).cast("long")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.round("p")).otherwise(0).cast("long")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
