@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch
 from tidemark.llm.components import connected_components
 
-STARS = 2
+STARS = 3
 
 
-def cluster(index: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, may: Callable | None = None) -> DataFrame:
+def cluster(index: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, may: Callable | None = None, order: str = "key") -> DataFrame:
     """(node, root) for every id that is not the smallest of its component.
 
     index: (key, id, ...), distinct in key and id; further columns are there for ``may(a, b)``, a condition on the columns
-    ``a.*`` and ``b.*`` of a pair, symmetric. ``verify`` takes pairs (a, b), a < b, distinct, and returns those that link.
+    ``a.*`` and ``b.*`` of a pair, symmetric, that is necessary for a link at the first key that both have in the order of the column
+    ``order``. ``verify`` takes pairs (a, b), a < b, distinct, and returns those that link.
     """
     extra = [c for c in index.columns if c not in ("key", "id")]
     # Keys of one row make no pair.
@@ -59,13 +60,16 @@ def cluster(index: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
         settle(pairs.where((F.col("x_comp") != F.col("y_comp")) & condition("x", "y")).select("x", "y"), f"star{star}")
 
     rows = scratch.save(labelled(), "rows-last")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = scratch.save(rows.join(mixed, "key"), "mixed")
-    # Components of a key meet first, then the rows of both: rows of one component never meet.
-    comps = rows.select("key", "comp").distinct()
-    two = comps.select("key", F.col("comp").alias("x_comp")).join(comps.select("key", F.col("comp").alias("y_comp")), "key").where("x_comp < y_comp")
-    two = scratch.save(two, "two")
-    side = lambda s: rows.select("key", F.col("comp").alias(f"{s}_comp"), F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in extra])
-    pairs = two.join(side("x"), ["key", "x_comp"]).join(side("y"), ["key", "y_comp"])
-    settle(pairs.where(condition("x", "y")).select("x", "y"), "rest")
+    # Of each pair of a key one row at least is outside the key's largest component, so that such a component never meets itself.
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "main")
+    rows = scratch.save(rows.join(sizes, "key"), "mixed")
+    keys = rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "key"))), lambda k: k["key"]).alias("keys"))
+    rows = scratch.save(rows.join(keys, "id"), "keyed")
+    side = lambda s: rows.select("key", F.col("comp").alias(f"{s}_comp"), F.col("id").alias(s), F.col("main").alias(f"{s}_main"), F.col("keys").alias(f"{s}_keys"), *[F.col(c).alias(f"{s}_{c}") for c in extra])
+    others = side("x").where("x_comp <> x_main").drop("x_main")
+    once = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("y_main")) | (F.col("x") < F.col("y")))
+    # A pair is made at the first key that both have, and at no other.
+    first = F.get(F.array_intersect("x_keys", "y_keys"), F.lit(0)) == F.col("key")
+    pairs = others.join(side("y"), "key").where(once & condition("x", "y") & first)
+    settle(pairs.select("x", "y"), "rest")
     return roots

@@ -26,6 +26,8 @@ from tidemark.llm.clusters import cluster
 from tidemark.llm.common import Scratch
 
 WORDS, PERCENT, ORDERS = 5, 80, 3
+#: Bits of a set's bitmap.
+BITS = 512
 #: Text of a block.
 BLOCK_BYTES = 4 << 20
 
@@ -150,12 +152,18 @@ def _enough(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """BITS bits, each the parity of the tokens that hash to it: two bitmaps differ in no more bits than their sets do in tokens."""
+    odd = np.bincount((mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _gather(percent: int, orders: int):
     """One block: its sets whose shared tokens suffice, with prefixes under each order."""
 
     def run(table: pa.Table) -> pa.Table:
-        names = ["print", "n", "tokens", *(f"prefix{k}" for k in range(orders))]
-        kinds = [pa.binary(), pa.int32(), *[pa.list_(pa.int64())] * (1 + orders)]
+        names = ["print", "n", "tokens", "bits", *(f"prefix{k}" for k in range(orders))]
+        kinds = [pa.binary(), pa.int32(), *[pa.list_(pa.int64())] * (2 + orders)]
         rows = []
         heads = [i for i, x in enumerate(table.column("bucket").to_pylist()) if x < 0]
         rest = [i for i, x in enumerate(table.column("bucket").to_pylist()) if x >= 0]
@@ -179,7 +187,7 @@ def _gather(percent: int, orders: int):
                 # Tokens of this set alone come first under every order.
                 reach = n - _enough(n, percent) + 1 - (n - len(mine))
                 by = [mine[np.lexsort((mix(mine + np.uint64(977 * k + 1)), df))][: max(0, reach)] for k in range(orders)]
-                rows.append((prints[16 * i : 16 * i + 16], n, *(x.view(np.int64).tolist() for x in (mine, *by))))
+                rows.append((prints[16 * i : 16 * i + 16], n, *(x.view(np.int64).tolist() for x in (mine, bitmap(mine), *by))))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     return run
@@ -220,7 +228,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal = scratch.save(thin.where("n > 0").groupBy("print").agg(F.min("id").alias("first_id")).where("first_id is not null"), "equal")
 
     lists = ", ".join(f"prefix{k} array<long>" for k in range(orders))
-    sets = got.select(*NAMES).groupBy("block").applyInArrow(_gather(percent, orders), f"print binary, n int, tokens array<long>, {lists}")
+    sets = got.select(*NAMES).groupBy("block").applyInArrow(_gather(percent, orders), f"print binary, n int, tokens array<long>, bits array<long>, {lists}")
     sets = sets.dropDuplicates(["print"]).join(equal, "print").withColumnRenamed("first_id", "id").drop("print")
     sets = scratch.save(sets, "sets")
     scratch.drop("counted")
@@ -246,9 +254,18 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.where(test(F.struct(F.col("x_tokens").alias("x"), F.col("y_tokens").alias("y"), F.col("x_n").alias("n"), F.col("y_n").alias("m")))).select("a", "b")
 
     kept: list[int] = []
-    index = sets.select(F.explode("prefix0").alias("key"), "id", "n")
-    near = lambda a, b: (F.greatest(a["n"], b["n"]) * percent <= 100 * F.least(a["n"], b["n"]))
-    roots = cluster(index, verify, scratch, near)
+    # left: tokens from this one on, in the first order; of the first token that two sets share, both need their whole overlap left.
+    # alone: tokens that no other set has. These and the bits in which two bitmaps differ are a part of what two sets differ in.
+    index = sets.select(F.posexplode("prefix0").alias("at", "key"), "id", "n", "bits", F.size("tokens").alias("size"))
+    index = index.select("key", "id", "at", "n", (F.col("size") - F.col("at")).alias("left"), (F.col("n") - F.col("size")).alias("alone"), "bits")
+
+    def near(a: dict, b: dict):
+        sizes = F.greatest(a["n"], b["n"]) * percent <= 100 * F.least(a["n"], b["n"])
+        enough = F.least(a["left"], b["left"]) * (100 + percent) >= (a["n"] + b["n"]) * percent
+        differ = F.aggregate(F.zip_with(a["bits"], b["bits"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return sizes & enough & ((differ + a["alone"] + b["alone"]) * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent))
+
+    roots = cluster(index, verify, scratch, near, "at")
 
     firsts = equal.join(roots.select(F.col("node").alias("first_id"), "root"), "first_id", "left").select("print", F.coalesce("root", "first_id").alias("root"))
     firsts = scratch.save(firsts, "firsts")
