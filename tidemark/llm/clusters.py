@@ -63,7 +63,7 @@ def cluster(index: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
     # Of each pair of a key one row at least is outside the key's largest component, so that such a component never meets itself.
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "main")
     rows = scratch.save(rows.join(sizes, "key"), "mixed")
-    keys = rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "key"))), lambda k: k["key"]).alias("keys"))
+    keys = rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("key").alias("k")))), lambda x: x["k"]).alias("keys"))
     rows = scratch.save(rows.join(keys, "id"), "keyed")
     side = lambda s: rows.select("key", F.col("comp").alias(f"{s}_comp"), F.col("id").alias(s), F.col("main").alias(f"{s}_main"), F.col("keys").alias(f"{s}_keys"), *[F.col(c).alias(f"{s}_{c}") for c in extra])
     others = side("x").where("x_comp <> x_main").drop("x_main")

@@ -5,8 +5,10 @@ characters, or the whole line if it is shorter. Signatures are one-permutation M
 filled from others by a fixed permutation; lines that agree in all ROWS bins of a band are candidates, verified by exact Jaccard.
 With 20 bands of 6 rows two lines of similarity 0.8 are candidates with probability 0.998.
 
-Each block of documents sends the band keys of its distinct lines, sorted and packed, to buckets that count them; only keys that
-come back as shared make index rows. Lines are named by the 128-bit hash of what is compared, so equal lines are one node.
+Each block of documents sends the band keys of its distinct lines, sorted and packed, to buckets; only keys that come back as
+shared by different lines make index rows. Lines are named by the 128-bit hash of what is compared, so equal lines are one
+node; in a bucket they are told apart by 16 bits that differ from band to band. Texts are read twice: for keys and occurrences,
+and for the lines that have candidates.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.clusters import cluster
-from tidemark.llm.common import Scratch, ascii_lower
-from tidemark.llm.shingle_join import BLOCK_BYTES, KINDS, NAMES, SENT, _count, mix, pack, unpack
+from tidemark.llm.common import Scratch
+from tidemark.llm.shingle_join import BLOCK_BYTES, KINDS, NAMES, SENT, bitmap, mix, pack, unpack
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 20, 6
 SPACE = " \t\n\x0b\x0c\r"
@@ -31,8 +34,9 @@ ENTRY_BYTES = 96
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
-def line_norm(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACE)))
+def norms(text: bytes | None) -> list[bytes]:
+    """What is compared of each line; empty for a blank line."""
+    return [x.strip() for x in (text or b"").lower().split(b"\n")]
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -67,45 +71,71 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def _send(buckets: int):
-    def block(key: int, lines: dict[bytes, bytes]) -> Iterator[tuple]:
-        yield key, -1 - key % (1 << 30), None, b"".join(lines), None, None
-        keys = band_keys([x.decode("utf-8", "replace") for x in lines.values()])
-        token, owner = keys.ravel(), np.repeat(np.arange(len(lines), dtype=np.int32), BANDS)
+    """Per block a row of its distinct lines and where they stand, and for each bucket the band keys of its lines."""
+
+    def block(key: int, ids: list, docs: list[list[bytes]]) -> Iterator[tuple]:
+        place: dict[bytes, int] = {}
+        at = [(d, k, place.setdefault(x, len(place))) for d, lines in enumerate(docs) for k, x in enumerate(lines) if x]
+        names = [hashlib.md5(x).digest() for x in place]
+        yield key, -1 - key % (1 << 30), ids, b"".join(names), pack(np.array(at, np.int32).reshape(-1, 3).T.ravel()), None
+        # A set of up to 3 shingles has no partner of similarity 0.8 but its equal.
+        own = [(i, x) for x, i in place.items() if len(x) > SHINGLE + 2]
+        if not own:
+            return
+        token = band_keys([x.decode("utf-8", "replace") for _, x in own]).ravel()
+        owner = np.repeat(np.array([i for i, _ in own], np.int32), BANDS)
+        mark = np.frombuffer(b"".join(names), "<u8")[0::2][owner]
+        mark = (mix(mark + token) >> np.uint64(48)).astype(np.uint16)
         order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
+        token, owner, mark = token[order], owner[order], mark[order]
         cut = np.searchsorted((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
         for b in range(buckets):
             lo, hi = cut[b], cut[b + 1]
             if lo < hi:
-                yield key, b, None, pack(token[lo:hi]), pack(owner[lo:hi]), None
+                yield key, b, None, pack(token[lo:hi]), pack(owner[lo:hi]), pack(mark[lo:hi])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, lines, size = TaskContext.get().partitionId(), 0, {}, 0
+        part, number, ids, docs, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, lines, size
-            rows = list(block(part << 20 | number, lines))
-            number, lines, size = number + 1, {}, 0
+            nonlocal number, ids, docs, size
+            rows = list(block(part << 20 | number, ids, docs))
+            number, ids, docs, size = number + 1, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
 
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                for line in (text or b"").lower().split(b"\n"):
-                    line = line.strip()
-                    # A set of up to 3 shingles has no partner of similarity 0.8 but its equal.
-                    if len(line) > SHINGLE + 2 and (h := hashlib.md5(line).digest()) not in lines:
-                        lines[h] = line
-                        size += len(line)
-                if size >= BLOCK_BYTES:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ids.append(doc)
+                docs.append(norms(text))
+                size += len(text or b"")
+                if size >= BLOCK_BYTES or len(ids) >= 20_000:
                     yield flush()
-        if lines:
+        if ids:
             yield flush()
 
     return run
 
 
+def _differ(table: pa.Table) -> pa.Table:
+    """One bucket: each block gets the keys that different lines have."""
+    if table.column("bucket")[0].as_py() < 0:
+        return table
+    tokens = [unpack(x, np.uint64) for x in table.column("a").to_pylist()]
+    mark = np.concatenate([unpack(x, np.uint16) for x in table.column("c").to_pylist()])
+    every, back = np.unique(np.concatenate(tokens), return_inverse=True)
+    low, high = np.full(len(every), 0xFFFF, np.uint16), np.zeros(len(every), np.uint16)
+    np.minimum.at(low, back, mark)
+    np.maximum.at(high, back, mark)
+    shared, ends, rows = (low < high)[back], np.cumsum([0, *map(len, tokens)]), []
+    for i, owner in enumerate(table.column("b").to_pylist()):
+        keep = shared[ends[i] : ends[i + 1]]
+        if keep.any():
+            rows.append((table.column("block")[i].as_py(), table.column("bucket")[i].as_py(), None, pack(tokens[i][keep]), pack(unpack(owner, np.int32)[keep]), None))
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(KINDS)], names=NAMES)
+
+
 def _shared(table: pa.Table) -> pa.Table:
     """One block: its lines' shared keys."""
     bucket = table.column("bucket").to_pylist()
@@ -118,6 +148,37 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(keys, pa.int64()), pa.array(own, pa.binary())], names=["key", "h"])
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, line_no, h) of a block's lines."""
+    for batch in batches:
+        for ids, names, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            doc, line, own = unpack(at, np.int32).reshape(3, -1)
+            h = pa.array([names[i : i + 16] for i in range(0, len(names), 16)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(line), h.take(pa.array(own))], names=["id", "line_no", "h"])
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, norm) of the lines that can have candidates, each once in a batch."""
+    for batch in batches:
+        found = {hashlib.md5(x).digest(): x for text in batch.column(0).cast(pa.binary()).to_pylist() for x in norms(text) if len(x) > SHINGLE + 2}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x.decode("utf-8", "replace") for x in found.values()])], names=["h", "norm"])
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the size and the bitmap of each line's set."""
+    for batch in batches:
+        n, bits = [], []
+        for line in batch.column(1).to_pylist():
+            tokens = np.array([hash_shingle(x) for x in shingles(line)], np.uint64)
+            n.append(len(tokens))
+            bits.append(bitmap(tokens).view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["h", "norm", "n", "bits"])
+
+
+def hash_shingle(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
+
+
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
@@ -138,28 +199,29 @@ def line_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
     """(id, line_no, class, first) of every line that isn't blank; class: a hash that lines alike share, first: the line that stays."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    lines = lines.select("id", "line_no", line_norm(F.col("line")).alias("norm")).where("norm <> ''").withColumn("h", F.unhex(F.md5(F.col("norm").cast("binary"))))
-    seen = scratch.save(lines.select("id", "line_no", "h"), "lines")
-
-    counted = scratch.save(docs.select(text_col).mapInArrow(_send(buckets), SENT).groupBy("bucket").applyInArrow(_count, SENT), "counted")
+    sent = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_send(buckets), SENT)
+    counted = scratch.save(sent.groupBy("bucket").applyInArrow(_differ, SENT), "counted")
+    seen = scratch.save(counted.where("bucket < 0").select("ids", "a", "b").mapInArrow(_places, "id long, line_no int, h binary"), "lines")
     keys = scratch.save(counted.groupBy("block").applyInArrow(_shared, "key long, h binary").distinct(), "keys")
     scratch.drop("counted")
-    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    keys = scratch.save(keys.join(several, "key"), "shared")
     names = scratch.save(keys.select("h").distinct(), "names")
     small = names.count() * ENTRY_BYTES <= broadcast_bytes
     # Texts of the lines that have candidates, one row each, and a number that stays as the table is written.
-    texts = lines.select("h", "norm").join(F.broadcast(names) if small else names, "h", "left_semi").dropDuplicates(["h"])
+    texts = docs.select(text_col).mapInArrow(_named, "h binary, norm string").join(F.broadcast(names) if small else names, "h", "left_semi").dropDuplicates(["h"])
+    texts = texts.mapInArrow(_described, "h binary, norm string, n int, bits array<long>")
     texts = scratch.save(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
 
+    def near(a: dict, b: dict):
+        differ = F.aggregate(F.zip_with(a["bits"], b["bits"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return (F.greatest(a["n"], b["n"]) * percent <= 100 * F.least(a["n"], b["n"])) & (differ * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent))
+
     def verify(pairs: DataFrame) -> DataFrame:
         x = texts.select(F.col("id").alias("a"), F.col("norm").alias("x"))
         y = texts.select(F.col("id").alias("b"), F.col("norm").alias("y"))
         return pairs.join(x, "a").join(y, "b").where(_alike(percent)("x", "y")).select("a", "b")
 
-    index = keys.join(texts.select("h", "id"), "h").select("key", "id")
-    roots = cluster(index, verify, scratch)
+    index = keys.join(texts.select("h", "id", "n", "bits"), "h").select("key", "id", "n", "bits")
+    roots = cluster(index, verify, scratch, near)
     own, top = texts.select(F.col("id").alias("node"), "h"), texts.select(F.col("id").alias("root"), F.col("h").alias("class"))
     moved = scratch.save(roots.join(own, "node").join(top, "root").select("h", "class"), "moved")
     classed = seen.join(moved, "h", "left").select("id", "line_no", F.coalesce("class", "h").alias("class"))
