@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,11 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidemark.llm.pretokens import pretokens
-from tidemark.llm.shingle_join import mix
 
 #: Bytes of a word beyond which a heap takes over; text of a batch; words that a worker keeps.
 LONG, BATCH_CHARS, WORDS = 64, 2 << 20, 400_000
-NONE = np.int64(1 << 40)
+NONE = np.int32((1 << 31) - 1)
 
 
 def read_ranks(content: str) -> dict[bytes, int]:
@@ -37,9 +37,16 @@ class Merges:
         self.ranks = ranks
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.bits = max(4, len(pairs).bit_length() + 2)
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE)
-        key, value = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
+        key, value = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32)
+        #: Pairs of single bytes have a table of their own, small enough to stay in a CPU's cache.
+        self.byte_of = np.full(int(max(ranks.values(), default=0)) + 1, -1, np.int32)
+        self.byte_of[self.bytes] = np.arange(256)
+        left, right = self.byte_of[key >> 32], self.byte_of[key & 0xFFFFFFFF]
+        self.first = np.full(1 << 16, NONE, np.int32)
+        plain = (left >= 0) & (right >= 0)
+        self.first[left[plain] << 8 | right[plain]] = value[plain]
+        self.bits = max(4, len(pairs).bit_length() + 1)
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
         slot = self._slot(key)
         while len(key):
             free = np.flatnonzero(self.keys[slot] == -1)
@@ -49,18 +56,22 @@ class Merges:
             key, value, slot = key[lost], value[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        return (mix(key) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
-        out, slot = np.full(len(key), NONE), self._slot(key)
-        open_ = np.arange(len(key))
+        """The rank of each pair, NONE for one that no token consists of."""
+        key = left.astype(np.int64) << 32 | right
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.values[slot], NONE)
+        open_ = np.flatnonzero((there != key) & (there != -1))
         while len(open_):
+            slot = (slot[open_] if len(slot) == len(key) else slot) + 1 & ((1 << self.bits) - 1)
             there = self.keys[slot]
             hit = there == key[open_]
             out[open_[hit]] = self.values[slot[hit]]
             on = ~hit & (there != -1)
-            open_, slot = open_[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+            open_, slot = open_[on], slot[on]
         return out
 
     def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
@@ -76,29 +87,44 @@ class Merges:
         return [x or () for x in out]
 
     def _short(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """All words at once; ranks of pairs are kept and looked up anew only beside a merge."""
         out: list = [None] * len(words)
-        symbol = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
-        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        size = np.array([len(w) for w in words])
+        symbol, owner = self.bytes[raw].astype(np.int32), np.repeat(np.arange(len(words), dtype=np.int32), size)
+        pair = np.full(len(raw), NONE, np.int32)
+        pair[:-1] = self.first[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+        first = np.cumsum(size) - size
+        pair[first + size - 1] = NONE
         while len(symbol):
-            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            pair = np.full(len(symbol), NONE)
-            inner = np.flatnonzero(owner[1:] == owner[:-1])
-            pair[inner] = self.rank(symbol[inner], symbol[inner + 1])
             least = np.minimum.reduceat(pair, first)
-            size = np.diff(np.append(first, len(symbol)))
+            ended = least == NONE
             wide = np.repeat(least, size)
-            done = wide == NONE
-            if done.any():
-                ended = np.flatnonzero(least == NONE)
-                flat = symbol.tolist()
-                for w, a, n in zip(owner[first[ended]].tolist(), first[ended].tolist(), size[ended].tolist(), strict=True):
-                    out[w] = tuple(flat[a : a + n])
-            hit = np.flatnonzero(~done & (pair == wide))
-            hit = hit[np.concatenate(([True], owner[hit][1:] != owner[hit][:-1]))] if len(hit) else hit
+            if ended.any():
+                gone = np.repeat(ended, size)
+                flat, at = symbol[gone].tolist(), 0
+                for w, n in zip(owner[first[ended]].tolist(), size[ended].tolist(), strict=True):
+                    out[w] = tuple(flat[at : at + n])
+                    at += n
+                keep = ~gone
+                symbol, owner, pair, wide, size = symbol[keep], owner[keep], pair[keep], wide[keep], size[~ended]
+                if not len(symbol):
+                    break
+                first = np.cumsum(size) - size
+            hit = np.flatnonzero(pair == wide)
+            hit = hit[np.concatenate(([True], owner[hit][1:] != owner[hit][:-1]))]
             symbol[hit] = pair[hit]
-            stay = ~done
+            stay = np.ones(len(symbol), bool)
             stay[hit + 1] = False
-            symbol, owner = symbol[stay], owner[stay]
+            symbol, owner, pair = symbol[stay], owner[stay], pair[stay]
+            hit = hit - np.arange(len(hit))
+            size = size - 1
+            first = np.cumsum(size) - size
+            ends = np.append(owner[1:] != owner[:-1], True)
+            for at in (hit, hit[hit > 0] - 1):
+                open_ = at[~ends[at]]
+                pair[at] = NONE
+                pair[open_] = self.rank(symbol[open_], symbol[open_ + 1])
         return out
 
     def _long(self, word: bytes) -> tuple[int, ...]:
@@ -129,25 +155,33 @@ class Merges:
 
 
 class WordCache(dict):
-    """Places of words; new words wait for their ids. ids: per place."""
+    """Places of words; the ids of all words are one array, and new words wait until a batch has all of them."""
 
     def __init__(self, encode, most: int = WORDS):
         super().__init__()
-        self.encode, self.most, self.wait, self.ids = encode, most, [], []
+        self.encode, self.most, self.wait = encode, most, []
+        self.ids, self.ends = array("i"), array("q", [0])
 
     def __missing__(self, word: str) -> int:
         place = self[word] = len(self)
         self.wait.append(word)
         return place
 
-    def places(self, words: list[str]) -> list[int]:
+    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
         if len(self) > self.most:
             self.clear()
-            self.ids.clear()
-        out = [self[w] for w in words]
-        self.ids += self.encode(self.wait)
+            self.ids, self.ends = array("i"), array("q", [0])
+        places = np.array([self[w] for w in words], np.int64)
+        for ids in self.encode(self.wait):
+            self.ids.extend(ids)
+            self.ends.append(len(self.ids))
         self.wait = []
-        return out
+        ids, ends = np.array(self.ids, np.int32), np.array(self.ends, np.int64)
+        size = ends[places + 1] - ends[places]
+        total = np.cumsum(size)
+        at = np.repeat(ends[places] - total + size, size) + np.arange(total[-1] if len(total) else 0)
+        return ids[at], size
 
 
 def chunks(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[list[str]]:
@@ -163,14 +197,13 @@ def chunks(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[list[st
         yield held
 
 
-def text_ids(texts: list[str], cache: WordCache) -> list[list[int]]:
-    """Ids of each text."""
+def text_ids(texts: list[str], cache: WordCache) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after the other, and how many each has."""
     words, counts = pretokens(texts)
-    places, ids, out, at = cache.places(words), cache.ids, [], 0
-    for n in counts.tolist():
-        out.append([i for p in places[at : at + n] for i in ids[p]])
-        at += n
-    return out
+    ids, size = cache.lookup(words)
+    ends = np.append(0, np.cumsum(size))
+    text_ends = np.cumsum(counts)
+    return ids, ends[text_ends] - ends[text_ends - counts]
 
 
 @lru_cache(maxsize=2)
@@ -193,7 +226,8 @@ def encode(docs: DataFrame, ranks: str, text_col: str = "text", name: str = "ids
         for batch in batches:
             done = 0
             for part in chunks(batch.column(at).to_pylist()):
-                ids = pa.array(text_ids(part, cache), pa.list_(pa.int32()))
+                flat, size = text_ids(part, cache)
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(flat))
                 rows = batch.slice(done, len(part))
                 done += len(part)
                 yield pa.RecordBatch.from_arrays([*rows.columns, ids], names=[*batch.schema.names, name])
@@ -215,7 +249,9 @@ def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids", name: str = "de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = _pieces(held.value).__getitem__
         for batch in batches:
-            out = [None if ids is None else b"".join(map(piece, ids)) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, name])
+            for at_row in range(0, len(batch), 256):
+                part = batch.slice(at_row, 256)
+                out = [None if ids is None else b"".join(map(piece, ids)) for ids in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, name])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(name, T.BinaryType())]))

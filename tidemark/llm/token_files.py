@@ -23,7 +23,7 @@ from tidemark.llm.common import Scratch
 from tidemark.llm.shingle_join import pack, unpack
 
 #: Words that a worker keeps.
-WORDS = 600_000
+WORDS = 500_000
 #: Lengths of the four values of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -74,11 +74,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, scratch: Scrat
         for batch in batches:
             done = 0
             for part in chunks(batch.column(1).to_pylist()):
-                ids = text_ids(part, cache)
-                flat = np.array([i for x in ids for i in (*x, end)], np.uint32)
+                flat, size = text_ids(part, cache)
+                flat = np.insert(flat.astype(np.uint32), np.cumsum(size), np.uint32(end))
                 doc = batch.column(0).slice(done, len(part)).to_pylist()
                 done += len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([doc], pa.list_(pa.int64())), pa.array([[len(x) + 1 for x in ids]], pa.list_(pa.int64())), pa.array([pack(flat)], pa.binary())], names=["file", "block", "doc_ids", "sizes", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([doc], pa.list_(pa.int64())), pa.array([(size + 1).tolist()], pa.list_(pa.int64())), pa.array([pack(flat)], pa.binary())], names=["file", "block", "doc_ids", "sizes", "ids"])
                 block += 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
