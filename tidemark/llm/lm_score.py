@@ -4,9 +4,10 @@ P(word | previous) mixes the maximum-likelihood bigram, unigram and uniform esti
 (power of two) of the previous word and are learned by expectation-maximisation: a part of the training texts is deleted from
 the counts, and the weights that make it likeliest are those of the bucket. The final counts are of all training texts.
 
-Texts are read once, in blocks. A block sends the distinct words and bigrams it has, as sorted packed 64-bit hashes with
-its own training counts, to buckets that add up the counts of the corpus and send them back; it then scores its texts. So the shuffle
-holds each distinct n-gram of a block once, a frequent one is a row of each block and no hot key, and no task holds a vocabulary.
+Texts are read once, into a table of blocks that hold word places and word hashes. A block sends the distinct words and bigrams it
+has, as sorted packed 64-bit hashes with its own training counts, to buckets that add up the counts of the corpus and send them back; it then
+scores its texts. So the shuffle holds each distinct n-gram of a block once, a frequent one is a row of each block and no hot
+key, and no task holds a vocabulary.
 """
 
 from __future__ import annotations
@@ -37,44 +38,54 @@ def _bigrams(words: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tupl
     return context, mix(mix(every[context] + np.uint64(1)) + every[words])
 
 
-def _send(buckets: int):
-    def block(key: int, ids: list, roles: list[int], texts: list[bytes]) -> Iterator[tuple]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, bucket below 0, ids, hashes of words and END, places of all tokens, lengths and roles)."""
+    from pyspark import TaskContext
+
+    part, number, rows, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal number, rows, size
+        ids, roles, texts = map(list, zip(*rows, strict=True))
+        key, number, rows, size = part << 20 | number, number + 1, [], 0
         place: dict[bytes, int] = {}
         seqs = [[place.setdefault(w, len(place)) for w in text.lower().split()] for text in texts]
         hashes = np.array([*map(xxhash.xxh3_64_intdigest, place), int(END)], np.uint64)
-        end = len(place)
-        words = np.array([x for s in seqs for x in (*s, end)], np.int32)
-        lengths = np.array([len(s) + 1 for s in seqs], np.int32)
-        yield key, -1 - key % (1 << 30), ids, pack(hashes), pack(words), pack(np.concatenate((lengths, np.array(roles, np.int32))))
-        role = np.repeat(np.array(roles), lengths)
-        grams = _bigrams(words, lengths, hashes)[1]
-        for level, (token, back) in enumerate((_ordered(hashes, words), np.unique(grams, return_inverse=True))):
-            count = [np.bincount(back[role == r], minlength=len(token)).astype(np.uint32) for r in (KEPT, DELETED)]
-            cut = np.searchsorted((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-            for b in range(buckets):
-                lo, hi = cut[b], cut[b + 1]
-                if lo < hi:
-                    yield key, 2 * b + level, None, pack(token[lo:hi]), pack(count[0][lo:hi]), pack(count[1][lo:hi])
+        words = np.array([x for s in seqs for x in (*s, len(place))], np.int32)
+        # Frequent words have small places, whose bytes pack better.
+        order = np.argsort(-np.bincount(words, minlength=len(hashes))[:-1], kind="stable")
+        new = np.empty(len(hashes), np.int32)
+        new[np.append(order, len(place))] = np.arange(len(hashes))
+        hashes = hashes[np.append(order, len(place))]
+        tail = np.array([*(len(s) + 1 for s in seqs), *roles], np.int32)
+        row = (key, -1 - key % (1 << 30), ids, pack(hashes), pack(new[words]), pack(tail))
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, KINDS, strict=True)], names=NAMES)
+
+    for batch in batches:
+        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+            rows.append((row[0], row[1], row[2] or b""))
+            size += len(rows[-1][2])
+            if size >= 2 * BLOCK_BYTES or len(rows) >= 20_000:
+                yield flush()
+    if rows:
+        yield flush()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part, number, rows, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal number, rows, size
-            out = list(block(part << 20 | number, *map(list, zip(*rows, strict=True))))
-            number, rows, size = number + 1, [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), KINDS, strict=True)], names=NAMES)
+def _send(buckets: int):
+    """Per bucket a block's distinct words or bigrams with its counts of kept and of deleted texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                rows.append((row[0], row[1], row[2] or b""))
-                size += len(rows[-1][2])
-                if size >= BLOCK_BYTES or len(rows) >= 20_000:
-                    yield flush()
-        if rows:
-            yield flush()
+            for key, a, b, c in zip(*(batch.column(x).to_pylist() for x in ("block", "a", "b", "c")), strict=True):
+                hashes, words = unpack(a, np.uint64), unpack(b, np.int32)
+                lengths, roles = np.split(unpack(c, np.int32), 2)
+                role, rows = np.repeat(roles, lengths), []
+                grams = _bigrams(words, lengths, hashes)[1]
+                for level, (token, back) in enumerate((_ordered(hashes, words), np.unique(grams, return_inverse=True))):
+                    count = [np.bincount(back[role == r], minlength=len(token)).astype(np.uint32) for r in (KEPT, DELETED)]
+                    cut = np.searchsorted((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+                    rows += [(key, 2 * k + level, None, pack(token[lo:hi]), pack(count[0][lo:hi]), pack(count[1][lo:hi])) for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if lo < hi]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
 
     return run
 
@@ -90,15 +101,15 @@ def _ordered(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _total(table: pa.Table) -> pa.Table:
     """One bucket of words or bigrams: the corpus counts of each block's n-grams, and of words a row of sums."""
     bucket = table.column("bucket")[0].as_py()
-    if bucket < 0:
-        return table
     token = [unpack(x, np.uint64) for x in table.column("a").to_pylist()]
     every, back = np.unique(np.concatenate(token), return_inverse=True)
-    kept, deleted = (np.bincount(back, np.concatenate([unpack(x, np.uint32) for x in table.column(c).to_pylist()]), len(every)).astype(np.uint64) for c in "bc")
-    ends = np.cumsum([0, *map(len, token)])
-    rows = [(key, bucket, None, pack(kept[at]), pack(deleted[at]), None) for key, lo, hi in zip(table.column("block").to_pylist(), ends[:-1], ends[1:], strict=True) for at in [back[lo:hi]]]
+    own = [np.concatenate([unpack(x, np.uint32) for x in table.column(c).to_pylist()]) for c in "bc"]
+    kept, deleted = (np.bincount(back, x, len(every)).astype(np.uint64) for x in own)
+    both, ends = kept + deleted, np.cumsum([0, *map(len, token)])
+    # Counts without the deleted texts are wanted only for what a block's own deleted texts have.
+    rows = [(key, bucket, None, pack(both[back[lo:hi]]), pack(kept[back[lo:hi]][own[1][lo:hi] > 0]), pack(own[1][lo:hi] > 0)) for key, lo, hi in zip(table.column("block").to_pylist(), ends[:-1], ends[1:], strict=True)]
     if bucket % 2 == 0:
-        rows.append((-1, bucket, [int(kept.sum()), int(deleted.sum()), int((kept > 0).sum()), int((kept + deleted > 0).sum())], None, None, None))
+        rows.append((-1, bucket, [int(kept.sum()), int(deleted.sum()), int((kept > 0).sum()), int((both > 0).sum())], None, None, None))
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(KINDS)], names=NAMES)
 
 
@@ -122,24 +133,26 @@ def _join(kept_tokens: int):
         counts = []
         for level in (0, 1):
             own = [r for r in rows[1:] if r[0] % 2 == level]
-            counts.append([np.concatenate([unpack(r[k], np.uint64) for r in own]).astype(np.float64) for k in (2, 3)])
+            both, mask = (np.concatenate([unpack(r[k], t) for r in own]) for k, t in ((2, np.uint64), (4, bool)))
+            kept = np.zeros(len(both), np.uint64)
+            kept[mask] = np.concatenate([unpack(r[3], np.uint64) for r in own])
+            counts.append([both, kept])
         context, grams = _bigrams(words, lengths, hashes)
         back = np.unique(grams, return_inverse=True)[1]
         order = np.argsort(hashes)
-        one = [np.empty(len(order)) for _ in range(2)]
+        one = [np.empty(len(order), np.uint64) for _ in range(2)]
         for k in range(2):
             one[k][order] = counts[0][k]
-        two = [counts[1][k][back] for k in range(2)]
-        # START stands before each text as END stands after it.
+        # START stands before each text as END stands after it. A context that no deleted text has as a word has no deleted bigram.
         before = np.where(context == len(hashes), len(hashes) - 1, context)
         deleted = np.repeat(roles == DELETED, lengths)
-        c1, ch, c2 = one[0][words[deleted]], one[0][before[deleted]], two[0][deleted]
+        c1, ch, c2 = (x.astype(np.float64) for x in (one[1][words[deleted]], one[1][before[deleted]], counts[1][1][back[deleted]]))
         cells = np.stack((context_bucket(ch), _steps(c2 / np.maximum(ch, 1)), _steps(c1 / max(1, kept_tokens))))
         cells, n = np.unique(cells, axis=1, return_counts=True)
         flat = [*cells.ravel().tolist(), *n.tolist()]
-        out = ([0], [head[1]], [pack(tail)], [pack(np.stack([(one[0] + one[1])[x] for x in (words, before)]).astype(np.uint64).ravel())], [pack((two[0] + two[1]).astype(np.uint64))], [flat])
-        kinds = [pa.int32(), KINDS[2], *[pa.binary()] * 3, pa.list_(pa.int64())]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["level", "ids", "texts", "one", "two", "cells"])
+        out = ([head[1]], [head[3]], [head[4]], [pack(one[0])], [pack(counts[1][0][back])], [flat])
+        kinds = [KINDS[2], *[pa.binary()] * 4, pa.list_(pa.int64())]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["ids", "words", "texts", "one", "two", "cells"])
 
     return run
 
@@ -168,10 +181,11 @@ def learn_weights(cells: np.ndarray, vocabulary: int) -> np.ndarray:
 def _score(weights: np.ndarray, tokens: int, vocabulary: int, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts, one, two in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for ids, places, texts, one, two in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 lengths, roles = np.split(unpack(texts, np.int32), 2)
-                c1, ch = np.split(unpack(one, np.uint64).astype(np.float64), 2)
-                c2 = unpack(two, np.uint64).astype(np.float64)
+                words, one = unpack(places, np.int32), unpack(one, np.uint64).astype(np.float64)
+                before = np.append(len(one) - 1, words[:-1])
+                c1, ch, c2 = one[words], one[before], unpack(two, np.uint64).astype(np.float64)
                 w = weights[context_bucket(ch)]
                 p = w[:, 0] * c2 / np.maximum(ch, 1) + w[:, 1] * c1 / max(1, tokens) + w[:, 2] / (vocabulary + 1)
                 base = np.log10((c1 + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
@@ -194,14 +208,16 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     deleted = F.pmod(F.xxhash64(F.lit("deleted"), F.col(id_col)), F.lit(DELETE)) == 0
     role = F.when(F.coalesce(trains, F.lit(False)), F.when(deleted, DELETED).otherwise(KEPT)).otherwise(UNUSED)
-    sent = docs.select(F.col(id_col).cast("long"), role.cast("int"), F.col(text_col)).mapInArrow(_send(buckets), SENT)
-    got = scratch.save(sent.groupBy("bucket").applyInArrow(_total, SENT), "counted")
+    sent = docs.select(F.col(id_col).cast("long"), role.cast("int"), F.col(text_col)).mapInArrow(_blocks, SENT)
+    blocks = scratch.save(sent, "blocks")
+    got = scratch.save(blocks.mapInArrow(_send(buckets), SENT).groupBy("bucket").applyInArrow(_total, SENT), "counted")
     sums = got.where("block = -1").agg(*[F.coalesce(F.sum(F.col("ids")[k]), F.lit(0)).alias(f"s{k}") for k in range(4)]).first()
     tokens, kept_words, words = sums["s0"] + sums["s1"], sums["s2"], sums["s3"]
 
-    joined = got.where("block >= 0").groupBy("block").applyInArrow(_join(sums["s0"]), "level int, ids array<long>, texts binary, one binary, two binary, cells array<long>")
+    shape = "ids array<long>, words binary, texts binary, one binary, two binary, cells array<long>"
+    joined = blocks.unionByName(got.where("block >= 0")).groupBy("block").applyInArrow(_join(sums["s0"]), shape)
     joined = scratch.save(joined, "joined")
-    scratch.drop("counted")
+    scratch.drop("blocks", "counted")
     quarter = F.size("cells") / 4
     cell = F.transform(F.sequence(F.lit(0), quarter.cast("int") - 1), lambda i: F.struct(*[F.get("cells", (i + k * quarter).cast("int")).alias(f"c{k}") for k in range(4)]))
     cells = joined.where("size(cells) > 0").select(F.explode(cell).alias("x")).groupBy("x.c0", "x.c1", "x.c2").agg(F.sum("x.c3").alias("n"))
@@ -209,4 +225,4 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     table = np.array([tuple(r) for r in cells.collect()], np.int64).reshape(-1, 4)
     weights = learn_weights(table[np.lexsort(table.T)] if len(table) else table, kept_words)
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return joined.select("ids", "texts", "one", "two").mapInArrow(_score(weights, tokens, words, id_col), schema)
+    return joined.select("ids", "words", "texts", "one", "two").mapInArrow(_score(weights, tokens, words, id_col), schema)
