@@ -43,7 +43,7 @@ def alias_values(payload: Column, paths: Sequence[str]) -> Column:
         items = F.from_json(raw, "array<string>")
         return F.when(F.coalesce(raw.startswith("["), F.lit(False)), F.coalesce(items, F.array().cast("array<string>"))).otherwise(F.array(raw))
 
-    trimmed = F.transform(F.flatten(F.array(*[values(p) for p in paths])), F.trim)
+    trimmed = F.transform(F.flatten(F.array(*[values(p) for p in paths])), lambda x: F.trim(x))
     return F.array_distinct(F.filter(trimmed, lambda x: x.isNotNull() & (x != "") & ~x.startswith("{")))
 
 

@@ -33,9 +33,10 @@ def clean_cell(text: Column) -> Column:
     return F.btrim(F.trim(text), F.lit('"'))
 
 
-def slug(text: Column) -> Column:
-    dashed = F.regexp_replace(F.lower(F.trim(text)), r"[^\p{L}\p{N}_]+", "-")
-    return F.substring(F.regexp_replace(dashed, r"^-+|-+$", ""), 1, 80)
+def slug(text: Column, most: int = 80) -> Column:
+    """Lower-case Latin letters, digits, Hangul syllables, '_' and '-', dashes for all else; 'item' if nothing is left."""
+    dashed = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9가-힣_-]+", "-"), "-+", "-")
+    return F.coalesce(F.nullif(F.substring(F.btrim(dashed, F.lit("-")), 1, most), F.lit("")), F.lit("item"))
 
 
 def excerpt(text: Column, most: int = 1200) -> Column:

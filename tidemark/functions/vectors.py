@@ -17,8 +17,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Signed feature hashing of terms and bigrams, of length 1 (or 0 without features)."""
-    hashes = F.transform(F.array_distinct(F.concat(text_terms(text), text_bigrams(text))), lambda f: F.sha2(f.cast("binary"), 256))
+    """Signed feature hashing of terms and of bigrams, of length 1 (or 0 without features). A term that is a bigram counts as both."""
+    hashes = F.transform(F.concat(text_terms(text), text_bigrams(text)), lambda f: F.sha2(f.cast("binary"), 256))
     number = lambda h, at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")
     pairs = F.transform(hashes, lambda h: F.struct((number(h, 1, 8) % dimensions).alias("at"), F.when(number(h, 9, 2) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
     sums = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(pairs, lambda p: p["at"] == i), F.lit(0.0), lambda s, p: s + p["sign"]))

@@ -21,7 +21,7 @@ def map_check(rows: DataFrame, weights: str) -> DataFrame:
     return rows.where(F.coalesce(total.isNull() | (F.abs(total - 1) > TOLERANCE), F.lit(True)))
 
 
-def repeated_keys(rows: DataFrame, policy: Column, order: str, *keys: str) -> DataFrame:
+def repeated_keys(rows: DataFrame, policy: Column, order: str | Column, *keys: str) -> DataFrame:
     """Rows whose key was seen before them in input order, unless their own policy is fractional."""
     seen = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) > 1
     return rows.withColumn("seen_before", seen).where(F.col("seen_before") & ~F.coalesce(policy.startswith("fractional"), F.lit(False))).drop("seen_before")

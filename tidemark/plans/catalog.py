@@ -1,8 +1,6 @@
-"""Registry of the engine's queries and their oracle SQL."""
+"""All queries of the engine and their oracle SQL."""
 
-from __future__ import annotations
+from tidemark.plans import market, records, texts  # noqa: F401  they register their queries
+from tidemark.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -14,8 +14,8 @@ from tidemark.functions.text import clean_cell
 #: Encodings in the order of trial, required columns, and where a file may hold the time of collection.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "euc-kr")
 REQUIRED = ("date", "time", "title")
-COLLECTED = ("collected_at", "collected_datetime", "crawled_at", "scraped_at", "fetched_at", "saved_at")
-COLLECTED_DATE, COLLECTED_TIME = ("collected_date", "crawled_date", "scraped_date"), ("collected_time", "crawled_time", "scraped_time")
+COLLECTED = ("collected_at", "collected_datetime", "retrieved_at", "crawl_at", "crawled_at", "scraped_at")
+COLLECTED_DATE, COLLECTED_TIME = ("collected_date", "retrieved_date", "crawl_date"), ("collected_time", "retrieved_time", "crawl_time")
 
 
 def _content(spark: SparkSession, path: str) -> bytes:

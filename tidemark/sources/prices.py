@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import parse_number
 from tidemark.functions.text import header_name
 
-#: Header names, after dropping all but letters and digits, of each field in order of trial.
+#: Header names of each field, letters and digits alone; they are tried in alphabetical order.
 FIELDS = {
-    "trade_date": ("d", "date", "tradedate"), "o": ("o", "open"), "h": ("h", "high"), "l": ("l", "low"), "c": ("c", "close"),
-    "v": ("v", "volume"), "a": ("a", "amount"), "mc": ("marketcap", "mc"), "s": ("listedshares", "s", "shares"),
-}
+    "trade_date": "d date tradedate",
+    "o": "o open openprice",
+    "h": "h high highprice",
+    "l": "l low lowprice",
+    "c": "c close closeprice",
+    "v": "v vol volume",
+    "a": "a amount tradingvalue value",
+    "mc": "marcap marketcap mc",
+    "s": "listedshares s shares stocks",
+}
 
 
 def read_prices(spark: SparkSession, root: str) -> DataFrame:
@@ -37,7 +44,7 @@ def read_prices(spark: SparkSession, root: str) -> DataFrame:
 def _read(spark: SparkSession, head: str, paths: list[str]) -> DataFrame:
     raw = spark.read.option("header", True).csv(paths)
     held = {header_name(c): c for c in raw.columns}
-    cols = {f: [F.col(f"`{held[a]}`") for a in names if a in held] for f, names in FIELDS.items()}
+    cols = {f: [F.col(f"`{held[a]}`") for a in names.split() if a in held] for f, names in FIELDS.items()}
     number = lambda f: parse_number(*cols[f]) if cols[f] else F.lit(None).cast("double")
     ticker = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{6})/[^/]+$", 1)
     return raw.select(ticker.alias("ticker"), F.coalesce(*cols["trade_date"]).try_cast("date").alias("trade_date"), *[number(f).alias(f) for f in FIELDS if f != "trade_date"])
