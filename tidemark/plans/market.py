@@ -145,19 +145,20 @@ def eligibility_matrix(t: Tables) -> DataFrame:
     return out.select("o_orderkey", *rules, F.array_join("failed_rules", "|").alias("failed_rules"))
 
 
-DAY = F.lit("2024-01-15").cast("date")
+def _day():
+    return F.lit("2024-01-15").cast("date")
 
 
 @query("SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-14 15:30:00' AND TIMESTAMP '2024-01-15 08:59:59'")
 def news_window(t: Tables) -> DataFrame:
-    return t.events.where(news.in_window(F.col("ts"), clock.window_start(DAY), clock.cutoff(DAY))).select("event_id", "ts")
+    return t.events.where(news.in_window(F.col("ts"), clock.window_start(_day()), clock.cutoff(_day()))).select("event_id", "ts")
 
 
 DISPOSED = "d AS (SELECT *, CASE WHEN ts > TIMESTAMP '2024-01-15 08:59:59' THEN 'EXCLUDED_AFTER_CUTOFF' WHEN ts < TIMESTAMP '2024-01-14 15:30:00' THEN 'EXCLUDED_BEFORE_WINDOW' ELSE 'INCLUDED' END AS disposition FROM events)"
 
 
 def _disposed(t: Tables) -> DataFrame:
-    return news.disposition(t.events, "ts", clock.window_start(DAY), clock.cutoff(DAY))
+    return news.disposition(t.events, "ts", clock.window_start(_day()), clock.cutoff(_day()))
 
 
 @query(f"WITH {DISPOSED} SELECT event_id, disposition FROM d")
