@@ -224,5 +224,7 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     # At most 66 buckets by two estimates in steps of a sixteenth of a halving, however large the corpus.
     table = np.array([tuple(r) for r in cells.collect()], np.int64).reshape(-1, 4)
     weights = learn_weights(table[np.lexsort(table.T)] if len(table) else table, kept_words)
+    if not tokens:
+        weights[:] = 0.0, 0.0, 1.0
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return joined.select("ids", "words", "texts", "one", "two").mapInArrow(_score(weights, tokens, words, id_col), schema)
