@@ -13,7 +13,7 @@ TIME = r"^([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d$"
 def at_time(day: Column, time: str | Column) -> Column:
     """A day and H:M:S as a time; null if the time isn't one."""
     time = F.lit(time) if isinstance(time, str) else F.trim(time)
-    part = lambda i: F.lpad(F.split(time, ":")[i], 2, "0")
+    part = lambda i: F.lpad(F.get(F.split(time, ":"), F.lit(i)), 2, "0")
     text = F.concat(day.cast("date").cast("string"), F.lit(" "), part(0), F.lit(":"), part(1), F.lit(":"), part(2))
     return F.when(time.rlike(TIME), text.cast("timestamp_ntz"))
 
