@@ -74,7 +74,7 @@ def test_news_csv(spark, tmp_path):
 
 
 def test_bundle(spark):
-    text = "---\nepisode_id: 'EP-1'\n---\n<!-- NSLAB:BEGIN a.jsonl -->\n```json\n{\"x\": 1}\n\n[2]\n```\n<!-- NSLAB:END a.jsonl -->\n<!-- NSLAB:BEGIN b.json -->\n"
+    text = "---\nepisode_id: 'EP-1'\n---\n<!-- BUNDLE:BEGIN a.jsonl -->\n```json\n{\"x\": 1}\n\n[2]\n```\n<!-- BUNDLE:END a.jsonl -->\n<!-- BUNDLE:BEGIN b.json -->\n"
     t = spark.createDataFrame([("p", text)], "path string, text string")
     assert [(r["key"], r["value"]) for r in bundles.front_matter(t).collect()] == [("episode_id", "EP-1")]
     assert [(r["line"], r["valid"]) for r in bundles.json_lines(bundles.blocks(t)).orderBy("line").collect()] == [(1, True), (2, False)]

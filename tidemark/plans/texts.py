@@ -136,7 +136,7 @@ def bundle_blocks(t: Tables) -> DataFrame:
     """Each conversation as a bundle with a front matter and a JSONL block of its turns, parsed again."""
     line = F.to_json(F.struct("turn", "role"))
     bundle = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("j")))), lambda x: x["j"]), "\n").alias("body"))
-    made = F.concat(F.lit("---\nepisode_id: 'EP-"), F.col("conv_id"), F.lit("'\n---\n<!-- NSLAB:BEGIN turns.jsonl -->\n```json\n"), F.col("body"), F.lit("\n```\n<!-- NSLAB:END turns.jsonl -->\n"))
+    made = F.concat(F.lit("---\nepisode_id: 'EP-"), F.col("conv_id"), F.lit("'\n---\n<!-- BUNDLE:BEGIN turns.jsonl -->\n```json\n"), F.col("body"), F.lit("\n```\n<!-- BUNDLE:END turns.jsonl -->\n"))
     parsed = bundles.json_lines(bundles.blocks(bundle.select(F.col("conv_id").cast("string").alias("path"), made.alias("text"))))
     return parsed.select("path", "line", F.get_json_object("payload", "$.role").alias("role"), "valid")
 
