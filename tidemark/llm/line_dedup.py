@@ -19,13 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.clusters import cluster
 from tidemark.llm.common import Scratch
-from tidemark.llm.shingle_join import BLOCK_BYTES, KINDS, NAMES, SENT, bitmap, mix, pack, unpack
+from tidemark.llm.shingle_join import BLOCK_BYTES, BITS, KINDS, NAMES, SENT, mix, pack, unpack
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 20, 6
 SPACE = " \t\n\x0b\x0c\r"
@@ -39,9 +38,8 @@ def norms(text: bytes | None) -> list[bytes]:
     return [x.strip() for x in (text or b"").lower().split(b"\n")]
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """For each line its BANDS keys, as rows of a matrix of 64-bit integers."""
-    bins = BANDS * ROWS
+def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each shingle, with the place of its line."""
     padded = [x if len(x) >= SHINGLE else x + "\0" * (SHINGLE - len(x)) for x in lines]
     size = np.array([len(x) for x in padded], np.int64)
     code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -50,7 +48,26 @@ def band_keys(lines: list[str]) -> np.ndarray:
     h = np.zeros(len(code) - SHINGLE + 1, np.uint64)
     for i in range(SHINGLE):
         h = h * np.uint64(0x9E3779B97F4A7C15) + code[i : len(code) - SHINGLE + 1 + i]
-    h, owner = mix(h[full]), owner[: len(full)][full]
+    return mix(h[full]), owner[: len(full)][full]
+
+
+def described(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each line's set, and BITS bits, each the parity of the shingles that hash to it."""
+    if not lines:
+        return np.zeros(0, np.int32), np.zeros((0, BITS // 64), np.int64)
+    h, owner = hashed(lines)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    once = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))
+    h, owner = h[once], owner[once]
+    odd = np.bincount(owner * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=len(lines) * BITS) % 2
+    return np.bincount(owner, minlength=len(lines)).astype(np.int32), np.packbits(odd.astype(np.uint8).reshape(len(lines), BITS), axis=1).view(np.int64)
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """For each line its BANDS keys, as rows of a matrix of 64-bit integers."""
+    bins = BANDS * ROWS
+    h, owner = hashed(lines)
     place = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     least = np.full(len(lines) * bins, EMPTY, np.uint32)
     np.minimum.at(least, owner * bins + place, (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
@@ -167,16 +184,11 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the size and the bitmap of each line's set."""
     for batch in batches:
-        n, bits = [], []
-        for line in batch.column(1).to_pylist():
-            tokens = np.array([hash_shingle(x) for x in shingles(line)], np.uint64)
-            n.append(len(tokens))
-            bits.append(bitmap(tokens).view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["h", "norm", "n", "bits"])
-
-
-def hash_shingle(x: str) -> int:
-    return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
+        lines = batch.column(1).to_pylist()
+        for at in range(0, len(lines), 2000):
+            part = batch.slice(at, 2000)
+            n, bits = described(lines[at : at + 2000])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n), pa.array(bits.tolist(), pa.list_(pa.int64()))], names=["h", "norm", "n", "bits"])
 
 
 def shingles(line: str) -> set[str]:
