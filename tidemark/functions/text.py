@@ -12,11 +12,17 @@ def text_terms(text: Column) -> Column:
     return F.filter(F.array_distinct(words), lambda w: F.char_length(w) > 1)
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, even where ``body`` uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def text_bigrams(text: Column) -> Column:
     """Distinct pairs of neighbours among the lower-cased letters and numbers."""
     c = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2)))
-    return F.when(F.char_length(c) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    pairs = bound(chars, lambda x: F.zip_with(x, F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))), lambda a, b: F.concat(a, b)))
+    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
 
 
 def collapse(text: Column) -> Column:

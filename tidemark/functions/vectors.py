@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import text_bigrams, text_terms
+from tidemark.functions.text import bound, text_bigrams, text_terms
 
 DIMENSIONS = 32
 
@@ -21,6 +21,10 @@ def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     hashes = F.transform(F.concat(text_terms(text), text_bigrams(text)), lambda f: F.sha2(f.cast("binary"), 256))
     number = lambda h, at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")
     pairs = F.transform(hashes, lambda h: F.struct((number(h, 1, 8) % dimensions).alias("at"), F.when(number(h, 9, 2) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(pairs, lambda p: p["at"] == i), F.lit(0.0), lambda s, p: s + p["sign"]))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(sums, lambda x: x / norm)).otherwise(sums)
+    totals = bound(pairs, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(all_, lambda p: p["at"] == i), F.lit(0.0), lambda s, p: s + p["sign"])))
+
+    def unit(sums: Column) -> Column:
+        norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
+        return F.when(norm > 0, bound(norm, lambda n: F.transform(sums, lambda x: x / n))).otherwise(sums)
+
+    return bound(totals, unit)
