@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import decode, encode
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import ROW, Scratch
 from tidemark.llm.cube_mix import cube_mix
 from tidemark.llm.language_id import accepted, detect, fit
 from tidemark.llm.line_dedup import dedup_lines
@@ -54,11 +54,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of its sources takes it: not at all, or up to three times as equal rows."""
+    """Each document as often as the mix of its sources takes it: not at all, or up to three times as equal rows.
+
+    Rows that repeat a doc_id, or have none, are documents of their own.
+    """
     scratch = Scratch(spark, "mixed")
-    mixed = cube_mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    mixed = scratch.save(mixed, "copies")
-    taken = docs.join(_may_broadcast(mixed), "doc_id")
+    rows = scratch.numbered(docs)
+    mixed = scratch.save(cube_mix(rows, key_col=ROW).where("copies > 0").select(ROW, "copies"), "copies")
+    taken = rows.join(_may_broadcast(mixed), ROW)
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 

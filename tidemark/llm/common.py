@@ -38,6 +38,10 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+#: The column of numbered().
+ROW = "tidemark_row"
+
+
 class Scratch:
     """Tables written below the shared folder: they cut lineage and survive lost executors."""
 
@@ -59,6 +63,12 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def numbered(self, df: DataFrame) -> DataFrame:
+        """``df`` with a number of its own for each row in ROW, written, so that it stays however often it is read."""
+        if ROW in df.columns:
+            raise ValueError(f"column {ROW} exists already")
+        return self.save(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
     def release(self) -> None:
         """Lets the context cleaner find the shuffle files of plans that nothing refers to any more."""
         gc.collect()

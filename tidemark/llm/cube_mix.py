@@ -101,7 +101,7 @@ def _fly(seed: int):
     """Flies one block; a block that is its source's only one also lands."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["size", "order_key", "id"], ascending=[False, True, True], kind="stable", na_position="first", ignore_index=True)
+        frame = frame.sort_values(["size", "order_key", "id", *(["key"] if "key" in frame else [])], ascending=[False, True, True, True][: 4 if "key" in frame else 3], kind="stable", na_position="first", ignore_index=True)
         rng = np.random.default_rng([seed, int(frame["block"].iloc[0]), int(frame["order_key"].iloc[0]) & 0xFFFFFFFF, len(frame)])
         sizes = frame["size"].astype(float).tolist()
         start = frame["p"].tolist()
@@ -114,16 +114,18 @@ def _fly(seed: int):
     return run
 
 
-def cube_mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, seed: int = 7) -> DataFrame:
+def cube_mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, seed: int = 7, key_col: str | None = None) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies, taken.
 
     ``weights`` gives each source's weight (None stands for null); sources that it lacks weigh 0. Without it, sources in
     code-point order with null last weigh 1, 2, 3, repeating. Sources are held on the driver: a mixture names each of
     them, so their number is that of a configuration. Null text has size 0 and is taken 0 times; empty tables give
     empty results; rows that repeat an id are separate documents. The same input and seed give the same result on any layout.
+    With ``key_col``, a column that tells all rows apart, the result has it too, and rows of one id are ordered by their texts.
     """
     scratch = Scratch(docs.sparkSession, "cube")
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([F.col(key_col).alias("key"), F.xxhash64(text_col).alias("body")] if key_col else []))
+    key = ["key"] if key_col else []
     sized = scratch.save(sized, "sizes")
     per = {r["source"]: (int(r["size"]), int(r["n"])) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.when(F.col("size") > 0, 1)).alias("n")).collect()}
     if weights is None:
@@ -138,9 +140,9 @@ def cube_mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id
     plan = F.broadcast(plan.withColumnRenamed("source", "name").drop("is_null"))
     known = sized.join(plan, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     whole = F.floor("ratio").cast("int")
-    known = known.select("id", "source", "size", "source_size", "target", "blocks", whole.alias("whole"), F.col("ratio").alias("ratio"))
+    known = known.select("id", "source", "size", *key, *(["body"] if key_col else []), "source_size", "target", "blocks", whole.alias("whole"), F.col("ratio").alias("ratio"))
     state = known.withColumn("p", F.when(F.col("size") > 0, F.col("ratio") - F.col("whole")).otherwise(F.lit(0.0))).drop("ratio")
-    state = state.withColumn("order_key", F.xxhash64(F.lit(seed), F.col("id"), F.col("size"))).withColumn("block", F.lit(0))
+    state = state.withColumn("order_key", F.xxhash64(F.lit(seed), F.col("id"), F.col("size"), *([F.col("body")] if key_col else []))).drop("body").withColumn("block", F.lit(0))
 
     open_ = F.col("p").between(EDGE, 1 - EDGE) & (F.col("size") > 0)
     done, flying, round_ = [state.where(~open_)], state.where(open_), 0
@@ -158,5 +160,5 @@ def cube_mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id
     for part in done[1:]:
         out = out.unionByName(part)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.round("p")).otherwise(0).cast("long")
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col(c).alias(key_col) for c in key])
 
