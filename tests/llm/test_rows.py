@@ -7,6 +7,7 @@ import corpus_pipeline as pipeline
 from tests.llm.test_operators import lines_of
 from tests.llm.test_pipeline import table
 from tidemark.llm.cube_mix import cube_mix
+from tidemark.llm.line_dedup import dedup_lines
 
 
 def test_mixture(spark):
@@ -20,3 +21,11 @@ def test_mixture(spark):
         target = cube_mix(docs).where(f"source = '{source}'").first()["target"]
         assert abs(sum(taken[t] * size[t] for t in own) - target) <= max(size.values())
     assert any(taken[t] for t in texts[::3]) and any(taken[t] for t in texts[1::3])
+
+
+def test_lines(spark):
+    own = lines_of(8, 70)
+    texts = [(None, own[0] + "\n" + own[1]), (None, own[2] + "\n" + own[0]), (None, own[3] + "\n" + own[4]), (5, own[5] + "\n" + own[6]), (5, own[5] + "\n" + own[7])]
+    got = dedup_lines(table(spark, [(i, t, "en", "a") for i, t in texts]).coalesce(1)).collect()
+    kept = Counter(x for r in got for x in r["text"].split("\n") if x)
+    assert kept == Counter(own) and sorted(r["n_kept"] for r in got) == [1, 1, 2, 2, 2]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.clusters import cluster
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import ROW, Scratch
 from tidemark.llm.shingle_join import BLOCK_BYTES, BITS, KINDS, NAMES, SENT, mix, pack, unpack
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 20, 6
@@ -88,13 +88,13 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def _send(buckets: int):
-    """Per block a row of its distinct lines and where they stand, and for each bucket the band keys of its lines."""
+    """Per block a row of its distinct lines and where they stand (ids: those of its documents, then their row numbers), and for each bucket the band keys of its lines."""
 
-    def block(key: int, ids: list, docs: list[list[bytes]]) -> Iterator[tuple]:
+    def block(key: int, ids: list, numbers: list[int], docs: list[list[bytes]]) -> Iterator[tuple]:
         place: dict[bytes, int] = {}
         at = [(d, k, place.setdefault(x, len(place))) for d, lines in enumerate(docs) for k, x in enumerate(lines) if x]
         names = [hashlib.md5(x).digest() for x in place]
-        yield key, -1 - key % (1 << 30), ids, b"".join(names), pack(np.array(at, np.int32).reshape(-1, 3).T.ravel()), None
+        yield key, -1 - key % (1 << 30), ids + numbers, b"".join(names), pack(np.array(at, np.int32).reshape(-1, 3).T.ravel()), None
         # A set of up to 3 shingles has no partner of similarity 0.8 but its equal.
         own = [(i, x) for x, i in place.items() if len(x) > SHINGLE + 2]
         if not own:
@@ -114,17 +114,18 @@ def _send(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, ids, docs, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, number, ids, numbers, docs, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, ids, docs, size
-            rows = list(block(part << 20 | number, ids, docs))
-            number, ids, docs, size = number + 1, [], [], 0
+            nonlocal number, ids, numbers, docs, size
+            rows = list(block(part << 20 | number, ids, numbers, docs))
+            number, ids, numbers, docs, size = number + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for doc, text, row in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ids.append(doc)
+                numbers.append(row)
                 docs.append(norms(text))
                 size += len(text or b"")
                 if size >= BLOCK_BYTES or len(ids) >= 20_000:
@@ -166,12 +167,13 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, line_no, h) of a block's lines."""
+    """(id, row, line_no, h) of a block's lines."""
     for batch in batches:
         for ids, names, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             doc, line, own = unpack(at, np.int32).reshape(3, -1)
             h = pa.array([names[i : i + 16] for i in range(0, len(names), 16)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(line), h.take(pa.array(own))], names=["id", "line_no", "h"])
+            both = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_arrays([both.take(pa.array(doc)), both.take(pa.array(doc + len(ids) // 2)), pa.array(line), h.take(pa.array(own))], names=["id", "row", "line_no", "h"])
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +210,15 @@ def _alike(percent: int):
 
 
 def line_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, percent: int, broadcast_bytes: int) -> DataFrame:
-    """(id, line_no, class, first) of every line that isn't blank; class: a hash that lines alike share, first: the line that stays."""
+    """(id, row, line_no, class, first) of every line that isn't blank; class: a hash that lines alike share, first: the line that stays.
+
+    docs: as Scratch.numbered() gives them.
+    """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_send(buckets), SENT)
+    sent = docs.select(F.col(id_col).cast("long"), F.col(text_col), ROW).mapInArrow(_send(buckets), SENT)
     counted = scratch.save(sent.groupBy("bucket").applyInArrow(_differ, SENT), "counted")
-    seen = scratch.save(counted.where("bucket < 0").select("ids", "a", "b").mapInArrow(_places, "id long, line_no int, h binary"), "lines")
+    seen = scratch.save(counted.where("bucket < 0").select("ids", "a", "b").mapInArrow(_places, "id long, row long, line_no int, h binary"), "lines")
     keys = scratch.save(counted.groupBy("block").applyInArrow(_shared, "key long, h binary").distinct(), "keys")
     scratch.drop("counted")
     names = scratch.save(keys.select("h").distinct(), "names")
@@ -236,32 +241,33 @@ def line_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
     roots = cluster(index, verify, scratch, near)
     own, top = texts.select(F.col("id").alias("node"), "h"), texts.select(F.col("id").alias("root"), F.col("h").alias("class"))
     moved = scratch.save(roots.join(own, "node").join(top, "root").select("h", "class"), "moved")
-    classed = seen.join(moved, "h", "left").select("id", "line_no", F.coalesce("class", "h").alias("class"))
+    classed = seen.join(moved, "h", "left").select("id", "row", "line_no", F.coalesce("class", "h").alias("class"))
     classed = scratch.save(classed, "classed")
-    firsts = classed.groupBy("class").agg(F.min(F.struct("id", "line_no")).alias("kept"))
+    firsts = classed.groupBy("class").agg(F.min(F.struct("id", "row", "line_no")).alias("kept"))
     firsts = scratch.save(firsts, "first")
-    return classed.join(firsts, "class").select("id", "line_no", "class", (F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("line_no") == F.col("kept.line_no"))).alias("first"))
+    return classed.join(firsts, "class").select("id", "row", "line_no", "class", ((F.col("row") == F.col("kept.row")) & (F.col("line_no") == F.col("kept.line_no"))).alias("first"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, counts: tuple[str, str] = ("n_lines", "n_kept"), broadcast_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with each text reduced to the lines that stay, and two counts: lines that aren't blank, and those of them that stay.
 
     Of alike lines, the one of the smallest id stays, and there the first. Blank lines stay where they are; a null text stays null, and empty
-    texts and tables stay empty. Rows that repeat an id share its decisions by line number, as do rows whose id is
-    null, which come first. Text is whole however long; other columns and all rows stay. ``counts`` must be new to the table.
+    texts and tables stay empty. Rows whose id is null come first; these, and rows that repeat an id, are
+    documents of their own, in the order in which they are written with a number. Text is whole however long; other columns and all rows stay. ``counts`` must be new to the table.
     """
     if set(counts) & set(docs.columns):
         raise ValueError(f"columns {counts} exist already")
     scratch = Scratch(docs.sparkSession, "lines")
+    columns, docs = docs.columns, scratch.numbered(docs)
     classes = line_classes(docs, scratch, id_col, text_col, percent, broadcast_bytes)
-    gone = classes.where("not first").groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone_lines"), F.count(F.lit(1)).alias("gone_n"))
+    gone = classes.where("not first").groupBy(F.col("row").alias("gone_row")).agg(F.collect_set("line_no").alias("gone_lines"), F.count(F.lit(1)).alias("gone_n"))
     gone = scratch.save(gone, "gone")
     weight = gone.agg(F.sum(4 * F.col("gone_n") + ENTRY_BYTES).alias("w")).first()["w"] or 0
-    joined = docs.alias("d").join(F.broadcast(gone) if weight <= broadcast_bytes else gone, F.col(f"d.{id_col}").eqNullSafe(F.col("gone_id")), "left")
+    joined = docs.alias("d").join(F.broadcast(gone) if weight <= broadcast_bytes else gone, F.col(f"d.{ROW}") == F.col("gone_row"), "left")
     split = F.split(F.col(f"d.{text_col}"), "\n")
     left = F.filter(F.transform(split, lambda x, i: F.when(~F.coalesce(F.array_contains("gone_lines", i), F.lit(False)), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("gone_id").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(left, "\n"))
+    text = F.when(F.col("gone_row").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(left, "\n"))
     n = F.coalesce(F.size(F.filter(split, lambda x: F.btrim(x, F.lit(SPACE)) != "")), F.lit(0)).cast("long")
     n = F.when(F.col(f"d.{text_col}").isNull(), F.lit(0)).otherwise(n).cast("long")
     kept = n - F.when(F.col(f"d.{text_col}").isNull(), F.lit(0)).otherwise(F.coalesce(F.size(F.filter(F.transform(split, lambda x, i: (F.btrim(x, F.lit(SPACE)) != "") & F.coalesce(F.array_contains("gone_lines", i), F.lit(False))), lambda x: x)), F.lit(0)))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns], n.alias(counts[0]), kept.cast("long").alias(counts[1]))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"d.{c}") for c in columns], n.alias(counts[0]), kept.cast("long").alias(counts[1]))
