@@ -6,7 +6,7 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import decode, encode
@@ -41,16 +41,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike the one with the smallest doc_id stays; of rows that repeat a doc_id and its text, one."""
+    """Of documents alike the one with the smallest doc_id stays, one without a doc_id only if none has one; of rows that repeat a doc_id and its text, one.
+
+    Rows that share a doc_id are compared each by its own text.
+    """
     scratch = Scratch(spark, "near")
-    classes = scratch.save(shingle_classes(docs), "classes")
-    gone = scratch.save(classes.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    left = docs.join(_may_broadcast(gone), "doc_id", "left_anti")
-    again = scratch.save(classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
-    if not again.isEmpty():
-        again = _may_broadcast(again)
-        left = left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return left.select(*docs.columns)
+    rows = scratch.numbered(docs)
+    classes = scratch.save(shingle_classes(rows, ROW), "classes")
+    named = scratch.save(rows.select(ROW, "doc_id").join(classes, ROW), "named")
+    first = F.min(F.struct(F.isnull("doc_id").alias("bare"), "doc_id", ROW))
+    stays = named.where("n_shingles > 0").groupBy("component_id").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stays = scratch.save(stays.select("component_id", F.col(f"first.{ROW}").alias("stays")), "stays")
+    gone = named.where("n_shingles > 0").join(_may_broadcast(stays), "component_id").where(F.col(ROW) != F.col("stays")).select(ROW)
+    # Texts without a word have no set.
+    bare = rows.select(ROW, "text").join(named.where("n_shingles = 0 and doc_id is not null").select(ROW, "doc_id"), ROW)
+    bare = bare.withColumn("stays", F.min(ROW).over(Window.partitionBy("doc_id", "text"))).where(F.col(ROW) != F.col("stays"))
+    gone = scratch.save(gone.unionByName(bare.select(ROW)), "gone")
+    return rows.join(_may_broadcast(gone), ROW, "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from tests.llm.test_operators import lines_of
 from tests.llm.test_pipeline import table
 from tidemark.llm.cube_mix import cube_mix
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.shingle_join import shingle_classes
 
 
 def test_mixture(spark):
@@ -29,3 +30,15 @@ def test_lines(spark):
     got = dedup_lines(table(spark, [(i, t, "en", "a") for i, t in texts]).coalesce(1)).collect()
     kept = Counter(x for r in got for x in r["text"].split("\n") if x)
     assert kept == Counter(own) and sorted(r["n_kept"] for r in got) == [1, 1, 2, 2, 2]
+
+
+def test_near_duplicates(spark):
+    a, b, c = (" ".join(lines_of(8, 80 + i)) for i in range(3))
+    rows = [(3, a), (5, a + " more"), (5, b), (7, b + " more"), (None, c), (None, c + " more"), (9, None), (9, None)]
+    docs = table(spark, [(i, t, "en", "a") for i, t in rows])
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in shingle_classes(docs).collect()}
+    size = len(a.split()) - 4
+    assert [got[i, size + more] for i, more in ((3, 0), (5, 1), (5, 0), (7, 1), (None, 0))] == [3, 3, 5, 5, None]
+    left = pipeline.near_duplicates(spark, docs, "").collect()
+    found = Counter(next((k for k, x in enumerate((a, b, c)) if (r["text"] or "-").startswith(x)), None) for r in left)
+    assert found == {0: 1, 1: 1, 2: 1, None: 1} and {r["doc_id"] for r in left} == {3, 5, None, 9}

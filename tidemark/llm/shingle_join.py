@@ -30,6 +30,8 @@ WORDS, PERCENT, ORDERS = 5, 80, 3
 BITS = 512
 #: Text of a block.
 BLOCK_BYTES = 4 << 20
+#: Bytes of a component's label in a broadcast, and of all of them.
+LABEL_BYTES, BROADCAST = 64, 32 << 20
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -207,7 +209,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document's set: its distinct shingles of ``words`` words after lower-casing A-Z, or of all its words if it has fewer.
     Two documents link when 100 * intersection >= percent * union; component_id is the smallest id that links reach. Null, empty and blank
     texts have no set and link with nothing. Shingles are compared by 64-bit hashes, sets by 128-bit ones. Rows that repeat an id
-    stay rows of their own; a null id stays null. An empty table gives an empty result; other columns are ignored.
+    stay rows of their own, each in the component of its own text; rows without an id link too, but have no component_id. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shingles")
@@ -225,11 +227,13 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.frombuffer(sizes, np.int32)), pa.array(own, pa.binary())], names=["id", "n", "print"])
 
     thin = scratch.save(heads.mapInArrow(spread, schema), "thin")
-    equal = scratch.save(thin.where("n > 0").groupBy("print").agg(F.min("id").alias("first_id")).where("first_id is not null"), "equal")
+    # A node is a set, whatever ids its rows have; its number stays as the table is written.
+    equal = thin.where("n > 0").groupBy("print").agg(F.min("id").alias("first_id"))
+    equal = scratch.save(equal.withColumn("node", F.monotonically_increasing_id()), "equal")
 
     lists = ", ".join(f"prefix{k} array<long>" for k in range(orders))
     sets = got.select(*NAMES).groupBy("block").applyInArrow(_gather(percent, orders), f"print binary, n int, tokens array<long>, bits array<long>, {lists}")
-    sets = sets.dropDuplicates(["print"]).join(equal, "print").withColumnRenamed("first_id", "id").drop("print")
+    sets = sets.dropDuplicates(["print"]).join(equal.select("print", F.col("node").alias("id")), "print").drop("print")
     sets = scratch.save(sets, "sets")
     scratch.drop("counted")
 
@@ -267,7 +271,11 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     roots = cluster(index, verify, scratch, near, "at")
 
-    firsts = equal.join(roots.select(F.col("node").alias("first_id"), "root"), "first_id", "left").select("print", F.coalesce("root", "first_id").alias("root"))
+    placed = scratch.save(equal.join(roots.select("node", "root"), "node", "left").select("print", "first_id", F.coalesce("root", "node").alias("node")), "placed")
+    labels = placed.groupBy("node").agg(F.min("first_id").alias("root"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("node", "root")
+    labels = scratch.save(labels, "labels")
+    small = labels.count() * LABEL_BYTES <= BROADCAST
+    firsts = placed.join(F.broadcast(labels) if small else labels, "node", "left").select("print", F.coalesce("root", "first_id").alias("root"))
     firsts = scratch.save(firsts, "firsts")
     out = thin.join(firsts, "print", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
