@@ -42,3 +42,9 @@ def test_near_duplicates(spark):
     left = pipeline.near_duplicates(spark, docs, "").collect()
     found = Counter(next((k for k, x in enumerate((a, b, c)) if (r["text"] or "-").startswith(x)), None) for r in left)
     assert found == {0: 1, 1: 1, 2: 1, None: 1} and {r["doc_id"] for r in left} == {3, 5, None, 9}
+
+
+def test_short_lines(spark):
+    texts = ["-----\nababab", "------\nbababa\nabcdefg", "-------", "----------\nabcdefh", "漢字漢字漢字", "字漢字漢字漢"]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert got == {0: texts[0], 1: "abcdefg", 2: "", 3: "abcdefh", 4: texts[4], 5: ""}

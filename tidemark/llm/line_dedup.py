@@ -6,8 +6,8 @@ filled from others by a fixed permutation; lines that agree in all ROWS bins of
 With 20 bands of 6 rows two lines of similarity 0.8 are candidates with probability 0.998.
 
 Each block of documents sends the band keys of its distinct lines, sorted and packed, to buckets; only keys that come back as
-shared by different lines make index rows. Lines are named by the 128-bit hash of what is compared, so equal lines are one
-node; in a bucket they are told apart by 16 bits that differ from band to band. Texts are read twice: for keys and occurrences,
+shared by different lines make index rows. Lines are named by the 128-bit hash of what is compared (of the set, if that is tiny), so
+equal lines are one node; in a bucket they are told apart by 16 bits that differ from band to band. Texts are read twice: for keys and occurrences,
 and for the lines that have candidates.
 """
 
@@ -27,6 +27,8 @@ from tidemark.llm.common import ROW, Scratch
 from tidemark.llm.shingle_join import BLOCK_BYTES, BITS, KINDS, NAMES, SENT, mix, pack, unpack
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 20, 6
+#: A set of no more shingles is named by itself.
+FEW = 3
 SPACE = " \t\n\x0b\x0c\r"
 #: Bytes that one line's hash takes in a broadcast.
 ENTRY_BYTES = 96
@@ -38,6 +40,16 @@ def norms(text: bytes | None) -> list[bytes]:
     return [x.strip() for x in (text or b"").lower().split(b"\n")]
 
 
+def named(line: bytes) -> bytes:
+    """The hash that names a line. With FEW shingles or less it is that of the set: such a set has no partner of similarity 0.8 but its equal."""
+    text = line if line.isascii() else line.decode("utf-8", "replace")
+    if len(text) < SHINGLE + FEW or len({text[i : i + SHINGLE] for i in range(FEW + 1)}) <= FEW:
+        own = shingles(line.decode("utf-8", "replace"))
+        if len(own) <= FEW:
+            return hashlib.md5("\n".join(sorted(own)).encode()).digest()
+    return hashlib.md5(line).digest()
+
+
 def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each shingle, with the place of its line."""
     padded = [x if len(x) >= SHINGLE else x + "\0" * (SHINGLE - len(x)) for x in lines]
@@ -93,10 +105,10 @@ def _send(buckets: int):
     def block(key: int, ids: list, numbers: list[int], docs: list[list[bytes]]) -> Iterator[tuple]:
         place: dict[bytes, int] = {}
         at = [(d, k, place.setdefault(x, len(place))) for d, lines in enumerate(docs) for k, x in enumerate(lines) if x]
-        names = [hashlib.md5(x).digest() for x in place]
+        names = [named(x) for x in place]
         yield key, -1 - key % (1 << 30), ids + numbers, b"".join(names), pack(np.array(at, np.int32).reshape(-1, 3).T.ravel()), None
-        # A set of up to 3 shingles has no partner of similarity 0.8 but its equal.
-        own = [(i, x) for x, i in place.items() if len(x) > SHINGLE + 2]
+        # Sets of up to FEW shingles are equal by their names.
+        own = [(i, x) for x, i in place.items() if len(x) >= SHINGLE + FEW]
         if not own:
             return
         token = band_keys([x.decode("utf-8", "replace") for _, x in own]).ravel()
@@ -179,7 +191,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, norm) of the lines that can have candidates, each once in a batch."""
     for batch in batches:
-        found = {hashlib.md5(x).digest(): x for text in batch.column(0).cast(pa.binary()).to_pylist() for x in norms(text) if len(x) > SHINGLE + 2}
+        found = {named(x): x for text in batch.column(0).cast(pa.binary()).to_pylist() for x in norms(text) if len(x) >= SHINGLE + FEW}
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x.decode("utf-8", "replace") for x in found.values()])], names=["h", "norm"])
 
 
