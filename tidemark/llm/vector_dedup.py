@@ -2,8 +2,8 @@
 
 Each pass orders all vectors of a label by the signs of its own 64 random projections, read as one number, and compares
 every vector with the WINDOW that follow it. A vector's rows are dealt by ranges of (pass, label, hash, id), so that no
-label, hash or group of near copies is a partition's bound; the rows at both ends of a partition are compared with those of its
-neighbour in a second, small step. Pairs of a partition are contracted to a spanning forest there, so that a group of near copies gives
+label, hash or group of near copies is a partition's bound; the last rows of a partition are compared with the WINDOW that
+follow it, from as many partitions as it takes, in a second, small step. Pairs of a partition are contracted to a spanning forest there, so that a group of near copies gives
 as many rows as it has members. The components come from distributed union-find; links are then counted inside components,
 in tiles, in double precision.
 """
@@ -95,17 +95,17 @@ def _windows(window: int, least: float):
             held = rows[-window:]
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array(list(tree), pa.int64()), pa.array(list(tree.values()), pa.int64()), *(pa.nulls(len(tree), t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()))], names=names)
-            yield ends(head, 1, here - 1)
+            yield ends(head, 1, here)
             yield ends(held, 0, here)
 
     return run
 
 
 def _across(window: int, least: float):
-    """The last rows of a partition against the first of the next."""
+    """The last rows of a partition against the first of those after it."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["edge", "pos"])
+        frame = frame.sort_values(["edge", "part", "pos"])
         group = np.unique(frame["group"], return_inverse=True)[1]
         tree = forest(_near(frame["node"].to_numpy(np.int64), group, frame["vec"].tolist(), window, least, first=int((frame["edge"] == 0).sum())))
         return pd.DataFrame({"node": list(tree), "root": list(tree.values())}, dtype="int64")
@@ -113,6 +113,19 @@ def _across(window: int, least: float):
     return run
 
 
+def _follow(sizes: dict[int, int], window: int) -> list[tuple[int, int]]:
+    """(part, to): the first rows of ``part`` are among the ``window`` rows after partition ``to``. sizes: rows of the partitions that have any, up to ``window``."""
+    parts, out = sorted(sizes), []
+    for i, to in enumerate(parts):
+        reach = 0
+        for part in parts[i + 1 :]:
+            out.append((part, to))
+            reach += sizes[part]
+            if reach >= window:
+                break
+    return out
+
+
 def _tile(least: float):
     """Of two tiles of a component: for each vector of the first how many of the second are near, itself excluded."""
 
@@ -142,7 +155,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     dealt = keyed.repartitionByRange(max(parts, 1), "pass", "label", "hash", "id").sortWithinPartitions("pass", "label", "hash", "id")
     found = scratch.save(dealt.mapInArrow(_windows(window, least), "node long, root long, part int, edge int, pos int, group string, vec binary"), "windows")
     inside = found.where("root is not null").select("node", "root")
-    across = found.where("part is not null").groupBy("part").applyInPandas(_across(window, least), "node long, root long")
+    # A row per partition.
+    sizes = {r["part"]: r["n"] for r in found.where("edge = 1").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    follow = F.broadcast(vectors.sparkSession.createDataFrame(_follow(sizes, window), "part int, to int"))
+    ends = found.where("part is not null").drop("root")
+    ends = ends.where("edge = 0").withColumn("to", F.col("part")).unionByName(ends.where("edge = 1").join(follow, "part"))
+    across = ends.groupBy("to").applyInPandas(_across(window, least), "node long, root long")
     links = connected_components(inside.unionByName(across), scratch)
 
     # Members of components, each with its tile; a component of one tile meets itself, larger ones tile by tile.
