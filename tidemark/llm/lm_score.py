@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, sliced, text_buckets, trimmed
 from tidemark.llm.shingle_join import BLOCK_BYTES, KINDS, NAMES, SENT, mix, pack, unpack
 
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
@@ -61,7 +61,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = (key, -1 - key % (1 << 30), ids, pack(hashes), pack(new[words]), pack(tail))
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, KINDS, strict=True)], names=NAMES)
 
-    for batch in batches:
+    for batch in sliced(batches, 2):
         for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
             rows.append((row[0], row[1], row[2] or b""))
             size += len(rows[-1][2])
@@ -205,18 +205,17 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = text_buckets(docs, text_col)
     deleted = F.pmod(F.xxhash64(F.lit("deleted"), F.col(id_col)), F.lit(DELETE)) == 0
     role = F.when(F.coalesce(trains, F.lit(False)), F.when(deleted, DELETED).otherwise(KEPT)).otherwise(UNUSED)
-    sent = docs.select(F.col(id_col).cast("long"), role.cast("int"), F.col(text_col)).mapInArrow(_blocks, SENT)
+    sent = docs.select(F.col(id_col).cast("long"), role.cast("int"), F.col(text_col)).mapInArrow(trimmed(_blocks), SENT)
     blocks = scratch.save(sent, "blocks")
-    got = scratch.save(blocks.mapInArrow(_send(buckets), SENT).groupBy("bucket").applyInArrow(_total, SENT), "counted")
+    got = scratch.save(blocks.mapInArrow(trimmed(_send(buckets)), SENT).groupBy("bucket").applyInArrow(_total, SENT), "counted", large=True)
     sums = got.where("block = -1").agg(*[F.coalesce(F.sum(F.col("ids")[k]), F.lit(0)).alias(f"s{k}") for k in range(4)]).first()
     tokens, kept_words, words = sums["s0"] + sums["s1"], sums["s2"], sums["s3"]
 
     shape = "ids array<long>, words binary, texts binary, one binary, two binary, cells array<long>"
-    joined = blocks.unionByName(got.where("block >= 0")).groupBy("block").applyInArrow(_join(sums["s0"]), shape)
-    joined = scratch.save(joined, "joined")
+    joined = scratch.save(blocks.unionByName(got.where("block >= 0")).groupBy("block").applyInArrow(_join(sums["s0"]), shape), "joined", large=True)
     scratch.drop("blocks", "counted")
     quarter = F.size("cells") / 4
     cell = F.transform(F.sequence(F.lit(0), quarter.cast("int") - 1), lambda i: F.struct(*[F.get("cells", (i + k * quarter).cast("int")).alias(f"c{k}") for k in range(4)]))
@@ -227,4 +226,4 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     if not tokens:
         weights[:] = 0.0, 0.0, 1.0
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return joined.select("ids", "words", "texts", "one", "two").mapInArrow(_score(weights, tokens, words, id_col), schema)
+    return joined.select("ids", "words", "texts", "one", "two").mapInArrow(trimmed(_score(weights, tokens, words, id_col)), schema)
