@@ -15,13 +15,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.pretokens import pretokens
+from tidemark.llm.common import sliced, trimmed
+from tidemark.llm.pretokens import coded
 
 #: Bytes of a word beyond which a heap takes over; text of a batch; words that a worker keeps.
-LONG, BATCH_CHARS, WORDS = 64, 2 << 20, 400_000
+LONG, BATCH_BYTES, WORDS = 64, 2 << 20, 500_000
 NONE = np.int32((1 << 31) - 1)
 
 
@@ -154,53 +156,41 @@ class Merges:
         return self._table
 
 
-class WordCache(dict):
-    """Places of words; the ids of all words are one array, and new words wait until a batch has all of them."""
+class WordCache:
+    """The ids of words, kept in two generations: what was asked lately stays when the older one goes."""
 
     def __init__(self, encode, most: int = WORDS):
-        super().__init__()
-        self.encode, self.most, self.wait = encode, most, []
-        self.ids, self.ends = array("i"), array("q", [0])
-
-    def __missing__(self, word: str) -> int:
-        place = self[word] = len(self)
-        self.wait.append(word)
-        return place
-
-    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after the other, and how many each has."""
-        if len(self) > self.most:
-            self.clear()
-            self.ids, self.ends = array("i"), array("q", [0])
-        places = np.array([self[w] for w in words], np.int64)
-        for ids in self.encode(self.wait):
-            self.ids.extend(ids)
-            self.ends.append(len(self.ids))
-        self.wait = []
-        ids, ends = np.array(self.ids, np.int32), np.array(self.ends, np.int64)
-        size = ends[places + 1] - ends[places]
+        self.encode, self.most = encode, most
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def lookup(self, words: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at all places, one after the other, and how many each has. words: distinct."""
+        young, old = self.young, self.old
+        parts = list(map(young.get, words))
+        wait = []
+        for i in [i for i, x in enumerate(parts) if x is None]:
+            held = old.get(words[i])
+            if held is None:
+                wait.append(i)
+            else:
+                parts[i] = young[words[i]] = held
+        for i, ids in zip(wait, self.encode([words[i] for i in wait]) if wait else (), strict=True):
+            parts[i] = young[words[i]] = array("i", ids).tobytes()
+        if len(young) > self.most // 2:
+            self.young, self.old = {}, young
+        ids = np.frombuffer(b"".join(parts), np.int32)
+        own = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        first, size = np.cumsum(own) - own, own[places]
         total = np.cumsum(size)
-        at = np.repeat(ends[places] - total + size, size) + np.arange(total[-1] if len(total) else 0)
+        at = np.repeat(first[places] - total + size, size) + np.arange(total[-1] if len(total) else 0)
         return ids[at], size
 
 
-def chunks(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[list[str]]:
-    """Texts in order, in lists of bounded length (or one text)."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def text_ids(texts: list[str], cache: WordCache) -> tuple[np.ndarray, np.ndarray]:
+def text_ids(texts: list[bytes], cache: WordCache) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, one after the other, and how many each has."""
-    words, counts = pretokens(texts)
-    ids, size = cache.lookup(words)
+    words, places, counts = coded(texts)
+    ids, size = cache.lookup(words, places)
     ends = np.append(0, np.cumsum(size))
     text_ends = np.cumsum(counts)
     return ids, ends[text_ends] - ends[text_ends - counts]
@@ -209,7 +199,7 @@ def text_ids(texts: list[str], cache: WordCache) -> tuple[np.ndarray, np.ndarray
 @lru_cache(maxsize=2)
 def _cache(content: str) -> WordCache:
     merges = Merges(read_ranks(content))
-    return WordCache(lambda words: merges.encode([w.encode("utf-8", "surrogatepass") for w in words]))
+    return WordCache(merges.encode)
 
 
 def encode(docs: DataFrame, ranks: str, text_col: str = "text", name: str = "ids") -> DataFrame:
@@ -223,21 +213,33 @@ def encode(docs: DataFrame, ranks: str, text_col: str = "text", name: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(held.value)
-        for batch in batches:
-            done = 0
-            for part in chunks(batch.column(at).to_pylist()):
-                flat, size = text_ids(part, cache)
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(flat))
-                rows = batch.slice(done, len(part))
-                done += len(part)
-                yield pa.RecordBatch.from_arrays([*rows.columns, ids], names=[*batch.schema.names, name])
+        for rows in sliced(batches, at, BATCH_BYTES):
+            flat, size = text_ids([t or b"" for t in rows.column(at).cast(pa.binary()).to_pylist()], cache)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*rows.columns, ids], names=[*rows.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
 
 
 @lru_cache(maxsize=2)
-def _pieces(content: str) -> dict[int, bytes]:
-    return {r: t for t, r in read_ranks(content).items()}
+def _pieces(content: str) -> pa.Array:
+    """The bytes of each id."""
+    ranks = read_ranks(content)
+    out: list = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return pa.array(out, pa.binary())
+
+
+def joined(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """The pieces of each list, put together; null for a null list."""
+    each = pieces.take(ids.flatten())
+    if each.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)))
+    bytes_at = np.append(0, np.cumsum(pc.binary_length(each).to_numpy()))[ends]
+    out = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bytes_at.astype(np.int32)), each.buffers()[2] or pa.py_buffer(b"")])
+    return pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.binary())) if ids.null_count else out
 
 
 def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
@@ -247,11 +249,8 @@ def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids", name: str = "de
     at, held = encoded.columns.index(ids_col), encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = _pieces(held.value).__getitem__
-        for batch in batches:
-            for at_row in range(0, len(batch), 256):
-                part = batch.slice(at_row, 256)
-                out = [None if ids is None else b"".join(map(piece, ids)) for ids in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, name])
-
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(name, T.BinaryType())]))
+        pieces = _pieces(held.value)
+        for part in sliced(batches, at, BATCH_BYTES // 4):
+            yield pa.RecordBatch.from_arrays([*part.columns, joined(part.column(at), pieces)], names=[*part.schema.names, name])
+
+    return encoded.mapInArrow(trimmed(run), T.StructType([*encoded.schema.fields, T.StructField(name, T.BinaryType())]))
