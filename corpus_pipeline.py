@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import decode, encode
-from tidemark.llm.common import ROW, Scratch
+from tidemark.llm.common import ROW, Scratch, fresh
 from tidemark.llm.cube_mix import cube_mix
 from tidemark.llm.language_id import accepted, detect, fit
 from tidemark.llm.line_dedup import dedup_lines
@@ -29,21 +29,32 @@ def _may_broadcast(ids: DataFrame) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told. Null and empty texts, texts without a letter and texts far from every profile go."""
-    found = detect(docs, fit(docs), names=("lang_pred", "lang_score"))
-    return found.where(accepted(F.col("lang_pred"), F.col("lang_score"), LEAST_SCORE)).select(*docs.columns)
+    """Documents in a language that can be told. Null and empty texts, texts without a letter and texts far from every profile go.
+
+    Texts are read whole, however long. Rows that repeat a doc_id, or have none, are judged each by its own text; a null lang teaches nothing. An
+    empty table, or one without any lang, gives none. Other columns stay, whatever their names.
+    """
+    names = fresh(docs, "lang", "score")
+    found = detect(docs, fit(docs), names=tuple(names))
+    return found.where(accepted(F.col(names[0]), F.col(names[1]), LEAST_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of alike lines one stays; n_chars follows. Documents of which no line stays go."""
-    left = dedup_lines(docs, counts=("lines_all", "lines_kept")).where("lines_kept > 0 or lines_all = 0")
+    """Of alike lines one stays; n_chars follows. Documents of which no line stays go.
+
+    Null, empty and blank texts have no line and stay as they are. Rows that repeat a doc_id, or have none, are documents of their own; of
+    rows that repeat doc_id and text one keeps its lines. An empty table gives none. Other columns stay, whatever their names.
+    """
+    had, kept = fresh(docs, "lines", "kept")
+    left = dedup_lines(docs, counts=(had, kept)).where((F.col(kept) > 0) | (F.col(had) == 0))
     return left.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents alike the one with the smallest doc_id stays, one without a doc_id only if none has one; of rows that repeat a doc_id and its text, one.
 
-    Rows that share a doc_id are compared each by its own text.
+    Rows that share a doc_id are compared each by its own text. Null, empty and blank texts are alike to nothing: of those that repeat a
+    doc_id and its text one stays, and all without a doc_id. Texts are read whole; an empty table gives none; other columns stay, but for ROW's name any may be there.
     """
     scratch = Scratch(spark, "near")
     rows = scratch.numbered(docs)
@@ -63,17 +74,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of its sources takes it: not at all, or up to three times as equal rows.
 
-    Rows that repeat a doc_id, or have none, are documents of their own.
+    Rows that repeat a doc_id, or have none, are documents of their own. Null and wordless texts have size 0 and are not taken; a null source is a
+    source. An empty table gives none. Other columns stay, but for ROW's name any may be there.
     """
     scratch = Scratch(spark, "mixed")
     rows = scratch.numbered(docs)
-    mixed = scratch.save(cube_mix(rows, key_col=ROW).where("copies > 0").select(ROW, "copies"), "copies")
-    taken = rows.join(_may_broadcast(mixed), ROW)
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    key, copies, copy = fresh(rows, "key", "copies", "copy")
+    mixed = cube_mix(rows, key_col=ROW).where("copies > 0")
+    mixed = scratch.save(mixed.select(F.col(ROW).alias(key), F.col("copies").alias(copies)), "copies")
+    taken = rows.join(_may_broadcast(mixed), F.col(ROW) == F.col(key))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each text's ids and of the bytes that they decode to."""
+    """Digests of each text's ids and of the bytes that they decode to; a row for each row.
+
+    Null and empty texts have no ids. Texts are read whole; an empty table gives none; other columns go.
+    """
     ranks = content(RANKS)
     both = decode(encode(docs.select("doc_id", "source", "lang", "text"), ranks).drop("text"), ranks)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
