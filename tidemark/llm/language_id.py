@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import sliced, trimmed
+
 #: N-grams of a profile.
 TOP = 300
 #: Labelled rows of each language that are read for its profile, in the mean.
 TRAIN_DOCS = 2000
-GAP, BITS = 32, 21
+GAP, BITS, STEP = 32, 21, 1 << 20
 UNKNOWN = "und"
 
 
@@ -38,20 +40,33 @@ def _letters() -> np.ndarray:
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text as integers, and their counts; none if it has no letter."""
-    none = np.zeros(0, np.int64)
-    if not text:
-        return none, none
-    code = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    code = np.concatenate(([GAP], code, [GAP]))
-    letter = code != GAP
-    code = code[letter | np.concatenate(([True], letter[:-1]))]
-    if len(code) < 2:
-        return none, none
-    two = code[:-1] << BITS | code[1:]
-    three = (two[:-1] << BITS | code[2:])[code[1:-1] != GAP]
-    every = np.sort(np.concatenate((code[code != GAP], two, three)))
-    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    """Distinct n-grams of a text as integers, and their counts; none if it has no letter. A long text is read in parts of STEP characters."""
+    parts, last = [], np.array([GAP])
+    for at in range(0, len(text or ""), STEP):
+        code = _letters()[np.frombuffer(text[at : at + STEP].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        # Of a run of gaps one stays, wherever the parts end.
+        code = code[(code != GAP) | np.append(last[-1] != GAP, code[:-1] != GAP)]
+        if at + STEP >= len(text) and np.append(last, code)[-1] != GAP:
+            code = np.append(code, GAP)
+        parts.append(_counted(last, code))
+        last = np.append(last, code)[-2:]
+    if len(parts) == 1:
+        return parts[0]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code, back = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+    return code, np.bincount(back, np.concatenate([x[1] for x in parts]), len(code)).astype(np.int64)
+
+
+def _counted(before: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end in ``code``, which follows ``before``."""
+    both = np.append(before, code)
+    two = both[:-1] << BITS | both[1:]
+    three = (two[:-1] << BITS | both[2:])[both[1:-1] != GAP] if len(both) > 2 else two[:0]
+    fresh = len(before)
+    inner = np.count_nonzero(both[1 : fresh - 1] != GAP) if fresh > 2 else 0
+    every = np.sort(np.concatenate((code[code != GAP], two[fresh - 1 :], three[inner:])))
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
     return every[first], np.diff(np.append(first, len(every)))
 
 
@@ -83,7 +98,7 @@ class Profiles:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
+    for batch in sliced(batches, 1):
         parts: dict[str, list] = {}
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             parts.setdefault(label, [held.pop(label)] if label in held else []).append(grams(text))
@@ -95,10 +110,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Profiles:
-    """Profiles from labelled rows; rows without a label don't count.
+    """Profiles from labelled rows; rows without a label don't count, null and empty texts add nothing.
 
     Of a language with more than ``train_docs`` rows, rows are drawn by a hash of their id so that about that many
-    remain. The profiles, TOP n-grams of each label, come to the driver.
+    remain; rows that repeat an id, or have none, are drawn together. N-grams alike in frequency are ranked by code. The profiles, TOP n-grams of each
+    label, come to the driver. An empty table gives no profile.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null")
     per = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -129,13 +145,13 @@ def detect(docs: DataFrame, profiles: Profiles, text_col: str = "text", names: t
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, at):
             found = [profiles.nearest(text) for text in batch.column(at).to_pylist()]
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def accepted(lang: Column, score: Column, least: float) -> Column:
