@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch
 
 EDGE_SCHEMA = "node long, root long"
+#: So many edges are one task's work.
+SMALL = 1 << 19
 
 
 def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
@@ -43,11 +45,14 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc") ->
 
     Each partition first contracts its own edges, so that a hub stands in at most one row of each; then rounds of meeting
     by node, contracting and jumping to the root's root, until no root has a root and no node two. Nothing goes to the driver
-    but one count a round. Every round is a written table.
+    but one count a round. Every round is a written table. SMALL edges or fewer are contracted by one task. ``edges`` is read twice.
     """
     a, b = edges.columns
     # An edge meets others at its larger end: a hub with a small id is never a key of many rows.
-    state = edges.select(F.col(a).alias("node"), F.col(b).alias("root")).where("node <> root").mapInArrow(_contract, EDGE_SCHEMA)
+    state = edges.select(F.col(a).alias("node"), F.col(b).alias("root")).where("node <> root")
+    if edges.count() <= SMALL:
+        return scratch.save(state.coalesce(1).mapInArrow(_contract, EDGE_SCHEMA), f"{tag}0")
+    state = state.mapInArrow(_contract, EDGE_SCHEMA)
     for round_ in range(200):
         met = scratch.save(state.repartition("node").mapInArrow(_contract, EDGE_SCHEMA).distinct(), f"{tag}{round_}")
         ends = met.select(F.col("node").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("end")).unionByName(met.select(F.col("root").alias("k"), F.lit(0).alias("up"), F.lit(1).alias("end")))

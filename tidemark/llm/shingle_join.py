@@ -19,19 +19,17 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.clusters import cluster
-from tidemark.llm.common import Scratch
+from tidemark.llm.clusters import BROADCAST, LABEL_BYTES, cluster
+from tidemark.llm.common import Scratch, sliced, text_buckets, trimmed
 
 WORDS, PERCENT, ORDERS = 5, 80, 3
 #: Bits of a set's bitmap.
 BITS = 512
 #: Text of a block.
 BLOCK_BYTES = 4 << 20
-#: Bytes of a component's label in a broadcast, and of all of them.
-LABEL_BYTES, BROADCAST = 64, 32 << 20
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -115,7 +113,7 @@ def _send(buckets: int, words: int):
             docs, size, number = [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
 
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 docs.append((doc, shingles(text)))
                 size += len(text or b"")
@@ -124,7 +122,7 @@ def _send(buckets: int, words: int):
         if docs:
             yield flush()
 
-    return run
+    return trimmed(run)
 
 
 NAMES = ["block", "bucket", "ids", "a", "b", "c"]
@@ -149,6 +147,14 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(KINDS)], names=NAMES)
 
 
+def differing(a: dict, b: dict) -> Column:
+    """In how many bits two bitmaps, each in BITS // 64 columns, differ."""
+    total = F.lit(0)
+    for k in range(BITS // 64):
+        total = total + F.bit_count(a[f"bits{k}"].bitwiseXOR(b[f"bits{k}"]))
+    return total
+
+
 def _enough(size: int, percent: int) -> int:
     """Least intersection that a set of this size needs with any partner."""
     return -(-percent * size // 100)
@@ -213,9 +219,8 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shingles")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_send(buckets, words), SENT)
-    got = scratch.save(sent.groupBy("bucket").applyInArrow(_count, SENT), "counted")
+    sent = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_send(text_buckets(docs, text_col), words), SENT)
+    got = scratch.save(sent.groupBy("bucket").applyInArrow(_count, SENT), "counted", large=True)
 
     heads = got.where("bucket < 0").select("ids", "a", "b")
     schema = "id long, n int, print binary"
@@ -234,7 +239,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = ", ".join(f"prefix{k} array<long>" for k in range(orders))
     sets = got.select(*NAMES).groupBy("block").applyInArrow(_gather(percent, orders), f"print binary, n int, tokens array<long>, bits array<long>, {lists}")
     sets = sets.dropDuplicates(["print"]).join(equal.select("print", F.col("node").alias("id")), "print").drop("print")
-    sets = scratch.save(sets, "sets")
+    sets = scratch.save(sets, "sets", large=True)
     scratch.drop("counted")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -260,17 +265,19 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept: list[int] = []
     # left: tokens from this one on, in the first order; of the first token that two sets share, both need their whole overlap left.
     # alone: tokens that no other set has. These and the bits in which two bitmaps differ are a part of what two sets differ in.
-    index = sets.select(F.posexplode("prefix0").alias("at", "key"), "id", "n", "bits", F.size("tokens").alias("size"))
-    index = index.select("key", "id", "at", "n", (F.col("size") - F.col("at")).alias("left"), (F.col("n") - F.col("size")).alias("alone"), "bits")
+    index = sets.select(F.posexplode("prefix0").alias("at", "key"), "id", "n", *[F.col("bits")[k].alias(f"bits{k}") for k in range(BITS // 64)], F.size("tokens").alias("size"))
+    index = index.withColumn("left", F.col("size") - F.col("at")).withColumn("alone", F.col("n") - F.col("size")).withColumn("odd", F.col("alone") / F.col("n")).drop("size")
 
-    def near(a: dict, b: dict):
+    def near(a: dict, b: dict) -> Column:
         sizes = F.greatest(a["n"], b["n"]) * percent <= 100 * F.least(a["n"], b["n"])
         enough = F.least(a["left"], b["left"]) * (100 + percent) >= (a["n"] + b["n"]) * percent
-        differ = F.aggregate(F.zip_with(a["bits"], b["bits"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return sizes & enough & ((differ + a["alone"] + b["alone"]) * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent))
+        return sizes & enough & ((differing(a, b) + a["alone"] + b["alone"]) * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent))
 
-    roots = cluster(index, verify, scratch, near, "at")
+    # The fewer tokens of its own a set has, the more copies it is near to.
+    roots = cluster(index.drop("at"), sets.select("id", F.col("prefix0").alias("keys")), verify, scratch, near, "odd")
+    scratch.drop("sets")
 
+    roots = equal.select("node", F.col("node").alias("root")).where("false") if roots is None else roots
     placed = scratch.save(equal.join(roots.select("node", "root"), "node", "left").select("print", "first_id", F.coalesce("root", "node").alias("node")), "placed")
     labels = placed.groupBy("node").agg(F.min("first_id").alias("root"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("node", "root")
     labels = scratch.save(labels, "labels")
