@@ -202,25 +202,6 @@ def _cache(content: str) -> WordCache:
     return WordCache(merges.encode)
 
 
-def encode(docs: DataFrame, ranks: str, text_col: str = "text", name: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each whole text; all its columns and rows stay. ranks: the content of a rank file.
-
-    Null and empty texts have no ids. Special tokens are ordinary text. ``name`` must be new to the table.
-    """
-    if name in docs.columns:
-        raise ValueError(f"column {name} exists already")
-    at, held = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(ranks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(held.value)
-        for rows in sliced(batches, at, BATCH_BYTES):
-            flat, size = text_ids([t or b"" for t in rows.column(at).cast(pa.binary()).to_pylist()], cache)
-            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*rows.columns, ids], names=[*rows.schema.names, name])
-
-    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
-
-
 @lru_cache(maxsize=2)
 def _pieces(content: str) -> pa.Array:
     """The bytes of each id."""
@@ -242,6 +223,29 @@ def joined(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
     return pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.binary())) if ids.null_count else out
 
 
+def encode(docs: DataFrame, ranks: str, text_col: str = "text", name: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each whole text; all its columns and rows stay. ranks: the content of a rank file.
+
+    Null and empty texts have no ids. Special tokens are ordinary text. With ``decoded``, a column of that name has the bytes that the ids
+    decode to. Both names must be new to the table.
+    """
+    more = [name, *[decoded] * (decoded is not None)]
+    if set(more) & set(docs.columns) or len(set(more)) < len(more):
+        raise ValueError(f"columns {more} exist already")
+    at, held = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, pieces = _cache(held.value), _pieces(held.value)
+        for rows in sliced(batches, at, BATCH_BYTES):
+            flat, size = text_ids([t or b"" for t in rows.column(at).cast(pa.binary()).to_pylist()], cache)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(flat))
+            columns = [ids] if decoded is None else [ids, joined(ids, pieces)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=[*rows.schema.names, *more])
+
+    kinds = [T.StructField(name, T.ArrayType(T.IntegerType())), T.StructField(decoded or "", T.BinaryType())][: len(more)]
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, *kinds]))
+
+
 def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of its ids; null ids give null, an unknown id is an error."""
     if name in encoded.columns:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.byte_bpe import decode, encode
+from tidemark.llm.byte_bpe import encode
 from tidemark.llm.vocabularies import content
 
 NAME = "op8_byte_bpe"
@@ -13,8 +13,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    ranks = content(RANKS)
-    both = decode(encode(docs.select("doc_id", "text"), ranks).drop("text"), ranks)
+    both = encode(docs.select("doc_id", "text"), content(RANKS), decoded="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
