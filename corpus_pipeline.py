@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.byte_bpe import decode, encode
+from tidemark.llm.byte_bpe import encode
 from tidemark.llm.common import ROW, Scratch, fresh
 from tidemark.llm.cube_mix import cube_mix
 from tidemark.llm.language_id import accepted, detect, fit
@@ -24,16 +24,26 @@ RANKS = "byte_bpe_50k.tiktoken"
 BROADCAST, ENTRY = 32 << 20, 64
 
 
+#: Rows and bytes that Spark hands to a Python worker at once: what an executor holds outside its heap grows with both.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def _may_broadcast(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() * ENTRY <= BROADCAST else ids
 
 
+def _small_batches(spark: SparkSession) -> None:
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told. Null and empty texts, texts without a letter and texts far from every profile go.
 
     Texts are read whole, however long. Rows that repeat a doc_id, or have none, are judged each by its own text; a null lang teaches nothing. An
     empty table, or one without any lang, gives none. Other columns stay, whatever their names.
     """
+    _small_batches(spark)
     names = fresh(docs, "lang", "score")
     found = detect(docs, fit(docs), names=tuple(names))
     return found.where(accepted(F.col(names[0]), F.col(names[1]), LEAST_SCORE)).select(*docs.columns)
@@ -45,6 +55,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts have no line and stay as they are. Rows that repeat a doc_id, or have none, are documents of their own; of
     rows that repeat doc_id and text one keeps its lines. An empty table gives none. Other columns stay, whatever their names.
     """
+    _small_batches(spark)
     had, kept = fresh(docs, "lines", "kept")
     left = dedup_lines(docs, counts=(had, kept)).where((F.col(kept) > 0) | (F.col(had) == 0))
     return left.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
@@ -56,6 +67,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that share a doc_id are compared each by its own text. Null, empty and blank texts are alike to nothing: of those that repeat a
     doc_id and its text one stays, and all without a doc_id. Texts are read whole; an empty table gives none; other columns stay, but for ROW's name any may be there.
     """
+    _small_batches(spark)
     scratch = Scratch(spark, "near")
     rows = scratch.numbered(docs)
     classes = scratch.save(shingle_classes(rows, ROW), "classes")
@@ -77,6 +89,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat a doc_id, or have none, are documents of their own. Null and wordless texts have size 0 and are not taken; a null source is a
     source. An empty table gives none. Other columns stay, but for ROW's name any may be there.
     """
+    _small_batches(spark)
     scratch = Scratch(spark, "mixed")
     rows = scratch.numbered(docs)
     key, copies, copy = fresh(rows, "key", "copies", "copy")
@@ -91,8 +104,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids. Texts are read whole; an empty table gives none; other columns go.
     """
-    ranks = content(RANKS)
-    both = decode(encode(docs.select("doc_id", "source", "lang", "text"), ranks).drop("text"), ranks)
+    _small_batches(spark)
+    both = encode(docs.select("doc_id", "source", "lang", "text"), content(RANKS), decoded="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
