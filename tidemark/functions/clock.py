@@ -44,9 +44,17 @@ def is_available(available_from: Column, cut: Column) -> Column:
     return F.coalesce(available_from <= cut, F.lit(False))
 
 
-def web_time(text: Column) -> Column:
-    """A date alone means the end of that day; ISO and RFC 2822 times parse; relative ages give null."""
+def web_time(text: Column, zone: str | None = None) -> Column:
+    """A date alone, with dashes, slashes or dots, means the end of that day; ISO and RFC 2822 times parse; relative ages give null.
+
+    zone: that of the market, in which dates and times without an offset are read; else the session's.
+    """
     clean = F.trim(text)
+    local = lambda t: F.to_utc_timestamp(t, zone) if zone else t
+    day = F.regexp_replace(clean, "[/.]", "-")
+    offset = clean.rlike(r"([+-]\d{2}:?\d{2}|Z)$")
     mail = F.try_to_timestamp(F.regexp_extract(clean, r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4})", 1), F.lit("d MMM yyyy HH:mm:ss Z"))
     iso = clean.rlike(r"^\d{4}-\d{2}-\d{2}[T ]")
-    return F.when(clean.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(F.concat(clean, F.lit("T23:59:59")))).when(iso, F.try_to_timestamp(clean)).otherwise(mail)
+    dated = clean.rlike(r"^\d{4}(-\d{2}-|/\d{2}/|\.\d{2}\.)\d{2}$")
+    stamp = F.try_to_timestamp(clean)
+    return F.when(dated, local(F.try_to_timestamp(F.concat(day, F.lit("T23:59:59"))))).when(iso, F.when(offset, stamp).otherwise(local(stamp))).otherwise(mail)

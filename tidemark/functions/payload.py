@@ -36,15 +36,37 @@ def payload_hash(payload: Column) -> Column:
     return F.sha2(canonical_json(payload).cast("binary"), 256)
 
 
+def scalars(value: object) -> list[str]:
+    """The non-blank strings and numbers of a value as text, lists of any depth flattened. Booleans, objects and nulls give nothing."""
+    if isinstance(value, list):
+        return [x for item in value for x in scalars(item)]
+    if isinstance(value, bool) or not isinstance(value, (str, int, float)):
+        return []
+    text = str(value).strip()
+    return [text] if text else []
+
+
 def alias_values(payload: Column, paths: Sequence[str]) -> Column:
-    """Ordered distinct non-blank strings of all alias paths; a list gives each of its scalars."""
-    def values(path: str) -> Column:
-        raw = F.get_json_object(payload, path)
-        items = F.from_json(raw, "array<string>")
-        return F.when(F.coalesce(raw.startswith("["), F.lit(False)), F.coalesce(items, F.array().cast("array<string>"))).otherwise(F.array(raw))
-
-    trimmed = F.transform(F.flatten(F.array(*[values(p) for p in paths])), lambda x: F.trim(x))
-    return F.array_distinct(F.filter(trimmed, lambda x: x.isNotNull() & (x != "") & ~x.startswith("{")))
+    """Ordered distinct scalars of all alias paths (``$.a.b``), from one parse of each payload; see scalars()."""
+    steps = [p.removeprefix("$.").split(".") for p in paths]
+
+    def run(payload: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[str]:
+            try:
+                root = None if text is None else json.loads(text)
+            except ValueError:
+                root = None
+            found: dict[str, None] = {}
+            for names in steps:
+                value = root
+                for name in names:
+                    value = value.get(name) if isinstance(value, dict) else None
+                found.update(dict.fromkeys(scalars(value)))
+            return list(found)
+
+        return payload.map(one)
+
+    return F.pandas_udf(run, "array<string>")(payload)
 
 
 def has_key(payload: Column, key: str) -> Column:

@@ -96,13 +96,23 @@ def price_scope(rows: DataFrame, key: str) -> DataFrame:
     return union(violated(rows, "PRICE_ALLOWED_TOO_LATE", key, F.col("allowed_through") >= F.col("trade_date")), violated(rows, "PRICE_SNAPSHOT_AFTER_CUTOFF", key, F.col("as_of") > F.col("cutoff_at")))
 
 
-def twins(files: DataFrame, path: str, content: str, ignored: str = r"(?m)^(generated_at|version|created_at|source|hash|id|date|category):.*$") -> DataFrame:
-    """Files that are equal, or equal but for their metadata lines."""
-    body = F.trim(F.regexp_replace(content, ignored, ""))
+#: Beginnings of lines that say how a file was made, not what is in it.
+MADE_BY = ("# ", "Brain version:", "Build mode:", "Provider:", "Model:", "Category:", "Source record count:", "Accepted episodes covered:")
+
+
+def twins(files: DataFrame, path: str, content: str, ignored: tuple[str, ...] = MADE_BY) -> DataFrame:
+    """Files that are equal, or equal but for blank lines, margins and lines that begin with one of ``ignored``: a row for each such file.
+
+    detail: the first path of its group. Groups of any size stay rows, none becomes a list.
+    """
+    lines = F.split(F.col(content), r"\r\n|\r|\n")
+    kept = F.filter(lines, lambda x: (F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "") & ~F.coalesce(*[F.when(x.startswith(i), F.lit(True)) for i in ignored], F.lit(False)))
+    body = F.array_join(F.transform(kept, lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))), "\n")
     out = []
     for check, text in (("IDENTICAL_FILES", F.col(content)), ("IDENTICAL_BODIES", body)):
-        groups = files.groupBy(F.sha2(text.cast("binary"), 256).alias("h")).agg(F.sort_array(F.collect_list(path)).alias("paths")).where(F.size("paths") > 1)
-        out.append(finding(groups, check, F.col("h"), F.array_join("paths", ",")))
+        hashed = files.select(F.col(path).alias("path"), F.sha2(text.cast("binary"), 256).alias("h"))
+        groups = hashed.groupBy("h").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        out.append(finding(hashed.join(groups, "h"), check, F.col("path"), F.col("first")))
     return union(*out)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,31 +22,43 @@ def placed(candidates: DataFrame, *order) -> DataFrame:
 def metrics_at(candidates: DataFrame, outcomes: DataFrame, universe: DataFrame | None = None) -> DataFrame:
     """One row per prediction. candidates: prediction_id, rank, ticker; outcomes: prediction_id, ticker, high_return, gap_return, touched, closed.
 
-    Rates without a denominator are null, as is every recall without a universe (prediction_id, ticker, high_return, touched, closed).
-    A candidate counts for a recall if its own outcome satisfies it and the universe has it.
+    Rates without a denominator are null, as is every recall without a universe (prediction_id, ticker, high_return, touched, closed). A high-return
+    rate is over the candidates whose return is known. A ticker counts for a recall once, at its first position, if both its own outcome and the
+    universe's satisfy it; recalls at k look at the first k positions, the others at all.
     """
-    joined = placed(candidates).join(outcomes, ["prediction_id", "ticker"], "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    hit, n = yes(F.col("touched")), F.count(F.lit(1))
     first = lambda k: F.col("position") <= k
+    again = Window.partitionBy("prediction_id", "ticker").orderBy("position")
+    joined = placed(candidates).join(outcomes, ["prediction_id", "ticker"], "left").withColumn("is_new", F.row_number().over(again) == 1)
+    hit, n = yes(F.col("touched")), F.count(F.lit(1))
     aggs = [n.alias("n_candidates"), *[F.count_if(first(k) & hit).alias(f"hits_at_{k}") for k in CUTS]]
     aggs += [rate(F.count_if(first(k) & hit), F.least(F.lit(k), n)).alias(f"precision_at_{k}") for k in CUTS]
     aggs += [F.avg(F.when(first(k), F.col("high_return"))).alias(f"avg_high_at_{k}") for k in CUTS]
-    aggs += [rate(F.count_if(yes(F.col("high_return") >= x)), n).alias(f"high_ge_{x}_rate") for x in LEVELS]
+    aggs += [rate(F.count_if(yes(F.col("high_return") >= x)), F.count("high_return")).alias(f"high_ge_{x}_rate") for x in LEVELS]
     aggs += [rate(F.count_if(yes(F.col("gap_return") > 0)), F.count("gap_return")).alias("gap_up_rate"), rate(F.count_if(~hit), n).alias("false_positive_rate")]
-    out = joined.groupBy("prediction_id").agg(*aggs)
     if universe is None:
-        return out
-    known = joined.join(universe.select("prediction_id", "ticker", F.lit(True).alias("known")), ["prediction_id", "ticker"], "left").where("known")
-    found = known.groupBy("prediction_id").agg(F.count_distinct(F.when(hit, F.col("ticker"))).alias("touched_found"), F.count_distinct(F.when(yes(F.col("closed")), F.col("ticker"))).alias("closed_found"), *[F.count_distinct(F.when(yes(F.col("high_return") >= x), F.col("ticker"))).alias(f"found_{x}") for x in LEVELS])
-    total = universe.groupBy("prediction_id").agg(F.count_if(yes(F.col("touched"))).alias("touched_all"), F.count_if(yes(F.col("closed"))).alias("closed_all"), *[F.count_if(yes(F.col("high_return") >= x)).alias(f"all_{x}") for x in LEVELS])
-    joined = out.join(found, "prediction_id", "left").join(total, "prediction_id", "left")
-    part = lambda c: F.coalesce(c, F.lit(0))
-    return joined.select(*out.columns, rate(part(F.col("touched_found")), F.col("touched_all")).alias("limit_recall"), rate(part(F.col("closed_found")), F.col("closed_all")).alias("closed_recall"), *[rate(part(F.col(f"found_{x}")), F.col(f"all_{x}")).alias(f"recall_ge_{x}") for x in LEVELS])
-
-
-def path_recall(candidates: DataFrame, universe: DataFrame, paths: dict[str, tuple[str, ...]]) -> DataFrame:
-    """For each named set of path types the share of all limit tickers that its candidates found; the denominator is the same for all."""
+        return joined.groupBy("prediction_id").agg(*aggs)
+    tests = {"limit_recall": lambda r: r("touched"), "closed_recall": lambda r: r("closed")} | {f"recall_ge_{x}": lambda r, x=x: r("high_return") >= x for x in LEVELS}
+    known = universe.select("prediction_id", "ticker", *[F.col(c).alias(f"all_{c}") for c in ("high_return", "touched", "closed")])
+    both = joined.join(known, ["prediction_id", "ticker"], "left")
+    found = {}
+    for name, test in tests.items():
+        holds = F.col("is_new") & yes(test(F.col)) & yes(test(lambda c: F.col(f"all_{c}")))
+        found |= {name: F.count_if(holds)} | {f"{name}_at_{k}": F.count_if(first(k) & holds) for k in CUTS}
+    out = both.groupBy("prediction_id").agg(*aggs, *[c.alias(f"found_{m}") for m, c in found.items()])
+    total = universe.groupBy("prediction_id").agg(*[F.count_if(yes(test(F.col))).alias(f"total_{name}") for name, test in tests.items()])
+    names = [c for c in out.columns if not c.startswith("found_")]
+    out = out.join(total, "prediction_id", "left")
+    return out.select(*names, *[rate(F.col(f"found_{m}"), F.col(f"total_{re.sub('_at_[0-9]+$', '', m)}")).alias(m) for m in found])
+
+
+def path_recall(candidates: DataFrame, universe: DataFrame, paths: dict[str, tuple[str, ...]], outcomes: DataFrame | None = None) -> DataFrame:
+    """For each named set of path types the share of all limit tickers that its candidates found; the denominator is the same for all.
+
+    With ``outcomes`` a candidate counts only if its own outcome touched the limit too.
+    """
+    if outcomes is not None:
+        candidates = candidates.join(outcomes.where("touched").select("prediction_id", "ticker"), ["prediction_id", "ticker"], "left_semi")
     limit = universe.where("touched").select("prediction_id", "ticker").distinct()
     total = limit.groupBy("prediction_id").agg(F.count(F.lit(1)).alias("limit_tickers"))
     found = candidates.join(limit, ["prediction_id", "ticker"], "left_semi").groupBy("prediction_id").agg(*[F.count_distinct(F.when(F.col("path_type").isin(*p), F.col("ticker"))).alias(name) for name, p in paths.items()])

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import text_bigrams, text_terms
-from tidemark.functions.vectors import dot, hash_embedding
+from tidemark.functions.vectors import hash_embedding
 
 
 def indexed(rows: DataFrame, text: str) -> DataFrame:
@@ -19,19 +26,63 @@ def top_k(scored: DataFrame, k: int, query: str, key: str, score: str = "score")
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Queries that are held by a task at once; more are asked in further blocks.
+BLOCK = 4096
+
+
+def _best(rows: DataFrame, queries: DataFrame, query: str, key: str, k: int, own: bool, terms: bool) -> DataFrame:
+    """(query, key, score): of each Arrow batch and query the k best rows, by falling score, then by key. own: a row may answer a query of its own id."""
+    kind, asked = rows.schema[key].dataType, queries.schema[query].dataType
+    schema = T.StructType([T.StructField(query, asked), T.StructField(key, kind), T.StructField("score", T.DoubleType())])
+    names = [query, "terms", "vector"] if terms else [query, "vector"]
+    listed, out = queries.select(*names).orderBy(query).toLocalIterator(prefetchPartitions=False), None
+    while block := list(itertools.islice(listed, BLOCK)):
+        part = rows.select(key, *names[1:]).mapInArrow(_scorer([tuple(r) for r in block], k, own, terms, query, key), schema)
+        out = part if out is None else out.unionByName(part)
+    return rows.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _scorer(block: list[tuple], k: int, own: bool, terms: bool, query: str, key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = [b[0] for b in block], [b[-1] or [] for b in block]
+        width = max(map(len, vectors), default=0)
+        asked = np.array([v if len(v) == width else [0.0] * width for v in vectors], np.float64).reshape(len(block), width)
+        wanted: dict[str, list[int]] = {}
+        for q, words in enumerate(b[1] for b in block if terms):
+            for w in words or ():
+                wanted.setdefault(w, []).append(q)
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                batch = whole.slice(at, 1024)
+                batch = batch.take(pc.sort_indices(batch.column(0)))
+                score = np.zeros((len(batch), len(block)))
+                if width:
+                    own_vectors = [v if v is not None and len(v) == width else [0.0] * width for v in batch.column(batch.num_columns - 1).to_pylist()]
+                    score += np.array(own_vectors, np.float64) @ asked.T
+                if terms:
+                    for row, words in enumerate(batch.column(1).to_pylist()):
+                        for hits in filter(None, map(wanted.get, words or ())):
+                            score[row, hits] += 1
+                if not own:
+                    places = {x: i for i, x in enumerate(batch.column(0).to_pylist())}
+                    for q, x in enumerate(ids):
+                        if x in places:
+                            score[places[x], q] = -np.inf
+                best = np.argsort(-score, axis=0, kind="stable")[:k].T
+                value = np.take_along_axis(score.T, best, axis=1)
+                held = np.isfinite(value)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, n in zip(ids, held.sum(axis=1).tolist(), strict=True) for _ in range(n)]), batch.column(0).take(pa.array(best[held])), pa.array(value[held])], names=[query, key, "score"])
+
+    return run
+
+
 def hybrid(queries: DataFrame, store: DataFrame, query: str, key: str, k: int) -> DataFrame:
-    """The k best by shared terms plus dot product. The queries are a stated set, broadcast against all rows; no score is too low.
+    """The k best by shared terms plus dot product; no score is too low.
 
-    queries: query, terms, vector; store: key, terms, vector. Each task keeps only the k best of its rows before the shuffle.
+    queries: query, terms, vector; store: key, terms, vector (vectors of another length than the queries' count as zero). The queries are a stated set, held by each task BLOCK at a time:
+    a task looks its rows' terms up among theirs, multiplies vectors as matrices, and sends the k best of 1,024 rows to the shuffle.
     """
-    q = queries.select(query, F.col("terms").alias("q_terms"), F.col("vector").alias("q_vector"))
-    score = F.size(F.array_intersect("terms", "q_terms")) + dot(F.col("vector"), F.col("q_vector"))
-    scored = store.crossJoin(F.broadcast(q)).select(query, key, score.alias("score"))
-    # max_by-style partial aggregation keeps k rows per task and query: a window would shuffle every score.
-    best = F.expr(f"slice(array_sort(collect_list(struct(-score as s, {key}))), 1, {k})")
-    salted = scored.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(64)))
-    local = salted.groupBy(query, "_salt").agg(best.alias("_b")).select(query, F.explode("_b").alias("_b"))
-    return top_k(local.select(query, F.col(f"_b.{key}").alias(key), (-F.col("_b.s")).alias("score")), k, query, key)
+    return top_k(_best(store, queries, query, key, k, True, True), k, query, key)
 
 
 def legacy_score(terms: str, q_terms: str):
@@ -49,9 +100,9 @@ def positive_or_all(scored: DataFrame, query: str, score: str = "score") -> Data
 
 def vector_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """The k best of all vectors for each stated query by dot product, the query itself left out."""
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q_vector"))
-    scored = vectors.crossJoin(F.broadcast(q)).where(F.col(key) != F.col("query_id"))
-    return top_k(scored.select("query_id", key, dot(F.col(vector), F.col("q_vector")).alias("score")), k, "query_id", key)
+    q = queries.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = vectors.select(key, F.col(vector).cast("array<double>").alias("vector"))
+    return top_k(_best(rows, q, "query_id", key, k, False, False), k, "query_id", key)
 
 
 def index_status(manifest: dict | None, schema_version: str, index_hash: str, source_hash: str) -> str:

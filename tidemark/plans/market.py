@@ -61,8 +61,8 @@ PREDICTED = """per AS (
          max(value) / 16.0 >= 29 AS touched, max(value) >= 485 AS closed FROM events GROUP BY ALL
 ), cand AS (
   SELECT prediction_id, rank, ticker, CASE ticker % 4 WHEN 0 THEN 'SINGLE_EVENT' WHEN 1 THEN 'THEME_BENEFICIARY' WHEN 2 THEN 'CONTINUATION' ELSE 'OTHER' END AS path_type
-  FROM (SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY total DESC, ticker) * 10 AS rank FROM per) WHERE rank <= 300
-), outc AS (SELECT * FROM per WHERE ticker % 7 <> 0), uni AS (SELECT * FROM per WHERE ticker % 3 <> 0)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY total DESC, ticker) * 10 AS rank FROM per) WHERE total >= 40000
+), outc AS (SELECT * FROM per WHERE gap_return < 300), uni AS (SELECT * FROM per WHERE high_return >= 4)"""
 
 
 def _predicted(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -70,18 +70,22 @@ def _predicted(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     per = t.events.groupBy(F.col("event_type").alias("prediction_id"), F.col("user_id").alias("ticker")).agg(
         F.sum(F.round(F.col("value") * 100).cast("long")).alias("total"), high.alias("high_return"), (F.min("value") - 20).alias("gap_return"), (high >= 29).alias("touched"), (F.max("value") >= 485).alias("closed")
     )
-    ranked = ranking.placed(per, F.desc("total"), "ticker").withColumn("rank", F.col("position") * 10).where("rank <= 300")
+    ranked = ranking.placed(per, F.desc("total"), "ticker").withColumn("rank", F.col("position") * 10).where("total >= 40000")
     path = F.when(F.col("ticker") % 4 == 0, "SINGLE_EVENT").when(F.col("ticker") % 4 == 1, "THEME_BENEFICIARY").when(F.col("ticker") % 4 == 2, "CONTINUATION").otherwise("OTHER")
-    return ranked.select("prediction_id", "rank", "ticker", path.alias("path_type")), per.where("ticker % 7 <> 0").drop("total"), per.where("ticker % 3 <> 0").drop("total")
+    return ranked.select("prediction_id", "rank", "ticker", path.alias("path_type")), per.where("gap_return < 300").drop("total"), per.where("high_return >= 4").drop("total")
 
 
 _M = ", ".join(
     [f"count(*) FILTER (pos <= {k} AND hit) AS hits_at_{k}" for k in ranking.CUTS]
     + [f"count(*) FILTER (pos <= {k} AND hit) / CAST(least({k}, count(*)) AS DOUBLE) AS precision_at_{k}" for k in ranking.CUTS]
     + [f"avg(high_return) FILTER (pos <= {k}) AS avg_high_at_{k}" for k in ranking.CUTS]
-    + [f"count(*) FILTER (high_return >= {x}) / CAST(count(*) AS DOUBLE) AS high_ge_{x}_rate" for x in ranking.LEVELS]
+    + [f"count(*) FILTER (high_return >= {x}) / CAST(nullif(count(high_return), 0) AS DOUBLE) AS high_ge_{x}_rate" for x in ranking.LEVELS]
 )
-_R = ", ".join(f"coalesce(found_{x}, 0) / CAST(nullif(all_{x}, 0) AS DOUBLE) AS recall_ge_{x}" for x in ranking.LEVELS)
+#: Recalls: name, the condition on a candidate's own outcome and that on the universe's.
+_T = [("limit_recall", "hit", "u.touched"), ("closed_recall", "j.closed", "u.closed"), *((f"recall_ge_{x}", f"j.high_return >= {x}", f"u.high_return >= {x}") for x in ranking.LEVELS)]
+_F = ", ".join(f"count(DISTINCT j.ticker) FILTER ({own} AND {all_}{cut}) AS {n}{at}" for n, own, all_ in _T for cut, at in [("", ""), *((f" AND pos <= {k}", f"_at_{k}") for k in ranking.CUTS)])
+_U = ", ".join(f"count(*) FILTER ({all_}) AS all_{n}" for n, _, all_ in _T)
+_R = ", ".join(f"{n}{at} / CAST(nullif(all_{n}, 0) AS DOUBLE) AS {n}{at}" for n, _, _ in _T for at in ["", *(f"_at_{k}" for k in ranking.CUTS)])
 
 
 @query(f"""WITH {PREDICTED}, j AS (
@@ -90,15 +94,9 @@ _R = ", ".join(f"coalesce(found_{x}, 0) / CAST(nullif(all_{x}, 0) AS DOUBLE) AS
 ), m AS (
   SELECT prediction_id, count(*) AS n_candidates, {_M}, count(*) FILTER (gap_return > 0) / CAST(nullif(count(gap_return), 0) AS DOUBLE) AS gap_up_rate,
          count(*) FILTER (NOT hit) / CAST(count(*) AS DOUBLE) AS false_positive_rate FROM j GROUP BY 1
-), f AS (
-  SELECT prediction_id, count(DISTINCT ticker) FILTER (hit) AS ft, count(DISTINCT ticker) FILTER (closed) AS fc,
-         {", ".join(f"count(DISTINCT ticker) FILTER (high_return >= {x}) AS found_{x}" for x in ranking.LEVELS)}
-  FROM j WHERE EXISTS (SELECT 1 FROM uni WHERE uni.prediction_id = j.prediction_id AND uni.ticker = j.ticker) GROUP BY 1
-), u AS (
-  SELECT prediction_id, count(*) FILTER (touched) AS ut, count(*) FILTER (closed) AS uc, {", ".join(f"count(*) FILTER (high_return >= {x}) AS all_{x}" for x in ranking.LEVELS)} FROM uni GROUP BY 1
-)
-SELECT m.*, coalesce(ft, 0) / CAST(nullif(ut, 0) AS DOUBLE) AS limit_recall, coalesce(fc, 0) / CAST(nullif(uc, 0) AS DOUBLE) AS closed_recall, {_R}
-FROM m LEFT JOIN f USING (prediction_id) LEFT JOIN u USING (prediction_id)""")
+), f AS (SELECT j.prediction_id, {_F} FROM j LEFT JOIN uni u ON u.prediction_id = j.prediction_id AND u.ticker = j.ticker GROUP BY 1),
+a AS (SELECT prediction_id, {_U} FROM uni u GROUP BY 1)
+SELECT m.*, {_R} FROM m JOIN f USING (prediction_id) LEFT JOIN a USING (prediction_id)""")
 def ranking_metrics_at_k(t: Tables) -> DataFrame:
     candidates, own, universe = _predicted(t)
     return ranking.metrics_at(candidates, own, universe)
@@ -109,10 +107,10 @@ PATHS = {"single_event_recall": ("SINGLE_EVENT",), "theme_recall": ("THEME_BENEF
 
 @query(f"""WITH {PREDICTED}, lim AS (SELECT DISTINCT prediction_id, ticker FROM uni WHERE touched)
 SELECT prediction_id, count(*) AS limit_tickers, {", ".join(f"count(c.ticker) FILTER (path_type = '{p[0]}') / CAST(count(*) AS DOUBLE) AS {n}" for n, p in PATHS.items())}
-FROM lim LEFT JOIN cand c USING (prediction_id, ticker) GROUP BY 1""")
+FROM lim LEFT JOIN (SELECT * FROM cand WHERE EXISTS (SELECT 1 FROM outc WHERE touched AND outc.prediction_id = cand.prediction_id AND outc.ticker = cand.ticker)) c USING (prediction_id, ticker) GROUP BY 1""")
 def path_recall(t: Tables) -> DataFrame:
-    candidates, _, universe = _predicted(t)
-    return ranking.path_recall(candidates, universe, PATHS)
+    candidates, own, universe = _predicted(t)
+    return ranking.path_recall(candidates, universe, PATHS, own)
 
 
 @query(f"WITH {PREDICTED} SELECT DISTINCT prediction_id, ticker FROM uni WHERE touched AND NOT EXISTS (SELECT 1 FROM cand WHERE cand.prediction_id = uni.prediction_id AND cand.ticker = uni.ticker)")
@@ -291,13 +289,14 @@ def sweep_buckets(t: Tables) -> DataFrame:
     return packing.sweep(sharded, {"clicks": F.col("event_type") == "click", "high": F.col("value") >= 400, "low": F.col("value") < 50}, "shard")
 
 
-@query("""WITH c AS (SELECT conv_id, text, DATE '2024-01-01' + CAST(conv_id % 30 AS INTEGER) AS day FROM conversations WHERE turn = 0)
+@query("""WITH c AS (SELECT conv_id || '/' || turn AS conv_id, text, DATE '2024-01-01' + CAST(conv_id % 30 AS INTEGER) AS day FROM conversations)
 SELECT conv_id, CAST(pos - 1 AS INTEGER) AS position, word AS statement, CAST(day + CASE isodow(day) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS DATE) AS available_from,
 'CLAIM-' || substr(sha256(conv_id || '|' || (pos - 1) || '|' || word), 1, 12) AS claim_id
 FROM c, unnest(string_split(text, ' ')) WITH ORDINALITY AS u(word, pos)""")
 def claims_explode(t: Tables) -> DataFrame:
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 30).cast("int"))
-    return claims.claims_from_lessons(t.conversations.where("turn = 0"), "conv_id", day, F.split("text", " ", -1))
+    turns = t.conversations.withColumn("day", day).withColumn("conv_id", F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")))
+    return claims.claims_from_lessons(turns, "conv_id", F.col("day"), F.split("text", " ", -1))
 
 
 @query("""WITH c AS (SELECT o_orderkey AS claim_id, o_orderdate AS f FROM orders), s AS (SELECT l_orderkey AS claim_id, l_suppkey * 3 AS episode_id FROM lineitem),

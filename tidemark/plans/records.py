@@ -32,11 +32,11 @@ def record_query(t: Tables) -> DataFrame:
     return found.select("record_id", "record_type", "trade_date")
 
 
-@query("""SELECT event_id, concat_ws('|', user_id, event_type, CASE WHEN k <> CAST(user_id AS VARCHAR) THEN k END) AS tickers, CAST(user_id AS VARCHAR) AS ticker
+@query("""SELECT event_id, concat_ws('|', user_id, event_type, 'nested', CASE WHEN k <> CAST(user_id AS VARCHAR) THEN k END) AS tickers, CAST(user_id AS VARCHAR) AS ticker
 FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)""")
 def alias_extraction(t: Tables) -> DataFrame:
     user = F.col("user_id").cast("string")
-    payload = F.format_string('{"ticker": "%s", "peer_universe": ["%s", " %s "], "outcome": {"ticker": %s}}', user, F.col("event_type"), user, F.get_json_object("props", "$.k"))
+    payload = F.format_string('{"ticker": "%s", "peer_universe": ["%s", " %s ", true, ["nested", [null, {"a": 1}]]], "outcome": {"ticker": %s}}', user, F.col("event_type"), user, F.get_json_object("props", "$.k"))
     found = ops.with_aliases(t.events.withColumn("payload", payload), fields={"ticker": ops.PATHS["ticker"]})
     return found.select("event_id", F.array_join("ticker_list", "|").alias("tickers"), "ticker")
 

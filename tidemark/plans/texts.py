@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids, payload, text, vectors
-from tidemark.operators import news, retrieval
+from tidemark.operators import audits, news, retrieval
 from tidemark.plans.registry import Tables, query
+from tidemark.session import shared_folder
 from tidemark.sources import bundles
 from tidemark.streaming import admission
 
@@ -27,10 +27,14 @@ def cluster_summary(t: Tables) -> DataFrame:
     return news.cluster_summary(news.event_clusters(t.documents, "doc_id", None, "text"))
 
 
-@query(r"""SELECT body AS h, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members FROM (SELECT doc_id, sha256(trim(coalesce(text, ''))) AS body FROM documents) GROUP BY 1 HAVING count(*) > 1""")
+@query(r"""WITH l AS (SELECT doc_id, CAST(text AS VARCHAR) AS text, list_transform(list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: trim(x, E' \t\n\x0b\x0c\r') <> '' AND NOT starts_with(x, '# ')
+  AND NOT starts_with(x, 'Brain version:') AND NOT starts_with(x, 'Build mode:') AND NOT starts_with(x, 'Provider:') AND NOT starts_with(x, 'Model:') AND NOT starts_with(x, 'Category:')
+  AND NOT starts_with(x, 'Source record count:') AND NOT starts_with(x, 'Accepted episodes covered:')), lambda x: trim(x, E' \t\n\x0b\x0c\r')) AS x FROM documents),
+h AS (SELECT doc_id, 'IDENTICAL_FILES' AS check_id, sha256(text) AS h FROM l UNION ALL SELECT doc_id, 'IDENTICAL_BODIES', sha256(array_to_string(x, chr(10))) FROM l),
+g AS (SELECT *, min(doc_id) OVER (PARTITION BY check_id, h) AS first_id, count(*) OVER (PARTITION BY check_id, h) AS n FROM h WHERE h IS NOT NULL)
+SELECT check_id, CAST(doc_id AS VARCHAR) AS subject_id, CAST(first_id AS VARCHAR) AS detail FROM g WHERE n > 1""")
 def near_identical_bodies(t: Tables) -> DataFrame:
-    groups = t.documents.groupBy(F.sha2(F.trim(F.coalesce("text", F.lit(""))).cast("binary"), 256).alias("h")).agg(F.sort_array(F.collect_list("doc_id")).alias("m"))
-    return groups.where(F.size("m") > 1).select("h", F.array_join(F.col("m").cast("array<string>"), ",").alias("members"))
+    return audits.twins(t.documents, "doc_id", "text").select("check_id", F.col("subject_id").cast("string").alias("subject_id"), F.col("detail").cast("string").alias("detail"))
 
 
 @query(r"""SELECT doc_id, len(x) AS n_terms, md5(array_to_string(list_sort(x), ' ')) AS terms_md5
@@ -47,8 +51,8 @@ def text_bigrams(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(x).cast("long").alias("n_bigrams"), F.md5(F.array_join(F.array_sort(x), " ").cast("binary")).alias("bigrams_md5"))
 
 
-FEATURES = r"""t AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(text, '[^\p{L}\p{N}]', ' ', 'g')), ' +'), lambda w: length(w) > 1)) AS terms,
-  regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS c FROM benchmark),
+FEATURES = r"""t AS (SELECT doc_id AS item_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', ' ', 'g')), ' +'), lambda w: length(w) > 1)) AS terms,
+  regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]', '', 'g') AS c FROM documents),
 f AS (SELECT item_id, sha256(unnest(list_concat(terms, list_distinct(list_transform(range(1, length(c)), lambda i: substr(c, i, 2)))))) AS h FROM t),
 b AS (SELECT item_id, CAST(('0x' || substr(h, 1, 8)) AS UBIGINT) % 32 AS bucket, sum(CASE WHEN CAST(('0x' || substr(h, 9, 2)) AS UBIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS s FROM f GROUP BY ALL),
 n AS (SELECT item_id, sqrt(sum(s * s)) AS norm FROM b GROUP BY 1)"""
@@ -56,7 +60,7 @@ n AS (SELECT item_id, sqrt(sum(s * s)) AS norm FROM b GROUP BY 1)"""
 
 @query(f"WITH {FEATURES} SELECT b.item_id, CAST(bucket AS INTEGER) AS bucket, round(s / norm, 9) AS value FROM b JOIN n USING (item_id) WHERE s <> 0")
 def hash_embedding(t: Tables) -> DataFrame:
-    rows = t.benchmark.select("item_id", F.posexplode(vectors.hash_embedding(F.col("text"))).alias("bucket", "value"))
+    rows = t.documents.select(F.col("doc_id").alias("item_id"), F.posexplode(vectors.hash_embedding(F.col("text"))).alias("bucket", "value"))
     return rows.where("value <> 0").select("item_id", "bucket", F.round("value", 9).alias("value"))
 
 
@@ -147,9 +151,7 @@ def stream_admission(t: Tables) -> DataFrame:
     """Events per admission window, from a stream; windows that the watermark has not passed are withheld."""
     stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.folder}/events.parquet*")
     windows = admission.daily_windows(stream, "ts", "event_id")
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    name = f"admission_{uuid.uuid4().hex[:8]}"
-    return admission.run_available(windows, name, f"{base}/{name}")
+    return admission.run_available(windows, f"{shared_folder(t.spark)}/admission-{uuid.uuid4().hex[:8]}")
 
 
 @query("SELECT user_id, event_id, ts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS cluster_index FROM events")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import parse_number
-from tidemark.functions.text import header_name
 
 #: Header names of each field, letters and digits alone; they are tried in alphabetical order.
 FIELDS = {
@@ -22,29 +21,28 @@ FIELDS = {
 }
 
 
+#: Columns of a file that are looked at.
+COLUMNS = 64
+
+
 def read_prices(spark: SparkSession, root: str) -> DataFrame:
     """All shards below ``root``/prefix/ticker/year.csv as ticker, trade_date, o, h, l, c, v, a, mc, s.
 
-    Shards of different headers are read by one scan each: headers are few, found from the first line of every file.
+    One scan, whatever the headers: a file, a year of one ticker, is a row that is split by the executor that reads it. The first ten characters of a date
+    count; rows whose date doesn't parse, and files that aren't UTF-8, are left out. Of a field's aliases the first that isn't blank decides.
     """
-    files = spark.read.text(f"{root}/*/*/*.csv").select(F.input_file_name().alias("path"), "value", F.col("_metadata.file_block_start").alias("start"))
-    heads = files.groupBy("path").agg(F.min_by("value", "start").alias("head"))
-    by_head: dict[str, list[str]] = {}
-    for row in heads.where("head is not null").collect():
-        by_head.setdefault(row["head"], []).append(row["path"])
-    frames = [_read(spark, head, paths) for head, paths in sorted(by_head.items())]
-    if not frames:
-        raise FileNotFoundError(root)
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _read(spark: SparkSession, head: str, paths: list[str]) -> DataFrame:
-    raw = spark.read.option("header", True).csv(paths)
-    held = {header_name(c): c for c in raw.columns}
-    cols = {f: [F.col(f"`{held[a]}`") for a in names.split() if a in held] for f, names in FIELDS.items()}
-    number = lambda f: parse_number(*cols[f]) if cols[f] else F.lit(None).cast("double")
-    ticker = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{6})/[^/]+$", 1)
-    return raw.select(ticker.alias("ticker"), F.coalesce(*cols["trade_date"]).try_cast("date").alias("trade_date"), *[number(f).alias(f) for f in FIELDS if f != "trade_date"])
+    files = spark.read.format("binaryFile").load(f"{root}/*/*/*.csv").select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text is not null")
+    lines = F.filter(F.split(F.regexp_replace("text", "^\ufeff", ""), "\r?\n"), lambda x: F.trim(x) != "")
+    cells = lambda line: F.from_csv(line, ", ".join(f"c{k} string" for k in range(COLUMNS)))
+    listed = lambda row: F.array(*[F.col(f"{row}.c{k}") for k in range(COLUMNS)])
+    raw = files.select(F.regexp_extract("path", r"/(\d{6})/[^/]+$", 1).alias("ticker"), lines.alias("lines"))
+    raw = raw.withColumn("head", cells(F.get("lines", F.lit(0)))).withColumn("line", F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))))
+    named = F.transform(listed("head"), lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", ""))
+    rows = raw.select("ticker", named.alias("head"), cells(F.col("line")).alias("row")).select("ticker", "head", listed("row").alias("row"))
+
+    def field(name: str) -> list[Column]:
+        return [F.get("row", F.array_position("head", F.lit(a)).cast("int") - 1) for a in FIELDS[name].split()]
+
+    day = F.coalesce(*[F.nullif(c, F.lit("")) for c in field("trade_date")])
+    rows = rows.select("ticker", F.substring(day, 1, 10).try_cast("date").alias("trade_date"), *[parse_number(*field(f)).alias(f) for f in FIELDS if f != "trade_date"])
+    return rows.where("trade_date is not null")

@@ -35,8 +35,8 @@ def upsert_sink(warehouse, name: str, *keys: str) -> Callable[[DataFrame, int],
     return lambda batch, _: warehouse.upsert(name, batch, *keys)
 
 
-def run_available(result: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Runs a streaming result over all that is there, into a table in memory; for tests and small results."""
-    query = result.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(result: DataFrame, folder: str) -> DataFrame:
+    """Runs a streaming result over all that is there, into a Parquet table below ``folder``, which all executors share."""
+    query = result.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return result.sparkSession.table(name)
+    return result.sparkSession.read.schema(result.schema).parquet(f"{folder}/table")
