@@ -58,3 +58,21 @@ def web_time(text: Column, zone: str | None = None) -> Column:
     dated = clean.rlike(r"^\d{4}(-\d{2}-|/\d{2}/|\.\d{2}\.)\d{2}$")
     stamp = F.try_to_timestamp(clean)
     return F.when(dated, local(F.try_to_timestamp(F.concat(day, F.lit("T23:59:59"))))).when(iso, F.when(offset, stamp).otherwise(local(stamp))).otherwise(mail)
+
+
+def date_in_range(text: Column, lower: Column | None = None, upper: Column | None = None) -> Column:
+    """Whether a date's text is within both bounds; a value or a bound that is no date admits nothing. Without bounds all is admitted."""
+    iso = lambda c: F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date"))
+    if lower is None and upper is None:
+        return F.lit(True)
+    rule = iso(text).isNotNull()
+    if lower is not None:
+        rule = rule & (iso(text) >= iso(lower))
+    if upper is not None:
+        rule = rule & (iso(text) <= iso(upper))
+    return F.coalesce(rule, F.lit(False))
+
+
+def time_at_most(text: Column, upper: Column) -> Column:
+    """Whether a time's text is not after ``upper``; what is no time is not."""
+    return F.coalesce(F.try_to_timestamp(text) <= upper, F.lit(False))

@@ -86,3 +86,93 @@ def truthy(*values: Column) -> Column:
 def merge_lists(a: Column, b: Column) -> Column:
     empty = F.array().cast("array<string>")
     return F.array_distinct(F.filter(F.concat(F.coalesce(a, empty), F.coalesce(b, empty)), lambda x: x.isNotNull() & (x != "")))
+
+
+def json_or_empty(payload: Column, kind: str = "object") -> Column:
+    """The payload if it is a JSON object (``kind`` "array": an array), else an empty one."""
+    found = F.schema_of_variant(F.try_parse_json(payload))
+    return F.when(found.startswith(kind.upper()), payload).otherwise(F.lit("{}" if kind == "object" else "[]"))
+
+
+def first_string(payload: Column, keys: Sequence[str], otherwise: Column) -> Column:
+    """The first of the keys that holds a string that isn't empty, else another value."""
+    parsed = F.try_parse_json(payload)
+    strings = [F.when(F.schema_of_variant(F.try_variant_get(parsed, f"$.{k}", "variant")) == "STRING", F.nullif(F.try_variant_get(parsed, f"$.{k}", "string"), F.lit(""))) for k in keys]
+    return F.coalesce(*strings, otherwise)
+
+
+def subset(payload: Column, keys: Sequence[str]) -> Column:
+    """An object's members of the keys that it has, in canonical JSON."""
+
+    def run(payload: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                held = None if text is None else json.loads(text)
+            except ValueError:
+                held = None
+            if not isinstance(held, dict):
+                return None
+            return json.dumps({k: held[k] for k in keys if k in held}, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+        return payload.map(one)
+
+    return F.pandas_udf(run, "string")(payload)
+
+
+def seal(payload: Column, own: str) -> Column:
+    """The hash of the canonical JSON of an object in which its own hash field is null."""
+
+    def run(payload: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                held = None if text is None else json.loads(text)
+            except ValueError:
+                held = None
+            if not isinstance(held, dict):
+                return None
+            return json.dumps(held | {own: None}, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+        return payload.map(one)
+
+    return F.sha2(F.pandas_udf(run, "string")(payload).cast("binary"), 256)
+
+
+#: Kinds of references and the prefixes of their ids.
+REFERENCES = {"event": "EVT-", "fact": "FACT-", "inference": "INF-"}
+
+
+def references(payload: Column, kinds: dict[str, str] | None = None) -> Column:
+    """(kind, id) of all references anywhere in a payload, sorted: members named ``<kind>_id`` or ``<kind>_ids``, alone or after another word, and members whose
+    name has ``fact_or_inference_id``, whose values tell their kind by prefix."""
+    kinds = kinds or REFERENCES
+
+    def run(payload: pd.Series) -> pd.Series:
+        def texts(value: object) -> list[str]:
+            return [x for x in (value if isinstance(value, list) else [value]) if isinstance(x, str) and x]
+
+        def one(text: str | None) -> list[dict]:
+            try:
+                todo = [json.loads(text)] if text is not None else []
+            except ValueError:
+                todo = []
+            found: set[tuple[str, str]] = set()
+            while todo:
+                value = todo.pop()
+                if isinstance(value, list):
+                    todo.extend(value)
+                elif isinstance(value, dict):
+                    for name, member in value.items():
+                        low = name.lower()
+                        if "fact_or_inference_id" in low:
+                            found.update((kind, x) for x in texts(member) for kind, prefix in kinds.items() if x.startswith(prefix))
+                        else:
+                            for kind in kinds:
+                                many = f"_{low}".endswith(f"_{kind}_ids")
+                                if many and isinstance(member, list) or f"_{low}".endswith(f"_{kind}_id") and isinstance(member, str):
+                                    found.update((kind, x) for x in texts(member))
+                        todo.append(member)
+            return [{"kind": k, "id": x} for k, x in sorted(found)]
+
+        return payload.map(one)
+
+    return F.pandas_udf(run, "array<struct<kind: string, id: string>>")(payload)

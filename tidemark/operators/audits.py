@@ -116,6 +116,89 @@ def twins(files: DataFrame, path: str, content: str, ignored: tuple[str, ...] =
     return union(*out)
 
 
+def id_list(listed: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """Ids that a manifest lists twice, lists though they are not expected, or lacks; blank and null ones are no ids."""
+    blank = F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == ""
+    real, wanted = listed.where(~blank), expected.select(key).distinct()
+    return union(
+        finding(listed.where(blank), "LISTED_BLANK", key),
+        duplicate(real, "LISTED_TWICE", key),
+        finding(real.select(key).distinct().join(wanted, key, "left_anti"), "LISTED_UNEXPECTED", key),
+        finding(wanted.join(real, key, "left_anti"), "NOT_LISTED", key),
+    )
+
+
+#: The one kind of preference row, and its modes by whether the blind preference was right.
+PREFERENCE, MODES = "blind_leader_preference_pair", {True: "positive_preference", False: "correction"}
+
+
+def preferences(rows: DataFrame, key: str = "record_id") -> DataFrame:
+    """Preference rows: another kind; else tickers or winner blank, a flag that is null, an unknown mode, a mode that contradicts the flag.
+
+    rows: key, record_type, preferred, rejected, winner, correct, mode.
+    """
+    pair = rows.where(F.col("record_type").eqNullSafe(F.lit(PREFERENCE)))
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    known = F.coalesce(F.col("mode").isin(*MODES.values()), F.lit(False))
+    fits = F.col("mode") == F.when(F.col("correct"), MODES[True]).otherwise(MODES[False])
+    return union(
+        finding(rows.where(~F.col("record_type").eqNullSafe(F.lit(PREFERENCE))), "NOT_A_LEADER_PAIR", key),
+        *[violated(pair, f"{c.upper()}_MISSING", key, blank(c)) for c in ("preferred", "rejected", "winner")],
+        violated(pair, "CORRECT_INVALID", key, F.col("correct").isNull()),
+        violated(pair, "MODE_INVALID", key, ~known),
+        violated(pair, "MODE_CONTRADICTS", key, known & F.col("correct").isNotNull() & ~fits),
+    )
+
+
+def multiset(stored: DataFrame, derived: DataFrame, check: str, key: str) -> DataFrame:
+    """Rows that one side has more often than the other."""
+    return union(finding(stored.exceptAll(derived), f"{check}_UNEXPECTED", key), finding(derived.exceptAll(stored), f"{check}_MISSING", key))
+
+
+def known_times(rows: DataFrame, key: str = "record_id", known: str = "known_at", available: str = "available_from") -> DataFrame:
+    """Times, as text, at which something was known: unreadable or without an offset; or before it was available."""
+    given = rows.where(F.coalesce(F.col(known), F.lit("")) != "")
+    time = F.when(F.col(known).rlike(r"([+-]\d{2}:?\d{2}|Z)$"), F.try_to_timestamp(F.col(known)))
+    return union(violated(given, "KNOWN_AT_INVALID", key, time.isNull(), F.col(known)), violated(given, "KNOWN_AT_BACKDATED", key, time < F.col(available)))
+
+
+def mechanisms(rows: DataFrame, accepted: DataFrame, key: str = "mechanism_id") -> DataFrame:
+    """Mechanisms without any case, without provenance, or with a success case that is no accepted episode. rows: key, successes, failures, sources; accepted: episode_id."""
+    none = lambda c: F.size(F.coalesce(F.col(c), F.array())) == 0
+    cases = rows.select(key, F.explode("successes").alias("episode_id"))
+    return union(
+        violated(rows, "MECHANISM_WITHOUT_CASES", key, none("successes") & none("failures")),
+        violated(rows, "MECHANISM_WITHOUT_PROVENANCE", key, none("sources")),
+        missing(cases, accepted, "MECHANISM_CASE_UNKNOWN", key, "episode_id"),
+    )
+
+
+def bundle_rows(rows: DataFrame, ledger_rows: DataFrame, ledger_events: DataFrame, predicted: DataFrame) -> DataFrame:
+    """A bundle's row dispositions (row_number, event_id) against what refers to them: (source_id, row_number), (source_id, event_id), (prediction_id, event_id)."""
+    return union(
+        duplicate(rows, "ROW_NUMBER_TWICE", "row_number"),
+        missing(ledger_rows, rows, "LEDGER_ROW_UNKNOWN", "source_id", "row_number"),
+        missing(ledger_events, rows, "LEDGER_EVENT_UNKNOWN", "source_id", "event_id"),
+        missing(predicted, rows, "PREDICTED_EVENT_UNKNOWN", "prediction_id", "event_id"),
+    )
+
+
+def raw_lines(records: DataFrame, blocks: DataFrame, key: str = "record_id") -> DataFrame:
+    """Records (key, block, source_line, raw_sha256) whose line of a block (block, text) is missing, no object, or has another hash. Lines that are blank aren't counted."""
+    from tidemark.functions.payload import spaced_json
+
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    each = blocks.select("block", F.posexplode(lines).alias("_n", "_line")).select("block", (F.col("_n") + 1).alias("source_line"), "_line")
+    joined = records.join(each, ["block", "source_line"], "left")
+    kind = F.schema_of_variant(F.try_parse_json(F.col("_line")))
+    object_ = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+    return union(
+        violated(joined, "RAW_LINE_MISSING", key, F.col("_line").isNull()),
+        violated(joined, "RAW_LINE_NO_OBJECT", key, F.col("_line").isNotNull() & ~object_),
+        violated(joined, "RAW_HASH_MISMATCH", key, object_ & ~F.sha2(spaced_json(F.col("_line")).cast("binary"), 256).eqNullSafe(F.col("raw_sha256"))),
+    )
+
+
 def gate(findings: DataFrame, most: int = 20) -> None:
     """Raises with the first findings if there are any."""
     rows = findings.orderBy("check_id", "subject_id").limit(most).collect()
