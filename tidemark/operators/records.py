@@ -11,19 +11,19 @@ from tidemark.functions.payload import alias_values
 
 #: The payload fields that may hold each logical field, in order, then the nested ones.
 ALIASES = {
-    "ticker": "ticker candidate_ticker outcome_ticker chosen_leader_ticker rejected_candidate_tickers peer_universe blind_preferred_ticker blind_rejected_ticker outcome_winner_ticker missed_ticker corrected_ticker issuer_ticker",
-    "company_name": "company_name entity_name name name_on_D candidate_company_name outcome_company_name chosen_leader_company_name blind_preferred_company_name blind_rejected_company_name outcome_winner_company_name missed_company_name corrected_company_name company_name_on_D issuer_company_name",
-    "theme_id": "theme_id theme_ids candidate_theme_id missed_theme_ids missed_theme_id corrected_theme_ids corrected_theme_id",
-    "path_type": "path_type candidate_lane candidate_path_type missed_path_type corrected_path_type",
-    "response_class": "response_class candidate_response_class blind_response_class outcome_response_class",
+    "ticker": ("ticker", "candidate_ticker", "outcome_ticker", "chosen_leader_ticker", "rejected_candidate_tickers", "peer_universe", "blind_preferred_ticker", "blind_rejected_ticker", "outcome_winner_ticker", "missed_ticker", "corrected_ticker", "issuer_ticker"),
+    "company_name": ("company_name", "entity_name", "name", "name_on_D", "candidate_company_name", "outcome_company_name", "chosen_leader_company_name", "blind_preferred_company_name", "blind_rejected_company_name", "outcome_winner_company_name", "missed_company_name", "corrected_company_name", "company_name_on_D", "issuer_company_name"),
+    "theme_id": ("theme_id", "theme_ids", "candidate_theme_id", "missed_theme_ids", "missed_theme_id", "corrected_theme_ids", "corrected_theme_id"),
+    "path_type": ("path_type", "candidate_lane", "candidate_path_type", "missed_path_type", "corrected_path_type"),
+    "response_class": ("response_class", "candidate_response_class", "blind_response_class", "outcome_response_class"),
 }
 NESTED = {
-    "ticker": ("D_outcome outcome issuer_day_outcome", "ticker code"),
-    "company_name": ("D_outcome outcome issuer_day_outcome", "company_name company_name_on_D name"),
-    "response_class": ("D_outcome outcome issuer_day_outcome", "response_class"),
+    "ticker": (("D_outcome", "outcome", "issuer_day_outcome"), ("ticker", "code")),
+    "company_name": (("D_outcome", "outcome", "issuer_day_outcome"), ("company_name", "company_name_on_D", "name")),
+    "response_class": (("D_outcome", "outcome", "issuer_day_outcome"), ("response_class",)),
 }
 PATHS = {
-    field: [f"$.{n}" for n in names.split()] + [f"$.{o}.{i}" for outer, inner in [NESTED.get(field, ("", ""))] for o in outer.split() for i in inner.split()]
+    field: [f"$.{n}" for n in names] + [f"$.{o}.{i}" for outer, inner in [NESTED.get(field, ((), ()))] for o in outer for i in inner]
     for field, names in ALIASES.items()
 }
 

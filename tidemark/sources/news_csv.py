@@ -20,10 +20,6 @@ COLLECTED = ("collected_at", "collected_datetime", "retrieved_at", "crawl_at", "
 COLLECTED_DATE, COLLECTED_TIME = ("collected_date", "retrieved_date", "crawl_date"), ("collected_time", "retrieved_time", "crawl_time")
 
 
-def _content(spark: SparkSession, path: str) -> bytes:
-    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-
-
 def detect_encoding(content: bytes) -> str:
     for name in ENCODINGS:
         try:
@@ -40,7 +36,8 @@ def read_news(spark: SparkSession, path: str) -> DataFrame:
     A file is a day's news, parsed by one task since quoted cells may hold line breaks. Missing columns and blank required cells
     are errors that name them. A missing body is ''.
     """
-    encoding = detect_encoding(_content(spark, path))
+    named = F.pandas_udf(lambda contents: contents.map(detect_encoding), "string")
+    encoding = spark.read.format("binaryFile").load(path).select(named("content")).first()[0]
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path, encoding="UTF-8" if encoding.startswith("utf-8") else {"cp949": "MS949"}.get(encoding, encoding))
     for name in raw.columns:
         raw = raw.withColumnRenamed(name, name.lstrip("﻿").strip().lower())

@@ -9,15 +9,15 @@ from tidemark.functions.numbers import parse_number
 
 #: Header names of each field, letters and digits alone; they are tried in alphabetical order.
 FIELDS = {
-    "trade_date": "d date tradedate",
-    "o": "o open openprice",
-    "h": "h high highprice",
-    "l": "l low lowprice",
-    "c": "c close closeprice",
-    "v": "v vol volume",
-    "a": "a amount tradingvalue value",
-    "mc": "marcap marketcap mc",
-    "s": "listedshares s shares stocks",
+    "trade_date": ("d", "date", "tradedate"),
+    "o": ("o", "open", "openprice"),
+    "h": ("h", "high", "highprice"),
+    "l": ("l", "low", "lowprice"),
+    "c": ("c", "close", "closeprice"),
+    "v": ("v", "vol", "volume"),
+    "a": ("a", "amount", "tradingvalue", "value"),
+    "mc": ("marcap", "marketcap", "mc"),
+    "s": ("listedshares", "s", "shares", "stocks"),
 }
 
 
@@ -41,7 +41,7 @@ def read_prices(spark: SparkSession, root: str) -> DataFrame:
     rows = raw.select("ticker", named.alias("head"), cells(F.col("line")).alias("row")).select("ticker", "head", listed("row").alias("row"))
 
     def field(name: str) -> list[Column]:
-        return [F.get("row", F.array_position("head", F.lit(a)).cast("int") - 1) for a in FIELDS[name].split()]
+        return [F.get("row", F.array_position("head", F.lit(a)).cast("int") - 1) for a in FIELDS[name]]
 
     day = F.coalesce(*[F.nullif(c, F.lit("")) for c in field("trade_date")])
     rows = rows.select("ticker", F.substring(day, 1, 10).try_cast("date").alias("trade_date"), *[parse_number(*field(f)).alias(f) for f in FIELDS if f != "trade_date"])
