@@ -78,7 +78,7 @@ def _predicted(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 _M = ", ".join(
     [f"count(*) FILTER (pos <= {k} AND hit) AS hits_at_{k}" for k in ranking.CUTS]
     + [f"count(*) FILTER (pos <= {k} AND hit) / CAST(least({k}, count(*)) AS DOUBLE) AS precision_at_{k}" for k in ranking.CUTS]
-    + [f"round(avg(high_return) FILTER (pos <= {k}), 6) AS avg_high_at_{k}" for k in ranking.CUTS]
+    + [f"round(avg(high_return) FILTER (pos <= {k}), 9) AS avg_high_at_{k}" for k in ranking.CUTS]
     + [f"count(*) FILTER (high_return >= {x}) / CAST(nullif(count(high_return), 0) AS DOUBLE) AS high_ge_{x}_rate" for x in ranking.LEVELS]
 )
 #: Recalls: name, the condition on a candidate's own outcome and that on the universe's.
@@ -100,7 +100,7 @@ SELECT m.*, {_R} FROM m JOIN f USING (prediction_id) LEFT JOIN a USING (predicti
 def ranking_metrics_at_k(t: Tables) -> DataFrame:
     candidates, own, universe = _predicted(t)
     # A mean's last digits depend on the order of its rows.
-    return ranking.metrics_at(candidates, own, universe).withColumns({c: F.round(c, 6) for c in (f"avg_high_at_{k}" for k in ranking.CUTS)})
+    return ranking.metrics_at(candidates, own, universe).withColumns({c: F.round(c, 9) for c in (f"avg_high_at_{k}" for k in ranking.CUTS)})
 
 
 PATHS = {"single_event_recall": ("SINGLE_EVENT",), "theme_recall": ("THEME_BENEFICIARY",), "beneficiary_recall": ("THEME_BENEFICIARY",), "continuation_recall": ("CONTINUATION",)}
