@@ -23,7 +23,7 @@ from tidemark.llm.common import sliced, trimmed
 from tidemark.llm.pretokens import coded
 
 #: Bytes of a word beyond which a heap takes over; text of a batch; words that a worker keeps.
-LONG, BATCH_BYTES, WORDS = 64, 2 << 20, 500_000
+LONG, BATCH_BYTES, WORDS = 64, 2 << 20, 200_000
 NONE = np.int32((1 << 31) - 1)
 
 
