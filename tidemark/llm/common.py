@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Text that a Python worker holds at once, and text whose keys meet in one task.
 SLICE_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
+#: Bytes of a row group of a scratch table: what a writer holds, and the least that a task reads.
+ROW_GROUP = 16 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -64,16 +66,32 @@ def sliced(batches: Iterator[pa.RecordBatch], at: int, most: int = SLICE_BYTES)
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Memory that was freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def trimmed(run: Callable) -> Callable:
     """``run``, a function for mapInArrow, after whose last batch the Python worker gives freed memory back."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # not glibc
-            pass
+        give_back()
+
+    return wrapped
+
+
+def spared(run: Callable) -> Callable:
+    """``run``, a function for applyInArrow, after each group of which the Python worker gives freed memory back."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
 
     return wrapped
 
@@ -105,7 +123,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str, large: bool = False) -> DataFrame:
         """Writes ``df`` as Parquet and returns it as read back. large: its shuffle files go before the next step."""
         path, schema = f"{self.base}/{name}", df.schema
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
         del df
         self.release()
         if large:  # a plan that has just run is found by the second collection only

@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.clusters import BROADCAST, LABEL_BYTES, cluster
-from tidemark.llm.common import Scratch, sliced, text_buckets, trimmed
+from tidemark.llm.common import Scratch, sliced, spared, text_buckets, trimmed
 
 WORDS, PERCENT, ORDERS = 5, 80, 3
 #: Bits of a set's bitmap.
 BITS = 512
-#: Text of a block.
-BLOCK_BYTES = 4 << 20
+#: Text of a block; tokens of a bucket that are counted at once.
+BLOCK_BYTES, COUNTED = 4 << 20, 1 << 18
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -131,19 +131,26 @@ SENT = "block long, bucket int, ids array<long>, a binary, b binary, c binary"
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """One bucket: each block gets the tokens that more than one set has, with the power of two of their frequency."""
+    """One bucket: each block gets the tokens that more than one set has, with the power of two of their frequency. Tokens are counted a range after the other."""
     if table.column("bucket")[0].as_py() < 0:
         return table
     tokens = [unpack(x, np.uint64) for x in table.column("a").to_pylist()]
-    every, back, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-    ends = np.cumsum([0, *map(len, tokens)])
+    low, high = int(min(t[0] for t in tokens)), int(max(t[-1] for t in tokens))
+    parts = -(-sum(map(len, tokens)) // COUNTED)
+    bounds = np.array([low + (high - low) * k // parts for k in range(1, parts)], np.uint64)
+    cuts = [[0, *np.searchsorted(t, bounds).tolist(), len(t)] for t in tokens]
+    power = [np.zeros(len(t), np.uint8) for t in tokens]
+    for k in range(parts):
+        pieces = [t[c[k] : c[k + 1]] for t, c in zip(tokens, cuts, strict=True)]
+        _, back, n = np.unique(np.concatenate(pieces), return_inverse=True, return_counts=True)
+        found = np.minimum(255, np.log2(n)).astype(np.uint8)[back]
+        for p, c, piece in zip(power, cuts, np.split(found, np.cumsum([len(x) for x in pieces])[:-1]), strict=True):
+            p[c[k] : c[k + 1]] = piece
     rows = []
     for i, owner in enumerate(table.column("b").to_pylist()):
-        df = n[back[ends[i] : ends[i + 1]]]
-        keep = df > 1
+        keep = power[i] > 0
         if keep.any():
-            power = np.minimum(255, np.log2(df[keep])).astype(np.uint8)
-            rows.append((table.column("block")[i].as_py(), table.column("bucket")[i].as_py(), None, pack(tokens[i][keep]), pack(unpack(owner, np.int32)[keep]), power.tobytes()))
+            rows.append((table.column("block")[i].as_py(), table.column("bucket")[i].as_py(), None, pack(tokens[i][keep]), pack(unpack(owner, np.int32)[keep]), power[i][keep].tobytes()))
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(KINDS)], names=NAMES)
 
 
@@ -220,7 +227,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "shingles")
     sent = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_send(text_buckets(docs, text_col), words), SENT)
-    got = scratch.save(sent.groupBy("bucket").applyInArrow(_count, SENT), "counted", large=True)
+    got = scratch.save(sent.groupBy("bucket").applyInArrow(spared(_count), SENT), "counted", large=True)
 
     heads = got.where("bucket < 0").select("ids", "a", "b")
     schema = "id long, n int, print binary"
@@ -237,7 +244,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal = scratch.save(equal.withColumn("node", F.monotonically_increasing_id()), "equal")
 
     lists = ", ".join(f"prefix{k} array<long>" for k in range(orders))
-    sets = got.select(*NAMES).groupBy("block").applyInArrow(_gather(percent, orders), f"print binary, n int, tokens array<long>, bits array<long>, {lists}")
+    sets = got.select(*NAMES).groupBy("block").applyInArrow(spared(_gather(percent, orders)), f"print binary, n int, tokens array<long>, bits array<long>, {lists}")
     sets = sets.dropDuplicates(["print"]).join(equal.select("print", F.col("node").alias("id")), "print").drop("print")
     sets = scratch.save(sets, "sets", large=True)
     scratch.drop("counted")
