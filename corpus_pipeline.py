@@ -24,8 +24,9 @@ RANKS = "byte_bpe_50k.tiktoken"
 BROADCAST, ENTRY = 32 << 20, 64
 
 
-#: Rows and bytes that Spark hands to a Python worker at once: what an executor holds outside its heap grows with both.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Rows and bytes that Spark hands to a Python worker at once: what an executor holds outside its heap grows with both. Rows that it reads from Parquet
+#: at once: rows of scratch tables have up to some 100 KB each.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "256"}
 
 
 def _may_broadcast(ids: DataFrame) -> DataFrame:
