@@ -119,6 +119,24 @@ def subset(payload: Column, keys: Sequence[str]) -> Column:
     return F.pandas_udf(run, "string")(payload)
 
 
+def replaced(payload: Column, members: Column) -> Column:
+    """An object in which the members of another one stand for its own, in canonical JSON; as it is where the other is null."""
+
+    def run(payload: pd.Series, members: pd.Series) -> pd.Series:
+        def one(text: str | None, more: str | None) -> str | None:
+            try:
+                held = None if text is None else json.loads(text)
+            except ValueError:
+                held = None
+            if not isinstance(held, dict):
+                return None
+            return json.dumps(held | json.loads(more or "{}"), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+        return pd.Series([one(a, b) for a, b in zip(payload, members, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(payload, members)
+
+
 def seal(payload: Column, own: str) -> Column:
     """The hash of the canonical JSON of an object in which its own hash field is null."""
 
