@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ids import stable_id
 from tidemark.functions.payload import first_string, payload_hash, replaced, spaced_json
+from tidemark.operators.admission import admit  # noqa: F401  it belongs to the import
 
 #: Members that name a record, first to last.
 RECORD_IDS = ("record_id", "brain_delta_id", "issuer_day_case_id", "case_id", "blind_pair_id", "claim_id", "mechanism_id", "counterexample_id", "edge_id", "question_id", "error_id")
@@ -43,7 +44,7 @@ def envelopes(records: DataFrame, kinds: dict[str, Column], payload: str = "payl
 
     kinds: the known record types, each with the condition on the row under which its payload is valid. A record of another type, an invalid one, and an
     eligible preference pair without both sides are not eligible; the reason is appended to its own one and enters the normalised payload. With
-    raw_only no record is eligible and no type is known. A payload that is no JSON object gives null hashes.
+    raw_only no record is eligible and no type is known. A payload that is no JSON object gives null hashes, and no id: nothing tells two of them apart.
     """
     text = F.col(payload)
     record_type = F.coalesce(F.nullif(F.get_json_object(text, "$.record_type"), F.lit("")), F.lit("unknown"))
@@ -70,7 +71,7 @@ def envelopes(records: DataFrame, kinds: dict[str, Column], payload: str = "payl
     raw = F.col("_raw")
     return second.select(
         "*",
-        first_string(raw, RECORD_IDS, stable_id("BRAIN", F.col(episode), F.col("record_type"), F.col("normalized_payload_sha256"))).alias("record_id"),
+        first_string(raw, RECORD_IDS, F.when(F.col("normalized_payload_sha256").isNotNull(), stable_id("BRAIN", F.col(episode), F.col("record_type"), F.col("normalized_payload_sha256")))).alias("record_id"),
         evidence_phase(raw, F.col("record_type")).alias("evidence_phase"),
         F.coalesce(_string(raw, "status"), F.lit("raw_only" if raw_only else "tentative")).alias("status"),
         F.coalesce(_string(raw, "confidence_label"), F.lit("low")).alias("confidence_label"),
@@ -138,33 +139,8 @@ CHECKS = (
 
 
 def verdicts(bundles: DataFrame, findings: DataFrame, bundle: str = "bundle_id", checks: tuple[str, ...] = CHECKS) -> DataFrame:
-    """A row for each bundle: how many findings (bundle, check_id) each check has, and passed if none has any. Other check ids are ignored."""
+    """A row for each bundle: how many findings (bundle, check_id) each check has, ``unknown_checks`` of any other or no check, and passed if none has any."""
     each = [F.count_if(F.col("check_id") == c).alias(c) for c in checks]
-    found = bundles.select(bundle).distinct().join(findings.groupBy(bundle).agg(*each), bundle, "left").na.fill(0, list(checks))
-    return found.withColumn("passed", sum((F.col(c) for c in checks), F.lit(0)) == 0)
-
-
-def admit(bundles: DataFrame, records: DataFrame, stored_bundles: DataFrame, stored_records: DataFrame) -> DataFrame:
-    """A row for each incoming bundle: stored, or quarantined with its reason.
-
-    bundles, stored_bundles: (episode_id, sha), one row an episode; records: (episode_id, position, record_id, sha, eligible); stored_records: (record_id,
-    episode_id, sha), ids unique. An episode stored with another hash is EPISODE_HASH_CONFLICT; else a record id that is stored for another episode or with
-    another hash is RECORD_ID_CONFLICT, of which the first by position is named.
-    """
-    held = stored_bundles.select("episode_id", F.col("sha").alias("held_sha"))
-    old = stored_records.select("record_id", F.col("episode_id").alias("held_episode"), F.col("sha").alias("held_record"))
-    clash = ~F.col("held_episode").eqNullSafe(F.col("episode_id")) | ~F.col("held_record").eqNullSafe(F.col("sha"))
-    met = records.join(old.withColumn("held", F.lit(True)), "record_id", "left")
-    per = met.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_records"), F.count_if("eligible").alias("n_eligible"), F.min(F.when(F.col("held") & clash, F.struct("position", "record_id")))["record_id"].alias("clashing"))
-    rows = bundles.select("episode_id", "sha").join(held, "episode_id", "left").join(per, "episode_id", "left")
-    reason = F.when(F.col("held_sha") != F.col("sha"), "EPISODE_HASH_CONFLICT").when(F.col("clashing").isNotNull(), "RECORD_ID_CONFLICT")
-    rows = rows.withColumn("reason", reason)
-    return rows.select(
-        "episode_id",
-        F.when(F.col("reason").isNull(), "stored").otherwise("quarantined").alias("outcome"),
-        "reason",
-        F.when(F.col("reason") == "RECORD_ID_CONFLICT", F.col("clashing")).alias("record_id"),
-        F.when(F.col("reason").isNotNull(), F.concat_ws("-", F.col("episode_id").cast("string"), F.substring("sha", 1, 12))).alias("quarantine"),
-        F.coalesce("n_records", F.lit(0)).alias("n_records"),
-        F.coalesce("n_eligible", F.lit(0)).alias("n_eligible"),
-    )
+    other = F.count_if(~F.coalesce(F.col("check_id").isin(*checks), F.lit(False))).alias("unknown_checks")
+    found = bundles.select(bundle).distinct().join(findings.groupBy(bundle).agg(*each, other), bundle, "left").na.fill(0, [*checks, "unknown_checks"])
+    return found.withColumn("passed", sum((F.col(c) for c in (*checks, "unknown_checks")), F.lit(0)) == 0)

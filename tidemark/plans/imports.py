@@ -66,11 +66,11 @@ def import_loss(t: Tables) -> DataFrame:
     return imports.import_loss(raw, raw.where("line % 70 <> 9").withColumns(changed))
 
 
-@query("""SELECT o_orderkey AS bundle_id, coalesce(a, 0) AS block_hash, coalesce(b, 0) AS import_loss, coalesce(a + b + c, 0) = 0 AS passed FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_linenumber % 4 = 0) AS a, count(*) FILTER (l_linenumber % 4 = 1) AS b, count(*) FILTER (l_linenumber % 4 = 2) AS c
+@query("""SELECT o_orderkey AS bundle_id, coalesce(a, 0) AS block_hash, coalesce(b, 0) AS import_loss, coalesce(d, 0) AS unknown_checks, coalesce(a + b + c + d, 0) = 0 AS passed FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_linenumber % 4 = 3) AS d, count(*) FILTER (l_linenumber % 4 = 0) AS a, count(*) FILTER (l_linenumber % 4 = 1) AS b, count(*) FILTER (l_linenumber % 4 = 2) AS c
 FROM lineitem WHERE l_quantity < 5 GROUP BY 1) ON l_orderkey = o_orderkey""")
 def bundle_verdicts(t: Tables) -> DataFrame:
     found = t.lineitem.where("l_quantity < 5").select(F.col("l_orderkey").alias("bundle_id"), _choice(F.col("l_linenumber") % 4, "block_hash", "import_loss", "sample_weights", "not_a_check").alias("check_id"))
-    return imports.verdicts(t.orders.select(F.col("o_orderkey").alias("bundle_id")), found).select("bundle_id", "block_hash", "import_loss", "passed")
+    return imports.verdicts(t.orders.select(F.col("o_orderkey").alias("bundle_id")), found).select("bundle_id", "block_hash", "import_loss", "unknown_checks", "passed")
 
 
 @query("""WITH r AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderkey % 5 = 0 AND (o_totalprice > 150000 OR o_orderkey % 35 = 0) AS bad, o_totalprice > 50000 AS e FROM orders),
@@ -84,7 +84,28 @@ def store_conflicts(t: Tables) -> DataFrame:
     held = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("episode_id"), F.when(F.col("c_custkey") % 2 == 0, "other").otherwise(sha).alias("sha"))
     records = t.orders.select(F.col("o_custkey").alias("episode_id"), F.col("o_orderkey").alias("position"), F.col("o_orderkey").alias("record_id"), F.lit("h").alias("sha"), (F.col("o_totalprice") > 50000).alias("eligible"))
     stored = t.orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("record_id"), F.when(F.col("o_orderkey") % 35 == 0, -1).otherwise(F.col("o_custkey")).alias("episode_id"), F.when(F.col("o_totalprice") > 150000, "g").otherwise("h").alias("sha"))
-    return imports.admit(bundles, records, held, stored)
+    return imports.admit(bundles, records, held, stored).drop("bundle_id")
+
+
+@query("""WITH RECURSIVE b AS (SELECT CAST(o_orderkey AS VARCHAR) AS bundle, o_custkey AS c, o_custkey || '/' || o_orderkey % 5 AS episode, o_orderpriority AS sha, o_orderkey AS k FROM orders),
+l AS (SELECT l_orderkey AS k, l_linenumber * 100000000 + l_partkey AS p, l_partkey % 30 AS id, l_returnflag || l_linestatus AS h, l_quantity < 25 AS e, row_number() OVER (PARTITION BY l_orderkey, l_linenumber * 100000000 + l_partkey) AS n FROM lineitem),
+w AS (SELECT bundle, 'E' || episode AS key, sha AS sets, sha AS checks, 0 AS p FROM b UNION ALL
+ SELECT bundle, 'R' || c || '-' || id, episode || '=' || max_by(h, p), CASE WHEN min(h) = max(h) THEN episode || '=' || min(h) END, min(p) FROM b JOIN l USING (k) GROUP BY bundle, c, id, episode),
+t AS (SELECT c, bundle, row_number() OVER (PARTITION BY c ORDER BY k) AS i, list({'k': key, 's': sets, 'c': checks} ORDER BY p) AS claims FROM b JOIN w USING (bundle) GROUP BY c, bundle, k),
+s AS (SELECT c, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS bundle, CAST(NULL AS VARCHAR) AS clash, MAP {CAST('' AS VARCHAR): CAST('' AS VARCHAR)} AS held FROM (SELECT DISTINCT c FROM t) UNION ALL
+ SELECT c, i, bundle, clash, CASE WHEN clash IS NULL THEN map_concat(held, map_from_entries(list_transform(list_filter(claims, lambda x: held[x.k] IS NULL), lambda x: struct_pack(k := x.k, v := x.s)))) ELSE held END FROM (
+ SELECT t.c, t.i, t.bundle, t.claims, s.held, list_filter(t.claims, lambda x: s.held[x.k] IS NOT NULL AND s.held[x.k] IS DISTINCT FROM x.c)[1].k AS clash FROM s JOIN t ON t.c = s.c AND t.i = s.i + 1)),
+n AS (SELECT k, count(*) AS n, count(*) FILTER (e) AS ne FROM l GROUP BY 1)
+SELECT k AS bundle_id, episode AS episode_id, CASE WHEN clash IS NULL THEN 'stored' ELSE 'quarantined' END AS outcome, CASE WHEN clash LIKE 'E%' THEN 'EPISODE_HASH_CONFLICT' WHEN clash IS NOT NULL THEN 'RECORD_ID_CONFLICT' END AS reason,
+CASE WHEN clash LIKE 'R%' THEN substr(clash, 2) END AS record_id, CASE WHEN clash IS NOT NULL THEN episode || '-' || substr(sha, 1, 12) END AS quarantine, coalesce(n, 0) AS n_records, coalesce(ne, 0) AS n_eligible FROM s JOIN b USING (bundle) LEFT JOIN n USING (k)""")
+def store_batch(t: Tables) -> DataFrame:
+    """Orders as bundles of one batch: a customer's orders share episodes and record ids."""
+    own = F.concat_ws("/", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 5).cast("string"))
+    bundles = t.orders.select(F.col("o_orderkey").alias("bundle_id"), F.col("o_orderkey").alias("arrival"), own.alias("episode_id"), F.col("o_orderpriority").alias("sha"))
+    owner = t.orders.select(F.col("o_orderkey").alias("bundle_id"), "o_custkey")
+    lines = t.lineitem.select(F.col("l_orderkey").alias("bundle_id"), (F.col("l_linenumber") * 100000000 + F.col("l_partkey")).alias("position"), "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("sha"), (F.col("l_quantity") < 25).alias("eligible"))
+    records = lines.join(owner, "bundle_id").withColumn("record_id", F.concat_ws("-", F.col("o_custkey").cast("string"), (F.col("l_partkey") % 30).cast("string")))
+    return imports.admit(bundles, records, bundles.select("episode_id", "sha").limit(0), records.select("record_id", F.lit("").alias("episode_id"), "sha").limit(0))
 
 
 @query("""WITH r AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'positive_analogs' WHEN 1 THEN 'near_misses' WHEN 2 THEN 'counterexamples' WHEN 3 THEN 'candidate_generation_errors' WHEN 4 THEN 'leader_selection_pairs' END AS category,
