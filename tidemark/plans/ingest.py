@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import direct_ingest as ingest
+from tidemark.operators.incremental import Grouped, Mapped, update
+from tidemark.session import shared_folder
+from tidemark.sources.snapshots import Snapshots
 from tidemark.plans.registry import Tables, query
 from tidemark.plans.rules import _choice
 
@@ -73,3 +78,25 @@ def direct_ingest_turns(t: Tables) -> DataFrame:
     string = lambda name: F.try_variant_get(held[name], "$", "string")
     head = F.concat(F.lit('{"blind_fact_ids":'), F.to_json(held["blind_fact_ids"]), F.lit(',"candidate_lane":"'), string("candidate_lane"), F.lit('","company_name":"'), string("company_name"), F.lit('","D":"'), string("D"), F.lit('","fact_ids":'), F.to_json(held["fact_ids"]))
     return rows.select("conv_id", "turn", F.sha2(head.cast("binary"), 256).alias("head"), F.octet_length(string("text")).cast("long").alias("size"), string("path_type").alias("path_type"), F.try_variant_get(held["provenance_source_ids"], "$[0]", "string").alias("source"), string("training_target").alias("training_target"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 10 <> 5),
+c AS (SELECT l_partkey AS p, l_orderkey AS o, l_quantity + CASE WHEN l_orderkey % 10 = 4 THEN 1 ELSE 0 END AS q FROM lineitem JOIN s ON k = l_orderkey),
+b AS (SELECT p, min(o) AS first_order, count(DISTINCT o) AS support, sum(q) AS quantity FROM c GROUP BY 1)
+SELECT p_brand AS brand, count(*) AS n_parts, min(first_order) AS first_order, CAST(sum(support) AS BIGINT) AS support, round(sum(quantity), 2) AS quantity, 2 AS commits FROM b JOIN part ON p_partkey = p GROUP BY 1""")
+def incremental_compile(t: Tables) -> DataFrame:
+    """Orders as episodes, in two updates: some are new, some gone and some changed in the second. The tables come out as if made from the last listing."""
+    o, more = F.col("o_orderkey"), F.when(F.col("key") % 10 == 4, F.col("bonus")).otherwise(0)
+    lines = t.lineitem.select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("q"))
+    brands = t.part.select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"))
+    steps = [
+        Mapped("claims", "sources", "key", "part", lambda d: d.join(lines, "key").select("key", "part", (F.col("q") + more).alias("quantity"))),
+        Grouped("parts", "claims", "part", lambda d: d.groupBy("part").agg(F.min("key").alias("first_order"), F.count_distinct("key").alias("support"), F.sum("quantity").alias("quantity"))),
+        Mapped("by_brand", "parts", "part", "brand", lambda d: d.join(brands, "part").select("part", "brand", "first_order", "support", "quantity")),
+        Grouped("brands", "by_brand", "brand", lambda d: d.groupBy("brand").agg(F.count(F.lit(1)).alias("n_parts"), F.min("first_order").alias("first_order"), F.sum("support").alias("support"), F.round(F.sum("quantity"), 2).alias("quantity"))),
+    ]
+    store = Snapshots(t.spark, f"{shared_folder(t.spark)}/tidemark-compile-{uuid.uuid4().hex[:12]}")
+    listing = lambda keep, bonus: t.orders.where(keep).select(o.alias("key"), F.md5(F.concat_ws("|", o.cast("string"), F.when(o % 10 == 4, bonus).otherwise(0).cast("string"))).alias("sha"), F.lit(bonus).alias("bonus"))
+    update(store, listing(o % 10 != 3, 0), steps, parts=8)
+    update(store, listing(o % 10 != 5, 1), steps, parts=8)
+    return store.read("brands").withColumn("commits", F.lit(store.head()[0]))
