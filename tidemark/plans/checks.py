@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import rulebook, scopes
+from tidemark.operators import json_tree, receipts, rulebook, scopes
 from tidemark.operators.rulebook import Counted, Refers, Row, Total, Unique
 from tidemark.plans.registry import Tables, query
+from tidemark.session import shared_folder
 
 LISTS = {"available_ids": "available", "unavailable_ids": "unavailable", "training_ids": "eligible"}
 
@@ -87,3 +90,50 @@ def audit_rulebook(t: Tables) -> DataFrame:
     for name in ("orders", "lineitem", "clients", "sales", "events", "clicks"):
         getattr(t, name).createOrReplaceTempView(name)
     return rulebook.findings(rulebook.RULES, {name: (t.spark.sql(sql), subject) for name, (subject, sql) in SUBJECTS.items()})
+
+
+@query("""WITH RECURSIVE n AS (SELECT l_orderkey AS o, count(*) AS n FROM lineitem GROUP BY 1),
+c AS (SELECT o, n, 1 AS k, sha256('{"before":null,"body":{"k":1,"o":' || o || '},"inputs":{}}') AS h FROM n UNION ALL SELECT o, n, k + 1, sha256('{"before":"' || h || '","body":{"k":' || (k + 1) || ',"o":' || o || '},"inputs":{}}') FROM c WHERE k < n),
+p AS (SELECT *, (o + k) % 29 = 0 AS gone, (o + k) % 31 = 0 AS bad FROM c), s AS (SELECT *, coalesce(max(k) FILTER (gone) OVER (PARTITION BY o ORDER BY k), 0) AS since FROM p),
+q AS (SELECT *, CASE WHEN bad THEN 'changed' WHEN k > 1 AND k = since + 1 THEN 'gap' END AS problem FROM s WHERE NOT gone),
+f AS (SELECT *, min(k) FILTER (problem IS NOT NULL) OVER (PARTITION BY o, since ORDER BY k) AS fk FROM q)
+SELECT f.o AS run_id, f.h AS receipt_sha256, f.k - f.since AS depth, f.problem, g.h AS first_broken, g.problem AS first_problem, f.fk IS NULL AS valid FROM f LEFT JOIN q g ON g.o = f.o AND g.k = f.fk""")
+def receipt_chains(t: Tables) -> DataFrame:
+    """A chain for each order, a receipt a line; some receipts are lost, some were changed after they were sealed."""
+    text = lambda k, before: F.concat(F.lit('{"before":'), F.coalesce(F.concat(F.lit('"'), before, F.lit('"')), F.lit("null")), F.lit(',"body":{"k":'), k.cast("string"), F.lit(',"o":'), F.col("o").cast("string"), F.lit('},"inputs":{}}'))
+    hashed = lambda c: F.sha2(c.cast("binary"), 256)
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    start = F.struct(F.lit(None).cast("string").alias("h"), F.array().cast("array<string>").alias("texts"))
+    chain = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), start, lambda a, k: F.struct(hashed(text(k, a["h"])).alias("h"), F.array_append(a["texts"], text(k, a["h"])).alias("texts")))["texts"]
+    rows = lines.select("o", F.posexplode(chain).alias("at", "receipt")).withColumn("mix", F.col("o") + F.col("at") + 1).where("mix % 29 <> 0")
+    rows = rows.select(F.col("o").alias("run_id"), F.when(F.col("mix") % 31 == 0, F.concat("receipt", F.lit(" "))).otherwise(F.col("receipt")).alias("receipt"), hashed(F.col("receipt")).alias("receipt_sha256"))
+    return receipts.chain_report(rows)
+
+
+@query("""SELECT click_id, fullkey AS path, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind, CASE WHEN type NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(json, fullkey) END AS text
+FROM (SELECT c.click_id, c.props AS json, t.fullkey, t.type FROM clicks c, json_tree(c.props) t WHERE json_valid(c.props))""")
+def json_rows(t: Tables) -> DataFrame:
+    return json_tree.tree(t.clicks, "click_id", "props").select("click_id", "path", "kind", "text")
+
+
+@query("""SELECT event_id, 'event' AS kind, 'EVT-' || event_id AS id FROM events UNION ALL SELECT event_id, 'fact', 'FACT-' || user_id FROM events UNION ALL SELECT event_id, 'inference', 'INF-' || user_id FROM events UNION ALL SELECT event_id, 'event', 'EVT-k' || json_extract_string(props, '$.k') FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+def payload_reference_rows(t: Tables) -> DataFrame:
+    """References anywhere in nested payloads, as rows of the tree."""
+    user, k = F.col("user_id").cast("string"), F.get_json_object("props", "$.k")
+    text = F.format_string('{"event_id": "EVT-%s", "x": [{"support_fact_ids": ["FACT-%s", ""], "fact_id": 3, "deep": [[{"y": {"event_ids": [%s, [], null]}}]]}], "a_fact_or_inference_id": ["INF-%s", "zzz"], "preevent_id": "no", "props": %s}', F.col("event_id").cast("string"), user, F.coalesce(F.concat(F.lit('"EVT-k'), k, F.lit('"')), F.lit("null")), user, F.coalesce("props", F.lit("null")))
+    return json_tree.references(json_tree.tree(t.events.select("event_id", text.alias("payload")), "event_id", "payload"), "event_id")
+
+
+@query("""WITH q AS (SELECT c_custkey AS query_id, 'U' || c_custkey % 60 AS ticker, CASE c_nationkey % 3 WHEN 0 THEN 'view' WHEN 1 THEN 'click' END AS path FROM customer)
+SELECT query_id, event_id FROM q JOIN events ON (ticker = 'U' || user_id OR ticker = 'U' || json_extract_string(props, '$.k')) AND (path IS NULL OR path = event_type)""")
+def index_filters(t: Tables) -> DataFrame:
+    """Customers ask an inverted index of events for a ticker, two of three for a path as well."""
+    user, k = F.col("user_id").cast("string"), F.get_json_object("props", "$.k")
+    text = F.format_string('{"ticker": " U%s ", "issuer_day_outcome": {"code": [["U%s"], null]}, "missed_path_type": "%s", "other": "U1"}', user, k, F.col("event_type"))
+    rows = t.events.select("event_id", text.alias("payload"))
+    index = json_tree.InvertedIndex(t.spark, f"{shared_folder(t.spark)}/tidemark-index-{uuid.uuid4().hex[:12]}", "event_id", 8)
+    index.write(json_tree.postings(json_tree.tree(rows, "event_id", "payload"), "event_id"))
+    path = F.when(F.col("c_nationkey") % 3 == 0, "view").when(F.col("c_nationkey") % 3 == 1, "click")
+    asks = F.array_compact(F.array(F.struct(F.lit("ticker").alias("field"), F.concat(F.lit("U"), (F.col("c_custkey") % 60).cast("string")).alias("value")), F.when(path.isNotNull(), F.struct(F.lit("path_type").alias("field"), path.alias("value")))))
+    queries = t.customer.select(F.col("c_custkey").alias("query_id"), F.explode(asks).alias("a")).select("query_id", "a.field", "a.value")
+    return index.answers(queries, rows)
