@@ -62,3 +62,23 @@ def test_payload(spark):
     assert one(spark, payload.has_key(doc, "n"), payload.has_key(doc, "z")) == (True, False)
     assert one(spark, payload.outer_wins(doc, "b"), payload.outer_wins(doc, "c"), payload.outer_wins(doc, "n")) == ("1.0", "2", None)
     assert one(spark, payload.canonical_json(F.lit("no json"))) is None
+
+
+def test_mail_times(spark):
+    from email.utils import format_datetime, parsedate_to_datetime
+
+    texts = ["Tue, 02 Jan 2024 10:00:00 GMT", "2 Jan 2024 9:05 +0900", "Tue, 2 Jan 24 09:05:07 EST", "02-Jan-2024 10:00:00 UT", "Tue, 02 Jan 2024 10:00:00 -0530 (note)", "tue, 02 jan 2024 10:00:00 utc", "Mon, 01 Jul 1996 00:00:00 PDT", format_datetime(dt.datetime(2024, 2, 29, 1, 2, 3, tzinfo=dt.UTC))]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.unix_timestamp(clock.web_time(F.col("t")))).collect()]
+    assert got == [int(parsedate_to_datetime(t).timestamp()) for t in texts]
+    local = ["Tue, 02 Jan 2024 10:00:00", "2 Jan 2024 10:00 -0000", "2 Jan 2024 10:00 XYZ", "2024-01-02 10:00:00"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in local], "t string").select(clock.web_time(F.col("t"), "Asia/Seoul").cast("string")).collect()]
+    assert got == ["2024-01-02 01:00:00"] * 4
+    none = ["2 hours ago", "Tue, 45 Jan 2024 10:00:00 GMT", "2 Foo 2024 10:00:00 GMT", "2 anf 2024 10:00:00 GMT", "", None]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in none], "t string").select(clock.web_time(F.col("t"))).collect()] == [None] * 6
+
+
+def test_segments_of_a_repeated_key(spark):
+    from tidemark.functions.segments import segments
+
+    rows = spark.createDataFrame([(1, "Aa. Bb."), (1, "Cc."), (2, None)], "k int, t string")
+    assert sorted((r["segment"], r["char_start"], r["char_end"], r["excerpt"]) for r in segments(rows, "k", "t").collect()) == [(1, 0, 3, "Aa."), (1, 0, 3, "Cc."), (2, 4, 7, "Bb.")]

@@ -13,14 +13,14 @@ SPACE = r"(?U)\s"
 def segments(rows: DataFrame, key: str, text: str, most: int = 240) -> DataFrame:
     """(key, segment, char_start, char_end, text_sha256, excerpt): sentences and lines without white space around them, numbered from 1.
 
-    Positions count characters from 0, the end excluded. Null and blank texts have none.
+    Positions count characters from 0, the end excluded. Null and blank texts have none. Rows that repeat a key are texts of their own, each numbered from 1.
     """
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s)[^{ENDS}\r\n]*[{ENDS}\r\n]|[^{ENDS}\r\n]+$"), F.lit(0))
-    each = rows.select(key, F.posexplode(pieces).alias("_n", "_raw"))
-    before = F.coalesce(F.sum(F.char_length("_raw")).over(Window.partitionBy(key).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = rows.select(key, F.monotonically_increasing_id().alias("_row"), F.col(text)).select(key, "_row", F.posexplode(pieces).alias("_n", "_raw"))
+    before = F.coalesce(F.sum(F.char_length("_raw")).over(Window.partitionBy("_row").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     each = each.withColumn("_at", before).withColumn("_left", F.regexp_replace("_raw", f"^{SPACE}+", "")).withColumn("_body", F.regexp_replace("_left", f"{SPACE}+$", "")).where("_body <> ''")
     start = (F.col("_at") + F.char_length("_raw") - F.char_length("_left")).cast("long")
-    number = F.row_number().over(Window.partitionBy(key).orderBy("_n"))
+    number = F.row_number().over(Window.partitionBy("_row").orderBy("_n"))
     return each.select(key, number.alias("segment"), start.alias("char_start"), (start + F.char_length("_body")).alias("char_end"), F.sha2(F.col("_body").cast("binary"), 256).alias("text_sha256"), F.substring("_body", 1, most).alias("excerpt"))
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.clock import web_time
 from tidemark.operators import json_tree, receipts, rulebook, scopes
 from tidemark.operators.rulebook import Counted, Refers, Row, Total, Unique
 from tidemark.plans.registry import Tables, query
@@ -137,3 +138,12 @@ def index_filters(t: Tables) -> DataFrame:
     asks = F.array_compact(F.array(F.struct(F.lit("ticker").alias("field"), F.concat(F.lit("U"), (F.col("c_custkey") % 60).cast("string")).alias("value")), F.when(path.isNotNull(), F.struct(F.lit("path_type").alias("field"), path.alias("value")))))
     queries = t.customer.select(F.col("c_custkey").alias("query_id"), F.explode(asks).alias("a")).select("query_id", "a.field", "a.value")
     return index.answers(queries, rows)
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 3 THEN date_trunc('second', ts) - INTERVAL 9 HOUR WHEN 4 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 14 HOUR + INTERVAL 3599 SECOND WHEN 5 THEN NULL ELSE date_trunc('second', ts) END AS published_at FROM events""")
+def web_times(t: Tables) -> DataFrame:
+    """Times of events as web results give them: GMT, an offset, ISO, without a zone, a date alone, an age."""
+    ts, seoul = F.col("ts").cast("timestamp"), F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Seoul")
+    texts = [F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.concat(F.date_format(seoul, "d MMM yyyy H:mm:ss"), F.lit(" +0900")), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.date_format(ts, "yyyy/MM/dd"), F.lit("3 hours ago")]
+    said = F.get(F.array(*texts), (F.col("event_id") % 6).cast("int"))
+    return t.events.select("event_id", web_time(said, "Asia/Seoul").cast("timestamp_ntz").alias("published_at"))
