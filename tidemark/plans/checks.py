@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import web_time
-from tidemark.operators import json_tree, receipts, rulebook, scopes
+from tidemark.operators import diffs, json_tree, receipts, rulebook, scopes
 from tidemark.operators.rulebook import Counted, Refers, Row, Total, Unique
 from tidemark.plans.registry import Tables, query
 from tidemark.session import shared_folder
@@ -147,3 +147,17 @@ def web_times(t: Tables) -> DataFrame:
     texts = [F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.concat(F.date_format(seoul, "d MMM yyyy H:mm:ss"), F.lit(" +0900")), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.date_format(ts, "yyyy/MM/dd"), F.lit("3 hours ago")]
     said = F.get(F.array(*texts), (F.col("event_id") % 6).cast("int"))
     return t.events.select("event_id", web_time(said, "Asia/Seoul").cast("timestamp_ntz").alias("published_at"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, string_split_regex(regexp_replace(text, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n') AS a FROM documents WHERE text <> ''), b AS (SELECT doc_id, a, list_concat(list_filter(a, lambda x: length(x) % 5 <> 0), ['the end']) AS b FROM d)
+SELECT doc_id, sha256(array_to_string(b, chr(10))) AS applied_sha256, len(b) - len(a) AS balance, 'changed' AS status FROM b""")
+def line_diff(t: Tables) -> DataFrame:
+    """Documents against themselves without some lines and with one more: their changes, applied to the first text, give the second."""
+    kept = F.filter(diffs.lines_of(F.col("text")), lambda x: F.char_length(x) % 5 != 0)
+    pairs = t.documents.where("text <> ''").select("doc_id", "text", F.array_join(F.concat(kept, F.array(F.lit("the end"))), "\n").alias("later"))
+    found = diffs.line_diffs(pairs, "text", "later")
+    a, b = diffs.lines_of(F.col("text")), diffs.lines_of(F.col("later"))
+    cut = lambda lines, lo, hi: F.slice(lines, lo + 1, F.greatest(hi - lo, F.lit(0)))
+    walked = F.aggregate("changes", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), lambda acc, c: F.struct(c["a_to"].alias("at"), F.concat(acc["out"], cut(a, acc["at"], c["a_from"]), cut(b, c["b_from"], c["b_to"])).alias("out")))
+    applied = F.array_join(F.concat(walked["out"], cut(a, walked["at"], F.size(a))), "\n")
+    return found.select("doc_id", F.sha2(applied.cast("binary"), 256).alias("applied_sha256"), (F.col("added") - F.col("removed")).cast("long").alias("balance"), "status")
