@@ -152,3 +152,16 @@ def test_empty_inputs(spark):
     assert outcomes.outcome_labels(bars(spark, [])).count() == 0
     assert packing.shards(spark.range(0), 5, F.col("id"), "id").count() == 0
     assert reconcile.identity_delta(spark.range(0), spark.range(0), "id").count() == 0
+
+
+def test_future_leaks(spark):
+    from tidemark.operators.asof import future_leaks
+
+    texts = spark.createDataFrame([(1, "REC-1 and REC-12"), (2, "nothing"), (3, None), (4, "漢REC-2漢REC-2")], "doc int, text string")
+    ids = spark.createDataFrame([("REC-1", 1), ("REC-12", 2), ("REC-2", 3), ("REC-2", 4), (None, 5)], "id string, k int")
+    want = {(1, 1), (1, 2), (4, 3), (4, 4)}
+    for most in (0, 1 << 20):
+        assert {(r["doc"], r["k"]) for r in future_leaks(texts, ids, "text", "id", most).collect()} == want
+    blank = spark.createDataFrame([("", 1)], "id string, k int")
+    assert {r["doc"] for r in future_leaks(texts, blank, "text", "id").collect()} == {1, 2, 4} == {r["doc"] for r in future_leaks(texts, blank, "text", "id", 0).collect()}
+    assert future_leaks(texts, ids.limit(0), "text", "id").collect() == []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,12 +19,29 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def solid(text: Column) -> Column:
+    """The lower-cased letters and numbers of a text, without what stands between them."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]", "")
+
+
+def bigram_codes(text: str) -> np.ndarray:
+    """The distinct pairs of neighbouring characters, in order of their first place, as one number each."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    pairs, first = np.unique(code[:-1] << 21 | code[1:], return_index=True)
+    return pairs[np.argsort(first)]
+
+
+def pair_of(code: int) -> str:
+    return chr(code >> 21) + chr(code & 0x1FFFFF)
+
+
 def text_bigrams(text: Column) -> Column:
     """Distinct pairs of neighbours among the lower-cased letters and numbers."""
-    c = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]", "")
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    pairs = bound(chars, lambda x: F.zip_with(x, F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))), lambda a, b: F.concat(a, b)))
-    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [pair_of(c) for c in bigram_codes(t).tolist()])
+
+    return F.pandas_udf(run, "array<string>")(solid(text))
 
 
 def collapse(text: Column) -> Column:

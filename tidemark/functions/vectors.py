@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import bound, text_bigrams, text_terms
+from tidemark.functions.text import bigram_codes, pair_of, solid, text_terms
 
 DIMENSIONS = 32
 
@@ -16,15 +20,39 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), total).otherwise(F.lit(0.0))
 
 
-def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Signed feature hashing of terms and of bigrams, of length 1 (or 0 without features). A term that is a bigram counts as both."""
-    hashes = F.transform(F.concat(text_terms(text), text_bigrams(text)), lambda f: F.sha2(f.cast("binary"), 256))
-    number = lambda h, at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")
-    pairs = F.transform(hashes, lambda h: F.struct((number(h, 1, 8) % dimensions).alias("at"), F.when(number(h, 9, 2) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
-    totals = bound(pairs, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(all_, lambda p: p["at"] == i), F.lit(0.0), lambda s, p: s + p["sign"])))
+#: Features whose hashes a worker keeps.
+KEPT = 1 << 20
+
 
-    def unit(sums: Column) -> Column:
-        norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
-        return F.when(norm > 0, bound(norm, lambda n: F.transform(sums, lambda x: x / n))).otherwise(sums)
+def _hashed(feature: str, dimensions: int) -> tuple[int, float]:
+    """Where a feature counts, and with which sign."""
+    digest = hashlib.sha256(feature.encode("utf-8", "surrogatepass")).digest()
+    return int.from_bytes(digest[:4], "big") % dimensions, 1.0 if digest[4] % 2 == 0 else -1.0
 
-    return bound(totals, unit)
+
+def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """Signed feature hashing of terms and of bigrams, of length 1 (or 0 without features). A term that is a bigram counts as both.
+
+    Words are found by Spark; pairs and hashes in Arrow batches, a feature's hash once while a worker keeps it.
+    """
+
+    held: dict[int | str, tuple[int, float]] = {}
+
+    def counted(lists: list[np.ndarray], name) -> np.ndarray:
+        """The signed counts of a batch's features, a row a text; each different one is looked up once."""
+        if len(held) > KEPT:
+            held.clear()
+        every, back = (lambda u: (u[1], u[0]))(pd.factorize(np.concatenate([np.zeros(0, lists[0].dtype), *lists])))
+        spots = [held.get(f) or held.setdefault(f, _hashed(name(f), dimensions)) for f in every.tolist()]
+        at, sign = (np.array(x) for x in zip(*spots, strict=True)) if spots else (np.zeros(0, np.int64), np.zeros(0))
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        return np.bincount(row * dimensions + at.astype(np.int64)[back], sign[back], len(lists) * dimensions).astype(float).reshape(-1, dimensions)
+
+    def run(texts: pd.Series, terms: pd.Series) -> pd.Series:
+        if not len(texts):
+            return pd.Series([], dtype=object)
+        sums = counted([bigram_codes(t) for t in texts], pair_of) + counted([np.asarray(w, object) for w in terms], str)
+        norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        return pd.Series(list(np.divide(sums, norm, out=sums, where=norm > 0)), dtype=object)
+
+    return F.pandas_udf(run, "array<double>")(solid(text), text_terms(text))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.clock import is_available
 
@@ -31,10 +35,46 @@ def latest_as_of(asks: DataFrame, facts: DataFrame, key: str, asked: str, at: st
     return merged.where("_f is null and _tie is null").select(key, F.col("_t").alias(asked), "_last.fact_at", *[F.col(f"_last.{c}").alias(c) for c in columns])
 
 
-def future_leaks(texts: DataFrame, ids: DataFrame, text: str, needle: str) -> DataFrame:
-    """Texts that contain an id that is not yet available. ids: a short list by contract (a day's unavailable ids); Spark
-    broadcasts it while it is small and loops over blocks of it otherwise."""
-    return texts.join(ids, F.col(text).contains(F.col(needle)))
+#: Bytes of ids that every task searches for at once.
+HELD_BYTES = 32 << 20
+
+
+def future_leaks(texts: DataFrame, ids: DataFrame, text: str, needle: str, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """Texts that contain an id that is not yet available, a row for each text and row of ``ids`` that it contains.
+
+    Up to ``held_bytes`` of different ids, as counted, are one automaton, with which a task reads each text once; more are met by a nested loop. A null id or text matches nothing, an
+    empty id every text. The columns of both tables have different names.
+    """
+    wanted = ids.select(F.col(needle).cast("string").alias("n")).where("n is not null").distinct()
+    size = wanted.agg(F.sum(F.octet_length("n") + 64).alias("b")).first()["b"] or 0
+    if size > held_bytes:
+        return texts.join(ids, F.col(text).contains(F.col(needle)))
+    listed, at = sorted(r["n"] for r in wanted.collect()), texts.columns.index(text)
+    everywhere = [k for k, n in enumerate(listed) if n == ""]
+    place = "_place"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        search = ahocorasick.Automaton()
+        for k, n in enumerate(listed):
+            if n:
+                search.add_word(n, k)
+        search.make_automaton()
+        for batch in batches:
+            rows, places = [], []
+            for row, body in enumerate(batch.column(at).to_pylist()):
+                if body is not None:
+                    hits = sorted({k for _, k in search.iter(body)} if len(search) else ()) + everywhere
+                    rows += [row] * len(hits)
+                    places += hits
+            found = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(places, pa.int32())], names=[*batch.schema.names, place])
+
+    schema = T.StructType([*texts.schema.fields, T.StructField(place, T.IntegerType())])
+    named = texts.sparkSession.createDataFrame(list(enumerate(listed)), f"{place} int, _needle string")
+    hits = texts.mapInArrow(run, schema).join(F.broadcast(named), place)
+    return hits.join(ids, F.col("_needle") == F.col(needle).cast("string")).drop(place, "_needle")
 
 
 def scope_reason(available_from: Column, known_at: Column, cut: Column) -> Column:
