@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,8 @@ EPOCHS, RATE, BATCH, SEED = 6, 0.5, 16, 7
 #: Texts are read in pieces of so many bytes, cut at white space; a run of more without any is read as words of this size.
 STEP = 1 << 20
 FACTOR = 0x9E3779B97F4A7C15
+#: How buckets and their counts come to the driver.
+PACKED = (np.uint16, np.uint32)
 #: Buckets 0 and 1: the end mark, a repeated word.
 END, REPEAT, FIRST = 0, 1, 2
 
@@ -190,15 +193,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2):
             found = [counted(t) for t in _as_bytes(batch.column(2))]
-            lists = [pa.array([x[k] for x in found], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["id", "label", "bucket", "n"])
+            packed = [pa.array([x[k].astype(kind).tobytes() for x in found], pa.binary()) for k, kind in enumerate(PACKED)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], names=["id", "label", "bucket", "n"])
 
-    schema = T.StructType([*texts.schema.fields[:2], T.StructField("bucket", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.LongType()))])
-    table = texts.mapInArrow(trimmed(run), schema).toArrow().sort_by("id")
+    schema = T.StructType([*texts.schema.fields[:2], *[T.StructField(c, T.BinaryType()) for c in ("bucket", "n")]])
+    table = texts.mapInArrow(trimmed(run), schema).toArrow()
     if not len(table):
         return None
-    lists = [[x.values.to_numpy() for x in table.column(c)] for c in ("bucket", "n")]
-    return trained(list(zip(*lists, strict=True)), table.column("label").to_pylist())
+    order = pc.sort_indices(table.column("id")).to_pylist()
+    packed = [table.column(c) for c in ("bucket", "n")]
+    rows = [tuple(np.frombuffer(column[i].as_buffer(), kind) for column, kind in zip(packed, PACKED, strict=True)) for i in order]
+    labels_of = table.column("label").to_pylist()
+    return trained(rows, [labels_of[i] for i in order])
 
 
 def classify(docs: DataFrame, model: Classifier | None, label, text_col: str = "text", name: str = "score") -> DataFrame:
