@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import math
 import tempfile
 import time
 import uuid
@@ -46,12 +45,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def text_buckets(docs: DataFrame, text_col: str) -> int:
-    """So many buckets that the keys of about BUCKET_BYTES of text meet in each, as counted; no less than Spark's shuffle partitions."""
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
-
-
 def sliced(batches: Iterator[pa.RecordBatch], at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in order, in slices of which column ``at`` has ``most`` bytes (of a list: values), or one row."""
     for batch in batches:

@@ -5,7 +5,7 @@ characters, or the whole line if it is shorter. Signatures are one-permutation M
 filled from others by a fixed permutation; lines that agree in all ROWS bins of a band are candidates, verified by exact Jaccard.
 With 20 bands of 6 rows two lines of similarity 0.8 are candidates with probability 0.998.
 
-Texts are read once. Each block of documents sends the band keys and the names of its distinct lines, sorted and packed, to buckets,
+Each block of documents sends the band keys and the names of its distinct lines, sorted and packed, to buckets,
 with the lines themselves, compressed, kept by the block. A bucket answers what different lines share: equal lines get the
 address of the first of them, which is their node; lines with equal band keys get the first node that has that key, their centre. Every
 node is compared with its few centres; only keys whose lines that leaves in several components make an index for ``cluster``, which compares the rest exactly.
@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.clusters import cluster, labelled
-from tidemark.llm.common import Scratch, fresh, sliced, text_buckets, trimmed
+from tidemark.llm.common import Scratch, fresh, sliced, trimmed
 from tidemark.llm.components import connected_components
-from tidemark.llm.shingle_join import BITS, BLOCK_BYTES, KINDS, NAMES, SENT, differing, mix, pack, unpack
+from tidemark.llm.exchange import BLOCK_BYTES, KINDS, NAMES, SENT, Form, exchanged, pack, place_of, planned, unpack
+from tidemark.llm.shingle_join import BITS, differing, mix
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 20, 6
 #: A set of no more shingles is named by itself.
@@ -154,7 +155,7 @@ def _send(buckets: int):
     block has their first lines) and what they are; for each bucket the band keys of its lines (even numbers) or their names (odd numbers)."""
 
     def cut(token: np.ndarray) -> np.ndarray:
-        return np.searchsorted((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist()
+        return np.searchsorted(place_of(token, buckets), np.arange(buckets + 1, dtype=np.uint64)).tolist()
 
     def block(key: int, ids: list, place: dict[bytes, int], at: list[tuple[int, int, int]]) -> Iterator[tuple]:
         names = [named(x) for x in place]
@@ -215,9 +216,9 @@ def _send(buckets: int):
     return trimmed(run)
 
 
-def _address(key: int, owner: np.ndarray) -> np.ndarray:
+def _address(key: int | np.ndarray, owner: np.ndarray) -> np.ndarray:
     """A number of its own for each line of each block; those of a block's first lines are least."""
-    return np.int64(key << PLACE_BITS) | owner.astype(np.int64)
+    return np.asarray(key, np.int64) << np.int64(PLACE_BITS) | owner.astype(np.int64)
 
 
 def _bucket(table: pa.Table) -> pa.Table:
@@ -229,7 +230,8 @@ def _bucket(table: pa.Table) -> pa.Table:
     blocks, names = table.column("block").to_pylist(), bucket % 2 == 1
     tokens, owners = ([unpack(x, t) for x in table.column(c).to_pylist()] for c, t in (("a", np.uint64), ("b", np.int32)))
     token, ends = np.concatenate(tokens), np.cumsum([0, *map(len, tokens)]).tolist()
-    address = np.concatenate([_address(k, o) for k, o in zip(blocks, owners, strict=True)])
+    whose = [unpack(x, np.int64) for x in table.column("who").to_pylist()] if "who" in table.column_names else None
+    address = np.concatenate([_address(k, o) for k, o in zip(whose or blocks, owners, strict=True)])
     mark = np.concatenate([unpack(x, np.uint64 if names else np.uint16) for x in table.column("c").to_pylist()])
     order = np.lexsort((mark, token)) if names else np.argsort(token, kind="stable")
     new = np.append(True, token[order][1:] != token[order][:-1])
@@ -247,8 +249,17 @@ def _bucket(table: pa.Table) -> pa.Table:
     for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
         own = keep[lo:hi]
         if own.any():
-            rows.append((blocks[i], bucket, None, pack(tokens[i][own]), pack(owners[i][own]), pack(first[lo:hi][own])))
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(KINDS)], names=NAMES)
+            rows.append((blocks[i], bucket, None, *_closed(tokens[i][own], owners[i][own], first[lo:hi][own]), *([pack(whose[i][own])] if whose else [])))
+    names, kinds = ([*NAMES, "who"], [*KINDS, pa.binary()]) if whose else (NAMES, KINDS)
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
+def _closed(*columns: np.ndarray) -> tuple[bytes, ...]:
+    return tuple(map(pack, columns))
+
+
+#: Band keys, then names.
+FORM = Form(((np.uint64, np.int32, np.uint16), (np.uint64, np.int32, np.uint64)), ((np.uint64, np.int32, np.int64),) * 2, _closed)
 
 
 def _lists(owner: np.ndarray, of: np.ndarray, *values: pa.Array) -> list[pa.Array]:
@@ -353,8 +364,10 @@ def line_places(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, p
     bodies: xxhash64 of the documents' texts. Rows of a class come from as many blocks as have it, times the lines of it that differ.
     """
     key_sum = lambda df: F.broadcast(df) if df.count() * ENTRY_BYTES <= broadcast_bytes else df
-    sent = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.xxhash64(F.col(text_col).cast("string"))).mapInArrow(_send(text_buckets(docs, text_col)), SENT)
-    shared = scratch.save(sent.groupBy("bucket").applyInArrow(_bucket, SENT), "shared", large=True)
+    plan = planned(docs, text_col)
+    sent = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.xxhash64(F.col(text_col).cast("string"))).mapInArrow(_send(plan.first), SENT)
+    shared = scratch.save(exchanged(sent, _bucket, plan, FORM, scratch, heads=True), "shared", large=True)
+    scratch.drop("sent")
     lines = scratch.save(shared.groupBy("block").applyInArrow(_block, LINES), "lines", large=True)
     third = (F.size("ids") / 3).cast("int")
     rows = shared.where("bucket < 0").select(F.explode(F.arrays_zip(*[F.slice("ids", k * third + 1, third).alias(c) for k, c in enumerate(("id", "body", "later"))])).alias("r"))
@@ -439,7 +452,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of alike lines, the one of the smallest id stays, and there the first. Blank lines stay where they are; a null text stays null, and empty
     texts and tables stay empty. Rows whose id is null come first; these, and rows that repeat an id, are
     documents of their own, in the order of the hashes of their texts. Of rows that repeat both id and text one, any, keeps its lines. Text is whole however
-    long; other columns and all rows stay, whatever their names. ``counts`` must be new to the table. ``docs`` is read three times and must give the same rows.
+    long; other columns and all rows stay, whatever their names. ``counts`` must be new to the table. ``docs`` is read three times (its bytes are counted first) and must give the same rows.
     """
     if {c.lower() for c in counts} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns {counts} exist already")

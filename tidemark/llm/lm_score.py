@@ -4,7 +4,7 @@ P(word | previous) mixes the maximum-likelihood bigram, unigram and uniform esti
 (power of two) of the previous word and are learned by expectation-maximisation: a part of the training texts is deleted from
 the counts, and the weights that make it likeliest are those of the bucket. The final counts are of all training texts.
 
-Texts are read once, into a table of blocks that hold word places and word hashes. A block sends the distinct words and bigrams it
+Texts are read once, after a scan that counts their bytes, into a table of blocks that hold word places and word hashes. A block sends the distinct words and bigrams it
 has, as sorted packed 64-bit hashes with its own training counts, to buckets that add up the counts of the corpus and send them back; it then
 scores its texts. So the shuffle holds each distinct n-gram of a block once, a frequent one is a row of each block and no hot
 key, and no task holds a vocabulary.
@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, sliced, text_buckets, trimmed
-from tidemark.llm.shingle_join import BLOCK_BYTES, KINDS, NAMES, SENT, mix, pack, unpack
+from tidemark.llm.common import Scratch, sliced, trimmed
+from tidemark.llm.exchange import BLOCK_BYTES, KINDS, NAMES, SENT, Form, exchanged, pack, place_of, planned, unpack
+from tidemark.llm.shingle_join import mix
 
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 KEPT, DELETED, UNUSED = 0, 1, 2
@@ -83,7 +84,7 @@ def _send(buckets: int):
                 grams = _bigrams(words, lengths, hashes)[1]
                 for level, (token, back) in enumerate((_ordered(hashes, words), np.unique(grams, return_inverse=True))):
                     count = [np.bincount(back[role == r], minlength=len(token)).astype(np.uint32) for r in (KEPT, DELETED)]
-                    cut = np.searchsorted((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+                    cut = np.searchsorted(place_of(token, buckets), np.arange(buckets + 1, dtype=np.uint64))
                     rows += [(key, 2 * k + level, None, pack(token[lo:hi]), pack(count[0][lo:hi]), pack(count[1][lo:hi])) for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if lo < hi]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
 
@@ -106,11 +107,23 @@ def _total(table: pa.Table) -> pa.Table:
     own = [np.concatenate([unpack(x, np.uint32) for x in table.column(c).to_pylist()]) for c in "bc"]
     kept, deleted = (np.bincount(back, x, len(every)).astype(np.uint64) for x in own)
     both, ends = kept + deleted, np.cumsum([0, *map(len, token)])
-    # Counts without the deleted texts are wanted only for what a block's own deleted texts have.
-    rows = [(key, bucket, None, pack(both[back[lo:hi]]), pack(kept[back[lo:hi]][own[1][lo:hi] > 0]), pack(own[1][lo:hi] > 0)) for key, lo, hi in zip(table.column("block").to_pylist(), ends[:-1], ends[1:], strict=True)]
+    blocks, spans = table.column("block").to_pylist(), list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+    if "who" in table.column_names:
+        rows = [(key, bucket, None, pack(both[back[lo:hi]]), pack(kept[back[lo:hi]]), pack(own[1][lo:hi] > 0), who) for key, (lo, hi), who in zip(blocks, spans, table.column("who").to_pylist(), strict=True)]
+    else:
+        rows = [(key, bucket, None, *_closed(both[back[lo:hi]], kept[back[lo:hi]], own[1][lo:hi] > 0)) for key, (lo, hi) in zip(blocks, spans, strict=True)]
     if bucket % 2 == 0:
-        rows.append((-1, bucket, [int(kept.sum()), int(deleted.sum()), int((kept > 0).sum()), int((both > 0).sum())], None, None, None))
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(KINDS)], names=NAMES)
+        rows.append((-1, bucket, [int(kept.sum()), int(deleted.sum()), int((kept > 0).sum()), int((both > 0).sum())], *[None] * (len(rows[0]) - 3)))
+    names, kinds = [*NAMES, "who"][: len(rows[0])], [*KINDS, pa.binary()][: len(rows[0])]
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
+def _closed(both: np.ndarray, kept: np.ndarray, mask: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Counts without the deleted texts are wanted only for what a block's own deleted texts have."""
+    return pack(both), pack(kept[mask]), pack(mask)
+
+
+FORM = Form(((np.uint64, np.uint32, np.uint32),) * 2, ((np.uint64, np.uint64, bool),) * 2, _closed)
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
@@ -205,12 +218,12 @@ def score_texts(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    buckets = text_buckets(docs, text_col)
+    plan = planned(docs, text_col)
     deleted = F.pmod(F.xxhash64(F.lit("deleted"), F.col(id_col)), F.lit(DELETE)) == 0
     role = F.when(F.coalesce(trains, F.lit(False)), F.when(deleted, DELETED).otherwise(KEPT)).otherwise(UNUSED)
     sent = docs.select(F.col(id_col).cast("long"), role.cast("int"), F.col(text_col)).mapInArrow(trimmed(_blocks), SENT)
     blocks = scratch.save(sent, "blocks")
-    got = scratch.save(blocks.mapInArrow(trimmed(_send(buckets)), SENT).groupBy("bucket").applyInArrow(_total, SENT), "counted", large=True)
+    got = scratch.save(exchanged(blocks.mapInArrow(trimmed(_send(plan.first)), SENT), _total, plan, FORM, scratch, heads=False), "counted", large=True)
     sums = got.where("block = -1").agg(*[F.coalesce(F.sum(F.col("ids")[k]), F.lit(0)).alias(f"s{k}") for k in range(4)]).first()
     tokens, kept_words, words = sums["s0"] + sums["s1"], sums["s2"], sums["s3"]
 

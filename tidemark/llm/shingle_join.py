@@ -4,7 +4,7 @@ Two sets with Jaccard t or more share a token within the first n - ceil(t n) + 1
 Here a candidate must do so under every one of ORDERS orders; what is left is verified by exact intersection. Every order puts rare tokens
 first, by the power of two of their document frequency, and differs in how it arranges tokens alike in frequency.
 
-Texts are read once. A token that only one set has can be in no intersection, so each block of documents sends its
+Texts are read once, after a scan that counts their bytes. A token that only one set has can be in no intersection, so each block of documents sends its
 token hashes, sorted and packed, to buckets that count them, and gets back the shared ones. Sets of which too
 few tokens are shared end there. Equal sets are one node. The rest meet by the tokens of their first prefix.
 """
@@ -18,29 +18,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.clusters import BROADCAST, LABEL_BYTES, cluster
-from tidemark.llm.common import Scratch, sliced, spared, text_buckets, trimmed
+from tidemark.llm.common import Scratch, sliced, spared, trimmed
+from tidemark.llm.exchange import BLOCK_BYTES, KINDS, NAMES, SENT, Form, exchanged, pack, place_of, planned, unpack
 
 WORDS, PERCENT, ORDERS = 5, 80, 3
 #: Bits of a set's bitmap.
 BITS = 512
-#: Text of a block; tokens of a bucket that are counted at once.
-BLOCK_BYTES, COUNTED = 4 << 20, 1 << 18
-
-
-def pack(array: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side, compressed: sorted integers lose their leading bytes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array.view(np.uint8).reshape(-1, array.itemsize).T).tobytes())
-
-
-def unpack(blob: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+#: Tokens of a bucket that are counted at once.
+COUNTED = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,7 +81,7 @@ def _send(buckets: int, words: int):
             return
         token = np.concatenate([own[a] for a in range(len(own))])
         owner = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
-        bucket = (token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        bucket = place_of(token, buckets)
         order = np.argsort(token, kind="stable")
         token, owner, bucket = token[order], owner[order], bucket[order]
         cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
@@ -125,11 +114,6 @@ def _send(buckets: int, words: int):
     return trimmed(run)
 
 
-NAMES = ["block", "bucket", "ids", "a", "b", "c"]
-KINDS = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-SENT = "block long, bucket int, ids array<long>, a binary, b binary, c binary"
-
-
 def _count(table: pa.Table) -> pa.Table:
     """One bucket: each block gets the tokens that more than one set has, with the power of two of their frequency. Tokens are counted a range after the other."""
     if table.column("bucket")[0].as_py() < 0:
@@ -147,11 +131,22 @@ def _count(table: pa.Table) -> pa.Table:
         for p, c, piece in zip(power, cuts, np.split(found, np.cumsum([len(x) for x in pieces])[:-1]), strict=True):
             p[c[k] : c[k + 1]] = piece
     rows = []
+    whose = table.column("who").to_pylist() if "who" in table.column_names else None
     for i, owner in enumerate(table.column("b").to_pylist()):
         keep = power[i] > 0
         if keep.any():
-            rows.append((table.column("block")[i].as_py(), table.column("bucket")[i].as_py(), None, pack(tokens[i][keep]), pack(unpack(owner, np.int32)[keep]), power[i][keep].tobytes()))
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(KINDS)], names=NAMES)
+            row = (table.column("block")[i].as_py(), table.column("bucket")[i].as_py(), None)
+            kept = tokens[i][keep], unpack(owner, np.int32)[keep], power[i][keep]
+            rows.append((*row, *_closed(*kept)) if whose is None else (*row, *map(pack, kept), pack(unpack(whose[i], np.int64)[keep])))
+    names, kinds = (NAMES, KINDS) if whose is None else ([*NAMES, "who"], [*KINDS, pa.binary()])
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
+def _closed(token: np.ndarray, owner: np.ndarray, power: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    return pack(token), pack(owner), power.tobytes()
+
+
+FORM = Form(((np.uint64, np.int32, None),), ((np.uint64, np.int32, np.uint8),), _closed)
 
 
 def differing(a: dict, b: dict) -> Column:
@@ -226,8 +221,10 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shingles")
-    sent = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_send(text_buckets(docs, text_col), words), SENT)
-    got = scratch.save(sent.groupBy("bucket").applyInArrow(spared(_count), SENT), "counted", large=True)
+    plan = planned(docs, text_col)
+    sent = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_send(plan.first, words), SENT)
+    got = scratch.save(exchanged(sent, spared(_count), plan, FORM, scratch, heads=True), "counted", large=True)
+    scratch.drop("sent")
 
     heads = got.where("bucket < 0").select("ids", "a", "b")
     schema = "id long, n int, print binary"
