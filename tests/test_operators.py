@@ -165,3 +165,22 @@ def test_future_leaks(spark):
     blank = spark.createDataFrame([("", 1)], "id string, k int")
     assert {r["doc"] for r in future_leaks(texts, blank, "text", "id").collect()} == {1, 2, 4} == {r["doc"] for r in future_leaks(texts, blank, "text", "id", 0).collect()}
     assert future_leaks(texts, ids.limit(0), "text", "id").collect() == []
+
+
+def test_cluster_rows(spark, monkeypatch):
+    """Places of rows over many ranges, one cluster that holds most rows, null and repeated numbers, an empty table."""
+    monkeypatch.setattr(packing, "RANGE_ROWS", 16)
+    texts = ["Hot  text" if i % 3 else f"text {i % 7}" for i in range(200)] + [None, " "]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "hot TEXT"), (5, "hot text")]
+    df = spark.createDataFrame(rows, "n long, t string").repartition(7)
+    got = news.cluster_rows(df, "n", "t").collect()
+    groups = {}
+    for n, t in rows:
+        groups.setdefault(" ".join((t or "").lower().split()), []).append(n)
+    order = sorted(groups, key=lambda k: min(n for n in groups[k] if n is not None))
+    assert len(got) == len(rows)
+    for index, k in enumerate(order, 1):
+        own = sorted((r for r in got if r["cluster_index"] == index), key=lambda r: r["member_index"])
+        assert [r["member_index"] for r in own] == list(range(1, len(groups[k]) + 1)) and {r["n_rows"] for r in own} == {len(groups[k])}
+        assert [r["n"] for r in own] == sorted(groups[k], key=lambda n: (n is not None, n or 0)) and len({r["cluster_sha"] for r in own}) == 1
+    assert news.cluster_rows(df.where("false"), "n", "t").count() == 0

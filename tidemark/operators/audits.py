@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.payload import has_key, payload_hash
+from tidemark.stages import Stages
 
 #: Label qualities and edge origins that the rules name.
 QUALITIES = ("verified", "quarantined", "no_tradable_row")
@@ -108,9 +109,11 @@ def twins(files: DataFrame, path: str, content: str, ignored: tuple[str, ...] =
     lines = F.split(F.col(content), r"\r\n|\r|\n")
     kept = F.filter(lines, lambda x: (F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "") & ~F.coalesce(*[F.when(x.startswith(i), F.lit(True)) for i in ignored], F.lit(False)))
     body = F.array_join(F.transform(kept, lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))), "\n")
-    out = []
-    for check, text in (("IDENTICAL_FILES", F.col(content)), ("IDENTICAL_BODIES", body)):
-        hashed = files.select(F.col(path).alias("path"), F.sha2(text.cast("binary"), 256).alias("h"))
+    # Texts are read and hashed once; what meets then is a table of hashes.
+    hashes = files.select(F.col(path).alias("path"), *[F.sha2(x.cast("binary"), 256).alias(c) for c, x in (("whole", F.col(content)), ("body", body))])
+    hashes, out = Stages(files.sparkSession, "twins").save(hashes, "hashes"), []
+    for check, text in (("IDENTICAL_FILES", "whole"), ("IDENTICAL_BODIES", "body")):
+        hashed = hashes.select("path", F.col(text).alias("h"))
         groups = hashed.groupBy("h").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         out.append(finding(hashed.join(groups, "h"), check, F.col("path"), F.col("first")))
     return union(*out)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.stages import Stages
+
+#: Rows of a range of ``before``.
+RANGE_ROWS = 1 << 20
+
 
 def with_position(rows: DataFrame, bucket: Column, *order, name: str = "position") -> DataFrame:
     """Rows numbered from 1 in the order (bucket, order). ``bucket`` must not fall along the order; it deals the rows to tasks.
@@ -19,6 +26,26 @@ def with_position(rows: DataFrame, bucket: Column, *order, name: str = "position
     return own.join(starts, "_bucket").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_bucket", "_own", "_before", "_n")
 
 
+def before(rows: DataFrame, order: list[Column], sums: dict[str, Column], stages: Stages, name: str) -> DataFrame:
+    """``rows`` with a column for each of ``sums``: what the rows before it, in one order of the whole table, add up to; 0 for the first.
+
+    Rows are dealt by ranges of the order, of RANGE_ROWS as counted, and written; one row for each range meets in the window over ranges. Rows that are equal in the order
+    go to one range, one after the other in any order: give it enough columns that only few are. Nulls of a sum count as 0; an empty table stays empty.
+    """
+    spark = rows.sparkSession
+    rows = stages.save(rows, f"{name}_rows")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / RANGE_ROWS))
+    ranged = stages.save(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), name)
+    stages.drop(f"{name}_rows")
+    zero = {c: F.coalesce(x, F.lit(0)) for c, x in sums.items()}
+    whole = ranged.groupBy("_range").agg(*[F.sum(x).alias(f"{c}_whole") for c, x in zero.items()])
+    lower = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = whole.select("_range", *[F.coalesce(F.sum(f"{c}_whole").over(lower), F.lit(0)).alias(f"{c}_start") for c in sums])
+    inner = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.select("*", *[F.coalesce(F.sum(x).over(inner), F.lit(0)).alias(f"{c}_own") for c, x in zero.items()])
+    return own.join(starts, "_range").select(*rows.columns, *[(F.col(f"{c}_start") + F.col(f"{c}_own")).alias(c) for c in sums])
+
+
 def shards(rows: DataFrame, size: int, bucket: Column, *order) -> DataFrame:
     """Shards of ``size`` rows, numbered from 1."""
     return with_position(rows, bucket, *order).withColumn("shard", (F.floor((F.col("position") - 1) / size) + 1).cast("long"))

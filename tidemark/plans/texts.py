@@ -27,6 +27,13 @@ def cluster_summary(t: Tables) -> DataFrame:
     return news.cluster_summary(news.event_clusters(t.documents, "doc_id", None, "text"))
 
 
+@query(r"""WITH k AS (SELECT doc_id, sha256(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))) AS cluster_sha FROM documents),
+c AS (SELECT cluster_sha, count(*) AS n_rows, row_number() OVER (ORDER BY min(doc_id)) AS cluster_index FROM k GROUP BY 1)
+SELECT doc_id, cluster_sha, cluster_index, row_number() OVER (PARTITION BY cluster_sha ORDER BY doc_id) AS member_index, n_rows FROM k JOIN c USING (cluster_sha)""")
+def cluster_rows(t: Tables) -> DataFrame:
+    return news.cluster_rows(t.documents, "doc_id", "text")
+
+
 @query(r"""WITH l AS (SELECT doc_id, CAST(text AS VARCHAR) AS text, list_transform(list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: trim(x, E' \t\n\x0b\x0c\r') <> '' AND NOT starts_with(x, '# ')
   AND NOT starts_with(x, 'Brain version:') AND NOT starts_with(x, 'Build mode:') AND NOT starts_with(x, 'Provider:') AND NOT starts_with(x, 'Model:') AND NOT starts_with(x, 'Category:')
   AND NOT starts_with(x, 'Source record count:') AND NOT starts_with(x, 'Accepted episodes covered:')), lambda x: trim(x, E' \t\n\x0b\x0c\r')) AS x FROM documents),
