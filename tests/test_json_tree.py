@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.payload import references as walked
 from tidemark.operators.json_tree import FIELDS, InvertedIndex, objects_with, postings, references, tree
+from tidemark.stages import Stages
 
 NAMES = ["ticker", "peer_universe", "D_outcome", "outcome", "code", "fact_id", "support_fact_ids", "a_fact_or_inference_id", "event_ids", "x", "url", "time_verified", "odd name", 'q"\\', "theme_ids"]
 
@@ -65,3 +66,25 @@ def test_tree(spark, tmp_path):
     queries = spark.createDataFrame([(1, "ticker", "A"), (1, "theme_id", "B"), (1, "ticker", "A"), (2, "ticker", "nowhere"), (3, "ticker", "7")], "query_id int, field string, value string")
     assert {tuple(r) for r in index.answers(queries, rows).collect()} == {(1, i) for i in both} | {(3, i) for f, v, i in values if (f, v) == ("ticker", "7")}
     assert "Python" not in held._jdf.queryExecution().toString()
+
+
+def _saved(monkeypatch):
+    """The rows of every table that is written between the steps, by name."""
+    held, save = {}, Stages.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Stages, "save", counted)
+    return held
+
+
+def test_values_are_unfolded_once(spark, monkeypatch):
+    held = _saved(monkeypatch)
+    rows = spark.range(5).select("id", F.lit('{"a": [1, {"b": null}], "c": "x"}').alias("payload"))
+    found = tree(rows, "id", "payload")
+    assert found.count() == 5 * 6 and held == {"parsed": 5, "level0": 5, "level1": 10, "level2": 10, "level3": 5}
+    plan = found.select("path", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "parse_json" not in plan and "variant_explode" not in plan

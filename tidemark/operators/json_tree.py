@@ -13,14 +13,12 @@ from tidemark.functions import variants as V
 from tidemark.functions.payload import REFERENCES
 from tidemark.stages import Stages
 
-#: Levels that are unfolded between two looks at what is left.
-STRIDE = 4
-
 
 def _kind(value: Column) -> Column:
+    """An object is told by a cast that looks at no member; a type is spelled out for the others only."""
     k = V.kind(value)
-    names = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
-    out = F.when(k.isNull(), "null")
+    names = {"ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+    out = F.when(value.isNull(), "null").when(F.try_variant_get(value, "$", "struct<>").isNotNull(), "object")
     for prefix, name in names.items():
         out = out.when(k.startswith(prefix), name)
     return out.otherwise("number")
@@ -34,23 +32,20 @@ def _step(name: Column) -> Column:
 
 def _children(nodes: DataFrame, key: str) -> DataFrame:
     """The values in containers, one level down."""
-    v = F.col("_value")
-    entry = lambda name, at, value: F.struct(name.alias("name"), at.alias("at"), value.alias("value"))
-    none = F.lit(None).cast("string")
-    members = F.transform(F.map_entries(F.try_variant_get(v, "$", V.MEMBERS)), lambda e: entry(e["key"], F.lit(None).cast("int"), e["value"]))
-    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: entry(none, i, x))
     rows = nodes.where(F.col("kind").isin("object", "array")).select(key, F.col("path").alias("parent"), "depth", "_value", F.col("member_path").alias("_mp"), F.col("member").alias("_m"), F.col("lists").alias("_l"), F.col("kind").alias("inside"))
-    rows = rows.withColumn("_e", F.explode(F.when(F.col("inside") == "object", members).otherwise(items))).drop("_value")
-    own, name = F.col("inside") == "object", F.col("_e.name")
-    path = F.concat("parent", F.when(own, _step(name)).otherwise(F.concat(F.lit("["), F.col("_e.at").cast("string"), F.lit("]"))))
-    return rows.select(key, path.alias("path"), "parent", (F.col("depth") + 1).alias("depth"), "inside", F.when(own, name).otherwise(F.col("_m")).alias("member"), F.when(own, path).otherwise(F.col("_mp")).alias("member_path"), F.when(own, 0).otherwise(F.col("_l") + 1).alias("lists"), F.col("_e.value").alias("_value")).transform(_described)
+    entries = nodes.sparkSession.tvf.variant_explode(F.col("_value").outer()).toDF("_at", "_name", "_entry")
+    rows = rows.lateralJoin(entries).drop("_value")
+    own, name = F.col("inside") == "object", F.col("_name")
+    path = F.concat("parent", F.when(own, _step(name)).otherwise(F.concat(F.lit("["), F.col("_at").cast("string"), F.lit("]"))))
+    return rows.select(key, path.alias("path"), "parent", (F.col("depth") + 1).alias("depth"), "inside", F.when(own, name).otherwise(F.col("_m")).alias("member"), F.when(own, path).otherwise(F.col("_mp")).alias("member_path"), F.when(own, 0).otherwise(F.col("_l") + 1).alias("lists"), F.col("_entry").alias("_value")).transform(_described)
 
 
 def _described(rows: DataFrame) -> DataFrame:
+    """Values with their kind and text; only containers are kept."""
     v = F.col("_value")
     rows = rows.withColumn("kind", _kind(v))
     scalar = F.when(F.col("kind") == "string", F.try_variant_get(v, "$", "string")).when(F.col("kind").isin("number", "boolean"), F.to_json(v))
-    return rows.withColumn("text", scalar).withColumn("names", F.when(F.col("kind") == "object", F.map_keys(F.try_variant_get(v, "$", V.MEMBERS))))
+    return rows.withColumn("text", scalar).withColumn("_value", F.when(F.col("kind").isin("object", "array"), v))
 
 
 def tree(rows: DataFrame, key: str, payload: str) -> DataFrame:
@@ -58,25 +53,22 @@ def tree(rows: DataFrame, key: str, payload: str) -> DataFrame:
 
     inside: object or array. member: the name of the nearest member that the value is or is listed in; lists: through how many lists. member_path: that member's path.
     kind: object, array, string, number, boolean or null. text: a scalar's text, numbers as they are spelled in JSON. names: an object's member names.
-    A payload that is null or no JSON gives no rows, nor does one that names a member of an object twice. Levels are written tables; there are as many as the deepest payload has.
+    A payload that is null or no JSON gives no rows, nor does one that names a member of an object twice. Levels are written tables, each made of the one above, so that every value is
+    unfolded once; there are as many as the deepest payload has.
     """
     stages = Stages(rows.sparkSession, "tree")
     none, n = F.lit(None).cast("string"), F.lit(0)
-    held = rows.select(key, F.try_parse_json(payload).alias("_value")).where("_value is not null")
-    root = held.select(key, F.lit("$").alias("path"), none.alias("parent"), n.alias("depth"), none.alias("inside"), none.alias("member"), F.lit("$").alias("member_path"), n.alias("lists"), "_value").transform(_described)
-    out, last = None, root
-    for round_ in range(1 << 20):
-        every = last
-        for _ in range(STRIDE):
-            last = _children(last, key)
-            every = every.unionByName(last)
-        every = stages.save(every, f"levels{round_}")
-        bottom = (round_ + 1) * STRIDE
-        here = every if round_ == 0 else every.where(F.col("depth") > round_ * STRIDE)
-        out = here if out is None else out.unionByName(here)
-        last = every.where(F.col("depth") == bottom)
+    # Parsed once: what filters and describes the values reads them from the table.
+    held = stages.save(rows.select(key, F.try_parse_json(payload).alias("_value")), "parsed").where("_value is not null")
+    last = held.select(key, F.lit("$").alias("path"), none.alias("parent"), n.alias("depth"), none.alias("inside"), none.alias("member"), F.lit("$").alias("member_path"), n.alias("lists"), "_value").transform(_described)
+    out = None
+    for depth in range(1 << 20):
+        last = stages.save(last, f"level{depth}")
+        out = last if out is None else out.unionByName(last)
         if last.where("kind in ('object', 'array')").limit(1).count() == 0:
-            return out.drop("_value")
+            # Read only by who asks for names.
+            return out.withColumn("names", F.when(F.col("kind") == "object", F.map_keys(F.try_variant_get("_value", "$", V.MEMBERS)))).drop("_value")
+        last = _children(last, key)
     raise RuntimeError("payloads are too deep")
 
 
