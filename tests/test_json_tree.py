@@ -81,6 +81,21 @@ def _saved(monkeypatch):
     return held
 
 
+def test_queries_that_ask_the_same_are_answered_once(spark, tmp_path, monkeypatch):
+    records = spark.range(3000).select(F.col("id"), F.format_string('{"ticker": "T%s", "path_type": "P"}', (F.col("id") % 3).cast("string")).alias("payload"))
+    index = InvertedIndex(spark, str(tmp_path / "index"), "id", 4)
+    index.write(postings(tree(records, "id", "payload"), "id"))
+    asks = F.explode(F.array(F.struct(F.lit("ticker").alias("field"), F.format_string("T%s", (F.col("id") % 2).cast("string")).alias("value")), F.struct(F.lit("path_type").alias("field"), F.lit("P").alias("value"))))
+    queries = spark.range(2000).select(F.col("id").alias("query_id"), asks.alias("a")).select("query_id", "a.*")
+    more = spark.createDataFrame([(9001, "ticker", "T2"), (9001, "ticker", None), (9002, "ticker", "T1")], "query_id long, field string, value string")
+    held = _saved(monkeypatch)
+    got = index.answers(queries.unionByName(more), records)
+    assert got.groupBy("query_id").count().groupBy("count").count().collect() == [(1000, 2001)]
+    assert got.where(F.col("query_id") < 9001).where("query_id % 2 <> id % 3").count() == 0 and got.where("query_id = 9001").count() == 0 and got.distinct().count() == 2001000
+    # Two conjunctions and two single questions, whoever asks them: no step holds a row for each query and record.
+    assert held["full"] == 3000 and max(held.values()) <= 3000
+
+
 def test_values_are_unfolded_once(spark, monkeypatch):
     held = _saved(monkeypatch)
     rows = spark.range(5).select("id", F.lit('{"a": [1, {"b": null}], "c": "x"}').alias("payload"))

@@ -5,7 +5,9 @@ What looks for something anywhere in a payload (references, objects of a shape,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +15,9 @@ from tidemark.functions import variants as V
 from tidemark.functions.payload import REFERENCES
 from tidemark.stages import Stages
 
+#: Ids of a block of answers, and rows that a task makes of blocks.
+BLOCK, ANSWERS = 1024, 1 << 23
+
 
 def _kind(value: Column) -> Column:
     """An object is told by a cast that looks at no member; a type is spelled out for the others only."""
@@ -149,9 +154,34 @@ class InvertedIndex:
         return records
 
     def answers(self, queries: DataFrame, records: DataFrame, query: str = "query_id") -> DataFrame:
-        """(query, key) for many conjunctions at once; queries: (query, field, value). A record answers if it has each different value that its query names."""
-        asked = queries.select(query, "field", "value").distinct().withColumn("bucket", self._bucket(F.col("value")))
-        need = asked.groupBy(query).agg(F.count(F.lit(1)).alias("_need"))
-        got = asked.join(self.read(records.schema[self.key].dataType), ["field", "bucket", "value"]).groupBy(query, self.key).agg(F.count(F.lit(1)).alias("_got"))
-        full = got.join(need, query).where("_got = _need").select(query, self.key)
-        return full.join(records.select(self.key), self.key, "left_semi").select(query, self.key)
+        """(query, key) for many conjunctions at once; queries: (query, field, value). A record answers if it has each different value that its query names.
+
+        Queries that name the same values are answered once. Of a conjunction the rarest value names the records, which are then looked up under its other values; answers and queries
+        meet in blocks last, dealt out by the number of rows they make.
+        """
+        stages = Stages(self.spark, "answers")
+        wanted = queries.select(query, F.struct("field", "value").alias("a")).groupBy(query).agg(F.array_sort(F.collect_set("a")).alias("_set"))
+        wanted = stages.save(wanted.withColumn("_of", F.sha2(F.to_json("_set", {"ignoreNullFields": "false"}).cast("binary"), 256)), "wanted")
+        asked = wanted.groupBy("_of").agg(F.first("_set").alias("_set")).select("_of", F.size("_set").alias("_need"), F.explode("_set").alias("a")).select("_of", "_need", "a.field", "a.value")
+        asked = stages.save(asked.withColumn("bucket", self._bucket(F.col("value"))), "asked")
+        place = ["field", "bucket", "value"]
+        held = self.read(records.schema[self.key].dataType).join(asked.select(*place).distinct(), place, "left_semi")
+        asked = asked.join(held.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")), place, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+        asked = stages.save(asked.withColumn("_k", F.row_number().over(Window.partitionBy("_of").orderBy("_n", *place))), "ranked")
+        led = stages.save(asked.where("_k = 1").join(held, place).select("_of", "_need", self.key), "led")
+        more = led.join(asked.where("_k > 1").select("_of", *place), "_of").join(held, [*place, self.key], "left_semi")
+        more = more.groupBy("_of", "_need", self.key).agg(F.count(F.lit(1)).alias("_more")).where("_more = _need - 1").select("_of", self.key)
+        full = led.where("_need = 1").select("_of", self.key).unionByName(more)
+        full = stages.save(full.join(records.select(self.key), self.key, "left_semi"), "full")
+        ids = self._blocks(full, self.key, "_keys").join(self._blocks(wanted.select("_of", query), query, "_queries"), "_of")
+        ids = stages.save(ids, "blocks")
+        made = ids.agg(F.sum(F.size("_keys").cast("long") * F.size("_queries"))).first()[0] or 0
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(made / ANSWERS))
+        return ids.repartition(parts).select(F.explode("_queries").alias(query), "_keys").select(query, F.explode("_keys").alias(self.key))
+
+    @staticmethod
+    def _blocks(rows: DataFrame, name: str, listed: str) -> DataFrame:
+        """Lists of some BLOCK ids of each conjunction."""
+        sizes = rows.groupBy("_of").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
+        dealt = rows.join(sizes, "_of").withColumn("_block", F.pmod(F.xxhash64(name), F.col("_parts")))
+        return dealt.groupBy("_of", "_block").agg(F.collect_list(name).alias(listed)).select("_of", listed)
