@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.payload import truthy
@@ -45,11 +45,21 @@ def with_fallback(plan: DataFrame, required: Sequence[str], fallback: str = "{}
 
 
 def keyed_or_contained(left: DataFrame, right: DataFrame, key: str, right_key: str, order: str, needle: Column, haystack: Column) -> DataFrame:
-    """The right row whose key is equal, else the first, in order, whose text contains the left's. Only rows without an equal key are searched."""
+    """The right row whose key is equal, else the first, in order, whose text contains the left's. Only rows without an equal key are searched, of a repeated key one.
+
+    Texts are cut into their pieces of the lengths that are searched for, so that containing is an equality: no row is held against all others. Rows grow with characters times different lengths.
+    """
     exact = left.join(right, left[key] == right[right_key], "left_semi").join(right, F.col(key) == F.col(right_key))
-    rest = left.join(right.select(F.col(right_key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
-    found = rest.join(right, haystack.contains(needle), "left")
-    first = found.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_rn = 1").drop("_rn")
+    rest = left.join(right.select(F.col(right_key).alias("_k")), F.col(key) == F.col("_k"), "left_anti").dropDuplicates([key]).withColumn("_piece", needle)
+    asked = rest.where("_piece is not null").select("_piece").distinct()
+    lengths = asked.select(F.char_length("_piece").alias("_length")).distinct()
+    long = F.char_length("_text")
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(long - F.col("_length") + 1, F.lit(1))), lambda at: F.substring(F.col("_text"), at, F.col("_length")))
+    parts = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file makes many pieces
+    texts = right.repartition(parts).select(F.struct(F.col(order).alias("_order"), F.struct(*right.columns).alias("_row")).alias("_held"), haystack.alias("_text"))
+    pieces = texts.join(F.broadcast(lengths), long >= F.col("_length")).select("_held", F.explode(F.array_distinct(cut)).alias("_piece"))
+    best = pieces.join(asked, "_piece", "left_semi").groupBy("_piece").agg(F.min("_held")["_row"].alias("_row"))
+    first = rest.join(best, "_piece", "left").select(*left.columns, "_row.*")
     return exact.withColumn("match", F.lit("exact")).unionByName(first.withColumn("match", F.when(F.col(right_key).isNotNull(), F.lit("contained"))))
 
 
