@@ -10,10 +10,23 @@ from pyspark.sql import functions as F
 from tidemark.functions.payload import truthy
 
 
-def preference_pairs(rows: DataFrame, group: str, key: str, good: Column, bad: Column) -> DataFrame:
-    """Every good row of a group with every bad one. All pairs are the feature: the groups are episodes."""
-    better = rows.where(good).select(group, F.col(key).alias("chosen"))
-    return better.join(rows.where(bad).select(group, F.col(key).alias("rejected")), group)
+def _listed(rows: DataFrame, group: str, key: str, name: str, size: int) -> DataFrame:
+    """Lists of about ``size`` keys of each group."""
+    rows = rows.where(F.col(group).isNotNull()).select(group, F.struct(F.col(key).alias("k")).alias("_x"))
+    parts = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).alias("_parts"))
+    dealt = rows.join(parts, group).withColumn("_part", F.pmod(F.xxhash64("_x"), F.col("_parts")))
+    return dealt.groupBy(group, "_part").agg(F.collect_list("_x").alias(name)).withColumnRenamed("_part", f"{name}_part")
+
+
+def preference_pairs(rows: DataFrame, group: str, key: str, good: Column, bad: Column, size: int = 256) -> DataFrame:
+    """Every good row of a group with every bad one. All pairs are the feature: the groups are episodes.
+
+    Lists of ``size`` keys meet, not rows, and the pairs of lists are dealt out before they are written as pairs of rows, so that a large group is many tasks' work.
+    """
+    better, worse = _listed(rows.where(good), group, key, "_good", size), _listed(rows.where(bad), group, key, "_bad", size)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = better.join(worse, group).repartition(parts, F.xxhash64(group, "_good_part", "_bad_part"))
+    return met.select(group, F.explode("_good").alias("_g"), "_bad").select(group, F.col("_g.k").alias("chosen"), F.explode("_bad").alias("_b")).select(group, "chosen", F.col("_b.k").alias("rejected"))
 
 
 def sealed_pair(winner: Sequence[Column], loser: Sequence[Column]) -> Column:
