@@ -62,6 +62,25 @@ def test_a_refused_bundle_frees_its_ids(spark):
         assert got == {"a": (None, None), "b": ("RECORD_ID_CONFLICT", "x"), "c": (None, None), "d": ("EPISODE_HASH_CONFLICT", None), "e": (None, None)}
 
 
+@pytest.mark.parametrize("small", [0, 100])
+def test_a_later_bundle_does_not_refuse_one_with_two_contents(spark, small):
+    # a is refused, so that b holds y and x; c says of x what b said last, d says of y something else.
+    bundles = [("a", 1, "E1", "s", 0), ("b", 2, "E2", "s", 0), ("c", 3, "E2", "s", 0), ("d", 4, "E3", "s", 0)]
+    records = [("a", 0, "z", "g", True), ("a", 1, "y", "g", True), ("b", 0, "y", "g", True), ("b", 1, "x", "g", True), ("b", 2, "x", "h", True), ("c", 0, "x", "h", True), ("d", 0, "y", "g", True)]
+    stored = [("z", "E0", "g")]
+    tables = [spark.createDataFrame(x, s) for x, s in ((bundles, BUNDLES), (records, RECORDS), ([], "episode_id string, sha string"), (stored, "record_id string, episode_id string, sha string"))]
+    assert sorted(map(tuple, admit(*tables, small=small).collect())) == in_turn(bundles, records, [], stored)
+
+
+def test_two_contents_at_one_place_have_an_order(spark):
+    bundles = [("a", 1, "E1", "s", 0), ("b", 2, "E1", "s", 0)]
+    none = [spark.createDataFrame([], s) for s in ("episode_id string, sha string", "record_id string, episode_id string, sha string")]
+    for twice in ("gh", "hg"):
+        records = [("a", 0, "x", twice[0], True), ("a", 0, "x", twice[1], True), ("b", 0, "x", "h", True)]
+        found = admit(spark.createDataFrame(bundles, BUNDLES).coalesce(1), spark.createDataFrame(records, RECORDS).coalesce(1), *none).collect()
+        assert {r["bundle_id"]: r["outcome"] for r in found} == {"a": "stored", "b": "stored"}, twice
+
+
 def test_a_gate_with_an_unknown_check_stays_shut(spark):
     found = imports.verdicts(spark.createDataFrame([(1,), (2,)], "bundle_id int"), spark.createDataFrame([(1, "blockhash"), (1, None)], "bundle_id int, check_id string"))
     assert {r["bundle_id"]: (r["unknown_checks"], r["passed"]) for r in found.collect()} == {1: (2, False), 2: (0, True)}

@@ -24,13 +24,13 @@ SMALL = 1 << 17
 def _claims(bundles: DataFrame, records: DataFrame) -> DataFrame:
     """(bundle_id, turn, kind, key, sets, checks): what a key is held with if the bundle is admitted, and what it must be held with before, null if nothing fits.
 
-    A bundle that gives one record id two contents sets the last by position and fits to none.
+    A bundle that gives one record id two contents sets the last by position, the largest of one position, and fits to none.
     """
     turn = F.struct("arrival", "bundle_id").alias("turn")
     own = bundles.select("bundle_id", turn, F.lit("episode").alias("kind"), F.col("episode_id").alias("key"), F.struct(F.lit("").alias("of"), "sha").alias("sets"))
     content = F.struct(F.col("episode_id").alias("of"), F.col("r.sha").alias("sha"))
     held = bundles.select("bundle_id", "episode_id", turn).join(records.where("record_id is not null").alias("r"), "bundle_id").select("bundle_id", "turn", F.lit("record").alias("kind"), F.col("record_id").alias("key"), "position", content.alias("content"))
-    held = held.groupBy("bundle_id", "turn", "kind", "key").agg(F.max_by("content", "position").alias("sets"), F.when(F.min("content") == F.max("content"), F.min("content")).alias("checks"))
+    held = held.groupBy("bundle_id", "turn", "kind", "key").agg(F.max_by("content", F.struct("position", "content")).alias("sets"), F.when(F.min("content") == F.max("content"), F.min("content")).alias("checks"))
     return own.withColumn("checks", F.col("sets")).select(*held.columns).unionByName(held)
 
 
@@ -62,7 +62,8 @@ def _decided(claims: DataFrame, stages: Stages, small: int) -> DataFrame:
         if left.count() <= small:
             rest = stages.save(left.coalesce(1).mapInArrow(_in_turn, "bundle_id string, admitted boolean"), "rest")
             return rest if found is None else found.unionByName(rest)
-        heads = left.where("value is null").groupBy("kind", "key", "sets").agg(F.min("turn").alias("turn"))
+        # One with two contents is apart from others that set the same: who comes after it waits, as a key that is held by then would refuse it.
+        heads = left.where("value is null").groupBy("kind", "key", "sets", "checks").agg(F.min("turn").alias("turn"))
         heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("kind", "key").orderBy("turn"))).where("k <= 2")
         heads = heads.groupBy("kind", "key").agg(F.min("turn").alias("first"), F.min_by("sets", "turn").alias("leads"), F.max(F.when(F.col("k") == 2, F.col("turn"))).alias("other"))
         met = left.join(heads, ["kind", "key"], "left")
