@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+from pathlib import Path
 
 from tidemark.operators.receipts import chain_report, sealed, version_of
 
@@ -89,3 +90,23 @@ def test_version(spark):
     name = version_of(frame(rows), {"mode": "full"})
     assert name == version_of(frame(rows[::-1]), {"mode": "full"}) and name.startswith("brain-") and len(name) == 16
     assert len({name, version_of(frame(rows[1:]), {"mode": "full"}), version_of(frame(rows), {"mode": "catalog"}), version_of(frame([("E0", "x"), *rows[1:]]), {"mode": "full"})}) == 4
+
+
+def test_long_runs_are_doubled(spark):
+    rows, inputs = made(11)
+    tables = [spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(inputs, "run_id int, name string, sha256 string")]
+    for whole in (0, 6):
+        assert {tuple(r) for r in chain_report(*tables, whole=whole).collect()} == plain(rows, inputs), whole
+
+
+def test_short_runs_are_not_written_round_by_round(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before, rows = None, []
+    for i in range(200):
+        text = receipt(before, {"i": i}, {})
+        before = sha(text)
+        rows.append((1, text, before))
+    there = set(shared.glob("tidemark-chain-*/*"))
+    found = chain_report(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r["depth"] for r in found) == list(range(1, 201)) and all(r["valid"] for r in found)
+    assert {p.name for p in set(shared.glob("tidemark-chain-*/*")) - there} == {"thin", "long"}
