@@ -3,6 +3,7 @@
 import datetime
 import random
 
+from tidemark.operators import scopes
 from tidemark.operators.scopes import scope_differences, scope_report
 
 LISTS = {"available_ids": "available", "unavailable_ids": "unavailable", "training_ids": "eligible", "swept_ids": "all"}
@@ -47,3 +48,20 @@ def test_empty(spark):
     assert scope_report(*none, LISTS).collect() == [] and scope_differences(*none, LISTS).collect() == []
     packs = spark.createDataFrame([(1, None)], "pack_id int, cutoff timestamp")
     assert {(r["expected"], r["passed"]) for r in scope_report(none[0], packs, none[2], LISTS).collect()} == {(0, True)}
+
+
+def test_an_id_listed_many_times(spark):
+    # More often than the bits of a pack hold, beside packs that list it once.
+    records = spark.createDataFrame([("R1", day(1), True), ("R2", day(9), True)], "record_id string, available_from timestamp, eligible boolean")
+    packs = spark.createDataFrame([(p, day(5)) for p in range(40)], "pack_id int, cutoff timestamp")
+    listed = [(p, "available_ids", "R1") for p in range(40) for _ in range({3: 40, 4: 16, 17: 2}.get(p, 1))]
+    lists = {"available_ids": "available"}
+    tables = records, packs, spark.createDataFrame(listed, "pack_id int, list string, record_id string")
+    assert {r["pack_id"]: r["duplicates"] for r in scope_report(*tables, lists).collect()} == {p: {3: 39, 4: 15, 17: 1}.get(p, 0) for p in range(40)}
+    assert set(map(tuple, scope_differences(*tables, lists).collect())) == {(p, "available_ids", "R1", "duplicate") for p in (3, 4, 17)}
+
+
+def test_lists_are_counted_by_words_of_packs(spark):
+    rows = spark.createDataFrame([(p, "available_ids", f"R{i}") for p in range(30) for i in range(50)], "pack_id int, list string, record_id string")
+    packs = spark.createDataFrame([(p, day(5)) for p in range(30)], "pack_id int, cutoff timestamp")
+    assert scopes._counted(rows, scopes._numbered(packs), {"available_ids": "available"}).count() == 100

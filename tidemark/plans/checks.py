@@ -23,7 +23,7 @@ def _packs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     then = F.col("available_from") <= F.col("cutoff")
     mix = F.pmod(F.col("record_id") * 7 + F.col("pack_id") * 13, F.lit(500))
     lists = F.array(F.when(then != (mix == 1), F.lit("available_ids")), F.when(~then, F.lit("unavailable_ids")), F.when(then & F.col("eligible") & (mix != 2), F.lit("training_ids")), F.when(then & F.col("eligible") & (mix == 3), F.lit("training_ids")))
-    both = records.join(F.broadcast(packs), F.lit(True)).select("pack_id", F.col("record_id") + F.when(mix == 4, F.lit(1 << 40)).otherwise(0), F.explode(F.array_compact(lists)).alias("list")).toDF("pack_id", "record_id", "list")
+    both = records.join(F.broadcast(packs), F.lit(True)).select("pack_id", F.col("record_id") + F.when(mix == 4, F.lit(1 << 40)).otherwise(0), F.explode(lists).alias("list")).toDF("pack_id", "record_id", "list").where("list is not null")
     return records, packs, both
 
 
