@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import diffs
 from tidemark.operators.diffs import changes, line_diffs, rising, unified
 
 
@@ -48,3 +49,12 @@ def test_unified(spark):
         want = list(difflib.unified_diff(a, b, "old", "new", lineterm=""))
         assert r["u"] == want, (r["k"], r["u"], want)
         assert r["added"] - r["removed"] == len(b) - len(a) and (r["status"] == "changed") == (a != b)
+
+
+def test_changes_applied_give_the_second_text(spark):
+    rng = random.Random(9)
+    text = lambda: "\n".join(rng.choice("abcdefgh") for _ in range(rng.randrange(12)))
+    pairs = [(i, text() or None, text()) for i in range(60)] + [(60, "a\r\nb\n", "b\nc"), (61, "", ""), (62, "a", "a")]
+    rows = diffs.line_diffs(spark.createDataFrame(pairs, "id int, a string, b string"), "a", "b")
+    got = rows.select(diffs.applied(F.col("a"), F.col("b"), F.col("changes")).alias("x"), diffs.lines_of(F.col("b")).alias("y")).collect()
+    assert len(got) == 63 and all(r["x"] == r["y"] for r in got)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import bound
+
 OPS = "array<struct<a_from: int, a_to: int, b_from: int, b_to: int>>"
 
 
@@ -80,6 +82,19 @@ def line_diffs(pairs: DataFrame, a: str, b: str, changes_to: str = "changes") ->
     return rows.withColumns({"removed": size("a"), "added": size("b"), "status": F.when(F.size(spans) == 0, "unchanged").otherwise("changed")})
 
 
+def applied(a: Column, b: Column, spans: Column) -> Column:
+    """The lines of ``a`` with its changes put in from ``b``. Texts are cut into lines once, and each stretch is copied once."""
+    cut = lambda lines, lo, hi: F.slice(lines, lo + 1, F.greatest(hi - lo, F.lit(0)))
+
+    def walked(s: Column) -> Column:
+        x, y, c = s["a"], s["b"], s["spans"]
+        since = lambda i: F.coalesce(F.get(c, i - 1)["a_to"], F.lit(0))
+        pieces = F.transform(c, lambda one, i: F.concat(cut(x, since(i), one["a_from"]), cut(y, one["b_from"], one["b_to"])))
+        return F.concat(F.flatten(pieces), cut(x, since(F.size(c)), F.size(x)))
+
+    return bound(F.struct(lines_of(a).alias("a"), lines_of(b).alias("b"), spans.alias("spans")), walked)
+
+
 def unified(a: Column, b: Column, spans: Column, old_name: Column, new_name: Column, context: int = 3) -> Column:
     """The unified diff of two texts as a list of lines, from their changes; an empty list if there are none."""
     x, y, grown = lines_of(a), lines_of(b), F.array().cast(OPS)

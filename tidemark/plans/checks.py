@@ -156,8 +156,6 @@ def line_diff(t: Tables) -> DataFrame:
     kept = F.filter(diffs.lines_of(F.col("text")), lambda x: F.char_length(x) % 5 != 0)
     pairs = t.documents.where("text <> ''").select("doc_id", "text", F.array_join(F.concat(kept, F.array(F.lit("the end"))), "\n").alias("later"))
     found = diffs.line_diffs(pairs, "text", "later")
-    a, b = diffs.lines_of(F.col("text")), diffs.lines_of(F.col("later"))
-    cut = lambda lines, lo, hi: F.slice(lines, lo + 1, F.greatest(hi - lo, F.lit(0)))
-    walked = F.aggregate("changes", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), lambda acc, c: F.struct(c["a_to"].alias("at"), F.concat(acc["out"], cut(a, acc["at"], c["a_from"]), cut(b, c["b_from"], c["b_to"])).alias("out")))
-    applied = F.array_join(F.concat(walked["out"], cut(a, walked["at"], F.size(a))), "\n")
+    lines = diffs.applied(F.col("text"), F.col("later"), F.col("changes"))
+    applied = F.array_join(lines, "\n")
     return found.select("doc_id", F.sha2(applied.cast("binary"), 256).alias("applied_sha256"), (F.col("added") - F.col("removed")).cast("long").alias("balance"), "status")
