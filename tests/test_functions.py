@@ -82,3 +82,11 @@ def test_segments_of_a_repeated_key(spark):
 
     rows = spark.createDataFrame([(1, "Aa. Bb."), (1, "Cc."), (2, None)], "k int, t string")
     assert sorted((r["segment"], r["char_start"], r["char_end"], r["excerpt"]) for r in segments(rows, "k", "t").collect()) == [(1, 0, 3, "Aa."), (1, 0, 3, "Cc."), (2, 4, 7, "Bb.")]
+
+
+def test_embeddings_do_not_depend_on_slices(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, None if i == 3 else "" if i == 5 else f"alpha beta {i} gamma{i % 4} 가나") for i in range(40)], "id int, text string").coalesce(1)
+    whole = rows.select("id", vectors.hash_embedding(F.col("text")).alias("v")).collect()
+    monkeypatch.setattr(vectors, "SLICE", 16)
+    assert rows.select("id", vectors.hash_embedding(F.col("text")).alias("v")).collect() == whole and len(whole) == 40
+    assert sum(whole[3]["v"]) == 0 and abs(sum(x * x for x in whole[0]["v"]) - 1) < 1e-9

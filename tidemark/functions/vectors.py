@@ -6,6 +6,8 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), total).otherwise(F.lit(0.0))
 
 
-#: Features whose hashes a worker keeps.
-KEPT = 1 << 20
+#: Features whose hashes a worker keeps, and bytes of texts and terms that are unpacked at once.
+KEPT, SLICE = 1 << 18, 1 << 22
 
 
 def _hashed(feature: str, dimensions: int) -> tuple[int, float]:
@@ -48,11 +50,19 @@ def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
         row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         return np.bincount(row * dimensions + at.astype(np.int64)[back], sign[back], len(lists) * dimensions).astype(float).reshape(-1, dimensions)
 
-    def run(texts: pd.Series, terms: pd.Series) -> pd.Series:
-        if not len(texts):
-            return pd.Series([], dtype=object)
-        sums = counted([bigram_codes(t) for t in texts], pair_of) + counted([np.asarray(w, object) for w in terms], str)
-        norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-        return pd.Series(list(np.divide(sums, norm, out=sums, where=norm > 0)), dtype=object)
+    def sums(texts: pa.Array, terms: pa.Array) -> np.ndarray:
+        words = [np.asarray(w, object) for w in terms.to_pylist()]
+        found = counted([bigram_codes(t) for t in texts.to_pylist()], pair_of) + counted(words, str)
+        norm = np.sqrt((found * found).sum(axis=1, keepdims=True))
+        return np.divide(found, norm, out=found, where=norm > 0)
 
-    return F.pandas_udf(run, "array<double>")(solid(text), text_terms(text))
+    def run(texts: pa.Array, terms: pa.Array) -> pa.Array:
+        if not len(texts):
+            return pa.array([], pa.list_(pa.float64()))
+        # Cuts by running size, so that objects are made of a slice and not of the whole Arrow batch.
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1).tolist(), len(texts)]
+        made = np.concatenate([sums(texts[lo:hi], terms[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * dimensions, pa.int32()), pa.array(made.ravel()))
+
+    return F.arrow_udf(run, "array<double>")(solid(text), text_terms(text))
