@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 from tidemark.operators.direct_ingest import ALIASES, DIRECT, ISSUER, TARGETS, normalised
 
@@ -130,3 +131,13 @@ def test_empty(spark):
     df = normalised(*none)
     assert df.columns == ["bundle_id", "line", "payload", "note"] and df.collect() == []
     assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_dealt_out(spark):
+    """Records of one partition are parsed by several tasks."""
+    rows, facts, sources = made(5, 40)
+    tables = spark.createDataFrame(rows, "bundle_id int, line int, payload string").coalesce(1), spark.createDataFrame(facts, "bundle_id int, line int, fact_id string, source_id string"), spark.createDataFrame(sources, "bundle_id int, line int, source_id string, row_id string")
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("tidemark-ingest-*/flat/*.parquet"))
+    assert normalised(*tables).count() == len(rows)
+    assert len(set(shared.glob("tidemark-ingest-*/flat/*.parquet")) - before) == 4

@@ -12,13 +12,17 @@ MEMBERS = "map<string,variant>"
 
 def members(text: Column) -> Column:
     """The members of a JSON object; null if the text is no object, or names a member twice."""
-    held = F.from_json(text, MEMBERS)
+    return named_once(F.from_json(text, MEMBERS))
+
+
+def named_once(held: Column) -> Column:
+    """``held``, null if it has a member twice."""
     return F.when(F.size(F.array_distinct(F.map_keys(held))) == F.size(held), held)
 
 
 def nested(value: Column) -> Column:
     """A variant's members, none if it is no object."""
-    return F.when(F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)), F.try_variant_get(value, "$", MEMBERS)).otherwise(no_members())
+    return F.coalesce(F.try_variant_get(value, "$", MEMBERS), no_members())
 
 
 def no_members() -> Column:
@@ -49,6 +53,15 @@ def string(value: Column) -> Column:
     return F.when(kind(value) == "STRING", F.nullif(F.try_variant_get(value, "$", "string"), F.lit("")))
 
 
+def no_strings() -> Column:
+    return F.array().cast("array<string>")
+
+
+def when_string(value: Column) -> Column:
+    """A list of a variant's string; an empty one if it is none or empty."""
+    return F.when(string(value).isNotNull(), F.array(string(value))).otherwise(no_strings())
+
+
 def strings(value: Column) -> Column:
     """The strings of a variant that is a list, empty ones too; no strings of any other."""
     items = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
@@ -81,24 +94,17 @@ def references(held: Column, *names: str) -> Column:
     return F.concat(*each)
 
 
-def entry(name: str | Column, value: Column, given: Column | None = None) -> Column:
-    """A member to set; a value that is SQL null, or ``given`` that isn't true, leaves it out."""
-    name = F.lit(name) if isinstance(name, str) else name
-    return F.struct(name.alias("key"), (value if given is None else F.when(given, value)).alias("value"))
-
-
-def _map(entries: Sequence[Column] | Column) -> Column:
-    listed = entries if isinstance(entries, Column) else F.array(*entries)
-    return F.map_from_entries(F.filter(listed, lambda e: e["value"].isNotNull()))
-
-
-def defaults(held: Column, *entries: Column) -> Column:
-    """``held`` with the members that it does not have, be they null."""
-    return F.map_concat(held, F.map_filter(_map(entries), lambda k, _: ~F.map_contains_key(held, k)))
+def listed(members: Sequence[tuple[str, Column]]) -> Column:
+    """The members whose values are not SQL null, as entries."""
+    none = F.array().cast("array<struct<key:string,value:variant>>")
+    return F.concat(*[F.when(value.isNotNull(), F.array(F.struct(F.lit(name).alias("key"), value.alias("value")))).otherwise(none) for name, value in members])
 
 
-def replaced(df: DataFrame, held: str, *entries: Column) -> DataFrame:
-    """``df`` whose map ``held`` has members replaced or added."""
-    more = "_more"
-    left = F.map_filter(held, lambda k, _: ~F.map_contains_key(F.col(more), k))
-    return df.withColumn(more, _map(entries)).withColumn(held, F.map_concat(left, F.col(more))).drop(more)
+def changed(df: DataFrame, held: str, over: dict[str, str], lacking: Sequence[tuple[str, Column]]) -> DataFrame:
+    """``df`` whose map ``held`` has the members ``over`` (by column) replaced or added, and those of ``lacking`` that it does not have, be they null; a value that is SQL null sets nothing."""
+    m, left, more = F.col(held), "_left", "_more"
+    entries = [*[(name, F.col(c)) for name, c in over.items()], *[(name, F.when(~F.map_contains_key(m, name), value)) for name, value in lacking]]
+    gone = lambda k: F.coalesce(*[F.when((k == name) & F.col(c).isNotNull(), F.lit(True)) for name, c in over.items()], F.lit(False))
+    # Both in one step: a step with a lambda is compiled in small pieces, one of plain expressions as a single method, which at this length stays interpreted.
+    rows = df.withColumns({left: F.map_filter(m, lambda k, _: ~gone(k)), more: listed(entries)})
+    return rows.withColumn(held, F.when(F.size(more) > 0, F.map_concat(left, F.map_from_entries(more))).otherwise(m)).drop(left, more)

@@ -52,14 +52,13 @@ WHEN t LIKE 'negative%' THEN 'negative_control_calibration' ELSE 'outcome_prefer
 '{"a":[{"b":null,"c":[' || i || ']}]}' AS deep, coalesce(replace(props, ' ', ''), 'null') AS props, 'supported' AS status FROM p""")
 def direct_ingest(t: Tables) -> DataFrame:
     rows = ingest.normalised(_event_records(t), *_ledgers(t))
-    held = F.from_json("payload", "map<string,variant>")
     member = {"company_name": "company_name", "fact_ids": "fact_ids", "provenance": "provenance_source_ids", "issuer_day_case_id": "issuer_day_case_id", "case_id": "case_id", "weight_group": "issuer_day_weight_group_id", "policy": "issuer_day_sample_weight_policy", "error_id": "error_id"}
     member |= {"winner": "outcome_winner_ticker", "candidate": "candidate_ticker", "training_target": "training_target", "evidence_phase": "evidence_phase", "outcome": "D_outcome", "deep": "deep", "status": "status"}
-    rows = rows.select("line", held.alias("m"))
-    get = lambda name: F.try_variant_get(F.col("m")[name], "$", "string")
+    rows = rows.select("line", F.parse_json("payload").alias("m"))
+    get = lambda name, kind="string": F.try_variant_get("m", f"$.{name}", kind)
     return rows.select(
-        F.col("line").alias("event_id"), *[get(n).alias(k) for k, n in member.items()], F.round(F.try_variant_get(F.col("m")["sample_weight"], "$", "double"), 9).alias("sample_weight"),
-        F.map_contains_key("m", "error_type").alias("has_error_type"), F.to_json(F.col("m")["props"]).alias("props"),
+        F.col("line").alias("event_id"), *[get(n).alias(k) for k, n in member.items()], F.round(get("sample_weight", "double"), 9).alias("sample_weight"),
+        get("error_type", "variant").isNotNull().alias("has_error_type"), F.to_json(get("props", "variant")).alias("props"),
     )
 
 
