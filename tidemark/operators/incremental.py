@@ -51,7 +51,7 @@ def _shards(rows: DataFrame, key: str, parts: int) -> list[int]:
 
 
 def _per_key(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(fingerprint(rows.columns).alias("_print"))
+    return rows.groupBy(key).agg(fingerprint(rows.schema).alias("_print"))
 
 
 def update(store: Snapshots, sources: DataFrame, steps: list[Mapped | Grouped], name: str = "sources", key: str = "key", sha: str = "sha", parts: int = 64) -> dict[str, list[int]]:
@@ -65,6 +65,7 @@ def update(store: Snapshots, sources: DataFrame, steps: list[Mapped | Grouped],
     stages = Stages(spark, "update")
     others = [c for c in sources.columns if c != key]
     listed = sources.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*others), sha).alias("_r")).select(key, "_r.*").select(*sources.columns)
+    listed = stages.save(listed, "listing")
     fresh = name not in old or old[name].schema != listed.schema.json() or old[name].parts != parts
     before = store.frame(old[name]) if not fresh else listed.limit(0)
     changes = {name: stages.save(change_set(before, listed, key, sha), "sources")}
@@ -75,15 +76,17 @@ def update(store: Snapshots, sources: DataFrame, steps: list[Mapped | Grouped],
     keys = {name: key}
     for step in steps:
         above, was = new[step.of], old.get(step.name)
-        changed, of_key = changes[step.of], keys[step.of]
+        changed, of_key = changes.get(step.of), keys[step.of]
         keys[step.name] = step.key
         if isinstance(step, Mapped):
-            live = store.frame(above, _shards(changed.where("status <> 'removed'"), of_key, parts)).join(changed.where("status <> 'removed'").select(of_key), of_key, "left_semi")
-            made = stages.save(step.rows(live), f"{step.name}-rows")
-            owners = changed.where("status <> 'added'").select(F.col(of_key).alias(step.owner))
-            stale = was is None or fresh or was.schema != made.schema.json() or was.parts != parts
+            stale = was is None or fresh
+            if not stale:
+                live = store.frame(above, _shards(changed.where("status <> 'removed'"), of_key, parts)).join(changed.where("status <> 'removed'").select(of_key), of_key, "left_semi")
+                made = stages.save(step.rows(live), f"{step.name}-rows")
+                owners = changed.where("status <> 'added'").select(F.col(of_key).alias(step.owner))
+                stale = was.schema != made.schema.json() or was.parts != parts
             if stale:
-                made = stages.save(step.rows(store.frame(above)), f"{step.name}-all") if was is not None and not fresh else made
+                made = step.rows(store.frame(above))
                 hit, rest = list(range(parts)), made.limit(0)
             else:
                 # Which shards hold rows of owners that changed or went: two thin columns of the table are read for it.
@@ -98,6 +101,8 @@ def update(store: Snapshots, sources: DataFrame, steps: list[Mapped | Grouped],
             if not stale and was.schema != rows.schema.json():
                 stale, hit, rows = True, list(range(parts)), step.rows(store.frame(above))
         new[step.name], written[step.name] = store.stage(step.name, rows, step.key, parts, None if stale else was, None if stale else hit)
+        if not any(isinstance(s, Mapped) and s.of == step.name for s in steps):
+            continue  # grouped tables go by shards
         # The keys whose rows are not as they were, for the tables below.
         both = [store.frame(t, written[step.name]) if t is not None else rows.limit(0) for t in (None if stale else was, new[step.name])]
         changes[step.name] = stages.save(change_set(*[_per_key(b, step.key) for b in both], step.key, "_print"), f"{step.name}-changes")

@@ -36,11 +36,31 @@ def shard_of(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key.cast("string")), F.lit(parts)).cast("int")
 
 
-def fingerprint(columns: list[str]) -> Column:
-    """What rows hold in any order, 128 bits wide at least; equal tables have equal ones."""
-    row = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
-    each = [F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(20,0)")).cast("string") for seed in (1, 2)]
-    return F.concat_ws("/", F.count(F.lit(1)).cast("string"), *each)
+#: Types whose values are hashed as they are; others go by their JSON.
+PLAIN = (T.BooleanType, T.NumericType, T.StringType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _hashed(schema: T.StructType) -> list[Column]:
+    """What is hashed of a row, columns by name: xxhash64 passes over nulls and takes -0.0 for 0.0, so that both stand beside the value."""
+    out = []
+    for f in sorted(schema.fields, key=lambda f: f.name):
+        c = F.col(f"`{f.name}`")
+        if not isinstance(f.dataType, PLAIN):
+            out.append(F.to_json(F.struct(c), {"ignoreNullFields": "false"}))
+            continue
+        out += [c, c.isNull()]
+        if isinstance(f.dataType, T.FloatType | T.DoubleType):
+            out.append(F.when(c == 0, c.cast("string")))
+    return out
+
+
+def fingerprint(schema: T.StructType) -> Column:
+    """What rows hold in any order, 128 bits wide at least; equal tables have equal ones. Hashes are summed in halves, which a long holds for some billions of rows."""
+    sums = []
+    for seed in (1, 2):
+        h = F.xxhash64(F.lit(seed), *_hashed(schema))
+        sums += [F.try_sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.try_sum(F.shiftright(h, 32))]
+    return F.concat_ws("/", F.count(F.lit(1)).cast("string"), *[F.coalesce(s.cast("string"), F.lit("-")) for s in sums])
 
 
 class Snapshots:
@@ -103,7 +123,7 @@ class Snapshots:
         dealt.hint("rebalance", SHARD).write.partitionBy(SHARD).parquet(folder)
         made = self.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(SHARD, T.IntegerType())])).parquet(folder)
         # One row for each shard.
-        prints = {str(r[SHARD]): r for r in made.groupBy(SHARD).agg(F.count(F.lit(1)).alias("n"), fingerprint(rows.columns).alias("f")).collect()}
+        prints = {str(r[SHARD]): r for r in made.groupBy(SHARD).agg(F.count(F.lit(1)).alias("n"), fingerprint(rows.schema).alias("f")).collect()}
         kept = dict(old.shards) if same and touched is not None else {}
         wanted = set(map(str, touched if touched is not None else range(parts)))
         changed = []
