@@ -47,3 +47,9 @@ def test_one_scan_a_table(spark, tmp_path):
     assert len(RULES) >= 50 and sorted(scans) == sorted(["orders", "lineitem", "clients", "sales", "events", "clicks", "lineitem"])
     assert "Exchange" not in plan and "Python" not in plan
     assert facts(RULES, own).where(F.col("role") == "found").limit(1).count() == 1
+
+
+def test_counts_are_hashed(spark):
+    """Keys that must be unique are counted without sorting them."""
+    plan = findings([Unique("A_TWICE", "a", "id"), Unique("B_TWICE", "b", "k")], tables(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

@@ -133,10 +133,14 @@ def findings(rules: list, tables: dict[str, tuple[DataFrame, str]], stages: Stag
     out = row(held.where("role = 'found'"), F.col("name"), F.col("subject"), none)
     mapping = lambda d: F.create_map(*[F.lit(x) for p in d.items() for x in p]) if d else F.lit(None).cast("map<string,string>")
     refers = [r for r in rules if isinstance(r, Refers)]
-    # One row a key, whoever has it; the largest text if it is there twice.
-    keys = held.where("role = 'has'").groupBy("name", "key").agg(F.count(F.lit(1)).alias("n"), F.max("text").alias("theirs"))
+    has = held.where("role = 'has'")
+    # Counts alone are hashed; a string's maximum would have Spark sort the keys of all rows.
     unique = {f"{r.table}.{r.key}": r.check for r in rules if isinstance(r, Unique)}
-    out = out.unionByName(row(keys.where(F.col("name").isin(*unique) & (F.col("n") > 1)), mapping(unique)[F.col("name")], F.col("key"), F.col("n")))
+    twice = has.where(F.col("name").isin(*unique)).groupBy("name", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    out = out.unionByName(row(twice, mapping(unique)[F.col("name")], F.col("key"), F.col("n")))
+    # Of keys that others refer to one row each, whoever has it; the largest text if it is there twice.
+    referred = sorted({".".join(r.of) for r in refers})
+    keys = has.where(F.col("name").isin(*referred)).groupBy("name", "key").agg(F.count(F.lit(1)).alias("n"), F.max("text").alias("theirs"))
     if refers:
         space = mapping({r.check: ".".join(r.of) for r in refers})
         asks = held.where("role = 'asks'").select(F.col("name").alias("check_id"), space[F.col("name")].alias("name"), "key", "subject", "text")
