@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,16 @@ QUALITIES = ("verified", "quarantined", "no_tradable_row")
 FORBIDDEN_ORIGINS = ("AFTER_CUTOFF_SOURCE", "OUTCOME_ONLY_ASSOCIATION")
 
 
+#: Rows of one task where rows are told apart by key.
+ROWS = 1_000_000
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by a hash of their keys in as many parts as their number asks for, so that what a task holds does not grow with the table."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / ROWS))
+    return rows.repartition(parts, *keys)
+
+
 def finding(rows: DataFrame, check: str, subject: str | Column, detail: Column | None = None) -> DataFrame:
     subject = F.col(subject) if isinstance(subject, str) else subject
     return rows.select(F.lit(check).alias("check_id"), subject.cast("string").alias("subject_id"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
@@ -30,13 +41,13 @@ def violated(rows: DataFrame, check: str, subject: str, rule: Column, detail: Co
 
 
 def duplicate(rows: DataFrame, check: str, *keys: str) -> DataFrame:
-    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = _dealt(rows.select(*keys), *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return finding(found, check, F.concat_ws("|", *keys), F.col("n"))
 
 
 def missing(references: DataFrame, known: DataFrame, check: str, subject: str, key: str) -> DataFrame:
-    gone = references.join(known.select(key).distinct(), key, "left_anti")
-    return finding(gone.select(subject, key).distinct(), check, subject, F.col(key))
+    asked = _dealt(references.select(subject, key), subject, key).distinct()
+    return finding(asked.join(_dealt(known.select(key), key).distinct(), key, "left_anti"), check, subject, F.col(key))
 
 
 def recount(stored: DataFrame, actual: DataFrame, check: str, key: str, value: str) -> DataFrame:
