@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions.payload import references as walked
+from tidemark.operators import json_tree
 from tidemark.operators.json_tree import FIELDS, InvertedIndex, objects_with, postings, references, tree
 from tidemark.stages import Stages
 
@@ -103,3 +104,24 @@ def test_values_are_unfolded_once(spark, monkeypatch):
     assert found.count() == 5 * 6 and held == {"parsed": 5, "level0": 5, "level1": 10, "level2": 10, "level3": 5}
     plan = found.select("path", "text")._jdf.queryExecution().executedPlan().toString()
     assert "parse_json" not in plan and "variant_explode" not in plan
+
+
+def test_blocks_of_answers_are_not_multiplied_in_one_step(spark, tmp_path):
+    records = spark.range(2500).select(F.col("id"), F.lit('{"ticker": "T"}').alias("payload"))
+    index = InvertedIndex(spark, str(tmp_path / "index"), "id", 4)
+    index.write(postings(tree(records, "id", "payload"), "id"))
+    got = index.answers(spark.range(1500).select(F.col("id").alias("query_id"), F.lit("ticker").alias("field"), F.lit("T").alias("value")), records)
+    assert got.count() == got.distinct().count() == 2500 * 1500
+    # Generated code runs until all rows of its input row are made: ids of both blocks in one step would be a million rows on the heap of a task.
+    steps = [line.strip(" :+-*").split(" ")[0] for line in got._jdf.queryExecution().sparkPlan().toString().splitlines()]
+    first, last = [i for i, s in enumerate(steps) if s == "Generate"][:2]
+    assert "Coalesce" in steps[first:last], steps
+
+
+def test_payloads_are_dealt_out_before_they_are_parsed(spark, monkeypatch):
+    held, save = {}, Stages.save
+    monkeypatch.setattr(Stages, "save", lambda self, df, name: held.setdefault(name, save(self, df, name)))
+    monkeypatch.setattr(json_tree, "PAYLOADS", 10)
+    rows = spark.range(50).coalesce(1).select("id", F.lit('{"a": [1]}').alias("payload"))
+    assert tree(rows, "id", "payload").count() == 150
+    assert len(held["parsed"].inputFiles()) == 5

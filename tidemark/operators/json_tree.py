@@ -17,6 +17,8 @@ from tidemark.stages import Stages
 
 #: Ids of a block of answers, and rows that a task makes of blocks.
 BLOCK, ANSWERS = 1024, 1 << 23
+#: Payloads that a task unfolds, about.
+PAYLOADS = 25_000
 
 
 def _kind(value: Column) -> Column:
@@ -59,12 +61,13 @@ def tree(rows: DataFrame, key: str, payload: str) -> DataFrame:
     inside: object or array. member: the name of the nearest member that the value is or is listed in; lists: through how many lists. member_path: that member's path.
     kind: object, array, string, number, boolean or null. text: a scalar's text, numbers as they are spelled in JSON. names: an object's member names.
     A payload that is null or no JSON gives no rows, nor does one that names a member of an object twice. Levels are written tables, each made of the one above, so that every value is
-    unfolded once; there are as many as the deepest payload has.
+    unfolded once; there are as many as the deepest payload has. Payloads are dealt out before they are parsed, as a small file is one task's; levels stay where their payloads are.
     """
     stages = Stages(rows.sparkSession, "tree")
     none, n = F.lit(None).cast("string"), F.lit(0)
+    parts = max(1, math.ceil(rows.count() / PAYLOADS))
     # Parsed once: what filters and describes the values reads them from the table.
-    held = stages.save(rows.select(key, F.try_parse_json(payload).alias("_value")), "parsed").where("_value is not null")
+    held = stages.save(rows.select(key, payload).repartition(parts).select(key, F.try_parse_json(payload).alias("_value")), "parsed").where("_value is not null")
     last = held.select(key, F.lit("$").alias("path"), none.alias("parent"), n.alias("depth"), none.alias("inside"), none.alias("member"), F.lit("$").alias("member_path"), n.alias("lists"), "_value").transform(_described)
     out = None
     for depth in range(1 << 20):
@@ -177,7 +180,9 @@ class InvertedIndex:
         ids = stages.save(ids, "blocks")
         made = ids.agg(F.sum(F.size("_keys").cast("long") * F.size("_queries"))).first()[0] or 0
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(made / ANSWERS))
-        return ids.repartition(parts).select(F.explode("_queries").alias(query), "_keys").select(query, F.explode("_keys").alias(self.key))
+        asking = ids.repartition(parts).select(F.explode("_queries").alias(query), "_keys")
+        # coalesce moves no rows here, but parts the two steps: as one step of generated code they would hold all rows of two blocks, a million, before the first goes on.
+        return asking.coalesce(parts).select(query, F.explode("_keys").alias(self.key))
 
     @staticmethod
     def _blocks(rows: DataFrame, name: str, listed: str) -> DataFrame:
