@@ -1,11 +1,13 @@
 """Admission of batches against bundles taken one after the other."""
 
 import random
+from pathlib import Path
 
 import pytest
 
-from tidemark.operators import imports
+from tidemark.operators import admission, imports
 from tidemark.operators.admission import admit
+from tidemark.stages import Stages
 
 BUNDLES = "bundle_id string, arrival int, episode_id string, sha string, outcome int"
 RECORDS = "bundle_id string, position int, record_id string, sha string, eligible boolean"
@@ -84,3 +86,31 @@ def test_two_contents_at_one_place_have_an_order(spark):
 def test_a_gate_with_an_unknown_check_stays_shut(spark):
     found = imports.verdicts(spark.createDataFrame([(1,), (2,)], "bundle_id int"), spark.createDataFrame([(1, "blockhash"), (1, None)], "bundle_id int, check_id string"))
     assert {r["bundle_id"]: (r["unknown_checks"], r["passed"]) for r in found.collect()} == {1: (2, False), 2: (0, True)}
+
+
+@pytest.mark.parametrize("seed, hot, slice_", [(6, 2, 1 << 23), (7, 1 << 16, 16)])
+def test_hot_keys_and_slices(spark, monkeypatch, seed, hot, slice_):
+    monkeypatch.setattr(admission, "SLICE", slice_)
+    monkeypatch.setattr(admission, "BUNDLES", 8)
+    bundles, records, episodes, ids = batch(seed, 60)
+    tables = [spark.createDataFrame(x, s) for x, s in ((bundles, BUNDLES), (records, RECORDS), (episodes, "episode_id string, sha string"), (ids, "record_id string, episode_id string, sha string"))]
+    assert sorted(map(tuple, admit(*tables, small=10, hot=hot).collect())) == in_turn(bundles, records, episodes, ids)
+
+
+def test_claims_are_thin_and_tables_go(spark, monkeypatch):
+    kinds, base, save = {}, set(), Stages.save
+
+    def watched(self, df, name):
+        base.add(self.base)
+        kinds[name] = {f.dataType.typeName() for f in df.schema}
+        return save(self, df, name)
+
+    monkeypatch.setattr(Stages, "save", watched)
+    bundles, records, episodes, ids = batch(8, 40)
+    tables = [spark.createDataFrame(x, s) for x, s in ((bundles, BUNDLES), (records, RECORDS), (episodes, "episode_id string, sha string"), (ids, "record_id string, episode_id string, sha string"))]
+    found = admit(*tables, small=0)
+    # No step but the numbering of bundles writes a text, and of its tables only what the result reads is left.
+    assert all(k <= {"long", "integer", "boolean"} for n, k in kinds.items() if not n.startswith(("turns", "numbered"))) and len(kinds) > 6
+    (folder,) = base
+    assert {p.name for p in Path(folder).iterdir()} == {"numbered", "clash"}
+    assert sorted(map(tuple, found.collect())) == in_turn(bundles, records, episodes, ids)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import payload
-from tidemark.operators import imports, prompts
+from tidemark.operators import admission, imports, prompts
 from tidemark.plans.registry import Tables, query
 from tidemark.plans.rules import _choice
 
@@ -102,9 +102,9 @@ def store_batch(t: Tables) -> DataFrame:
     """Orders as bundles of one batch: a customer's orders share episodes and record ids."""
     own = F.concat_ws("/", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 5).cast("string"))
     bundles = t.orders.select(F.col("o_orderkey").alias("bundle_id"), F.col("o_orderkey").alias("arrival"), own.alias("episode_id"), F.col("o_orderpriority").alias("sha"))
-    owner = t.orders.select(F.col("o_orderkey").alias("bundle_id"), "o_custkey")
+    owner, n = t.orders.select(F.col("o_orderkey").alias("bundle_id"), "o_custkey"), t.orders.count()
     lines = t.lineitem.select(F.col("l_orderkey").alias("bundle_id"), (F.col("l_linenumber") * 100000000 + F.col("l_partkey")).alias("position"), "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("sha"), (F.col("l_quantity") < 25).alias("eligible"))
-    records = lines.join(owner, "bundle_id").withColumn("record_id", F.concat_ws("-", F.col("o_custkey").cast("string"), (F.col("l_partkey") % 30).cast("string")))
+    records = admission.dealt(lines, n).join(admission.dealt(owner, n), "bundle_id").withColumn("record_id", F.concat_ws("-", F.col("o_custkey").cast("string"), (F.col("l_partkey") % 30).cast("string")))
     return imports.admit(bundles, records, bundles.select("episode_id", "sha").limit(0), records.select("record_id", F.lit("").alias("episode_id"), "sha").limit(0))
 
 
